@@ -37,7 +37,7 @@ def cut_pieces(df: DataFrame, path: str, text: str = "text", capacity: int = CAP
     col = fresh(df.columns, "text")["text"]
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(col))
     schema = T.StructType([f for f in src.schema.fields if f.name != col])
-    schema = schema.add("piece", "int").add("start", "long").add("length", "long").add("ids", "binary")
+    schema = schema.add("piece", T.IntegerType()).add("start", T.LongType()).add("length", T.LongType()).add("ids", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
