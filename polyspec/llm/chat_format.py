@@ -37,18 +37,21 @@ START, FAR = len(ROLES), 1 << 40
 N = len(ROLES) + 1
 
 
-def chain(start: str, wanted: str | None) -> tuple[str, ...]:
-    """The fewest roles that lead from ``start`` to where ``wanted`` may come (None: the end)."""
+STATES = (*ROLES, "")
+
+
+def chain(start: str, wanted: str | None) -> tuple[str, ...] | None:
+    """The fewest roles that lead from ``start`` to where ``wanted`` may come (wanted None: the end), if any do."""
     paths = [()]
-    while True:
+    for _ in STATES:
         for path in paths:
             last = path[-1] if path else start
-            if wanted in NEXT[last] if wanted else last == END:
+            if (wanted in NEXT[last]) if wanted else last == END:
                 return path
         paths = [(*p, r) for p in paths for r in NEXT[p[-1] if p else start]]
+    return None
 
 
-STATES = (*ROLES, "")
 CHAINS = {(s, r): chain(s, r) for s in STATES for r in (*ROLES, None)}
 FINAL = [INSERT * len(CHAINS[s, None]) for s in ROLES] + [0]
 
@@ -60,7 +63,8 @@ def steps(role: str | None) -> tuple[np.ndarray, dict]:
         for t, new in enumerate(ROLES):
             relabel = RELABEL * (new != role)
             inserted = CHAINS[state, new]
-            cost[s, t], act[s, t] = relabel + INSERT * len(inserted), (False, inserted)
+            if inserted is not None:
+                cost[s, t], act[s, t] = relabel + INSERT * len(inserted), (False, inserted)
             if s == t and MERGE + relabel <= cost[s, t]:
                 cost[s, t], act[s, t] = MERGE + relabel, (True, ())
     return cost, act
