@@ -136,9 +136,9 @@ def oracle() -> str:
     rows = ", ".join(f"('{label}', [{', '.join(repr(x) for x in word_set(t))}], {required(len(word_set(t)))})" for label, t in TEMPLATES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS ws FROM d),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM d),
 p AS ({phrase}),
-b AS (SELECT r, list_distinct(list_filter(regexp_split_to_array(l, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')) AS bs
+b AS (SELECT r, list_distinct(list_filter(regexp_split_to_array(l, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS bs
       FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
 tpl(label, ts, need) AS (VALUES {rows}),
 m AS (SELECT r, label, len(list_intersect(ts, bs)) / len(ts) AS share FROM b JOIN tpl ON len(list_intersect(ts, bs)) >= need),

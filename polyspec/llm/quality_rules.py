@@ -128,8 +128,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 u AS (SELECT r, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS k, i FROM w, unnest(range(1, len(ws) - 1)) AS x(i)),
 v AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM u),
 p AS (SELECT DISTINCT r, i + j AS i FROM v, unnest(range(0, 3)) AS x(j) WHERE n > 1),
