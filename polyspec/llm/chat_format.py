@@ -127,7 +127,7 @@ RESULT = "conv_id long, seq long, turn long, role string, new_role string, actio
 CHUNK_SCHEMA = "conv long, part int, no int, closed boolean, turns array<long>, roles array<string>, texts array<string>, m array<long>"
 
 
-def in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def in_chunks(batches: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[pd.DataFrame]:
     """Rows of one task as chunks. A chunk is closed if it surely holds its whole conversation."""
     part, no = TaskContext.get().partitionId(), 0
     rows: list[tuple] = []
@@ -147,7 +147,7 @@ def in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if begun is not None and c != conv:
                 done.append(chunk(False, first))
                 no, rows, begun, chars, first = no + 1, [], 0, 0, False
-            elif len(rows) >= CHUNK or chars >= CHUNK_CHARS:
+            elif len(rows) >= size or chars >= CHUNK_CHARS:
                 done.append(chunk(True, first))
                 no, rows, begun, chars = no + 1, [], (begun or 0) + 1, 0
             begun, conv = begun or 0, c
@@ -208,7 +208,7 @@ def ends(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.drop(columns=["back", "end"]).assign(end=out[::-1]).astype({"conv": "Int64"})
 
 
-def repair(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def repair(df: DataFrame, partitions: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """A row per message: conv_id, seq (from 0), turn, role, new_role, action (keep, merge, relabel, relabel_merge),
     inserted (roles of the empty turns before it and, for the last, after it), cost, rendered."""
     spark = df.sparkSession
@@ -218,7 +218,7 @@ def repair(df: DataFrame, partitions: int | None = None) -> DataFrame:
     rows = rows.withColumns({"tie": F.xxhash64("role", "text"), "copy": F.monotonically_increasing_id()})
     order = ["conv", "turn", "role", "tie", "copy"]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("conv", "turn", "role", "text")
-    chunks = materialize(dealt.mapInPandas(in_chunks, CHUNK_SCHEMA), "chunks")
+    chunks = materialize(dealt.mapInPandas(lambda b: in_chunks(b, chunk), CHUNK_SCHEMA), "chunks")
     small_batches(spark, 64)
     done = chunks.where("closed").mapInPandas(lambda p: emit(p, whole_path), RESULT)
     open_ = chunks.where("NOT closed")
