@@ -270,6 +270,8 @@ class OLSRobust(Base):
         total = grams.sum(0) if len(parts) else np.zeros((p + 1, p + 1))
         if not n:
             raise ValueError("no complete rows")
+        if m.multi_y and (pairs := ols.collinear_pairs(total, [at[c] for c in [*m.x, *m.controls]], [*m.x, *m.controls])):
+            warnings.warn(f"perfectly collinear columns: {pairs}", UserWarning, stacklevel=3)
         metric, kfold = m.oos_metric, m.kfold
         label = lambda y: ",".join(space.from_mask(int(y[3:]), m.y)) if m.multi_y else y
 

@@ -542,11 +542,11 @@ def corr_matrix(spark, sf):
     return read(spark, sf, "lineitem").agg(k("l_quantity", "l_extendedprice").alias("a"), k("l_quantity", "l_discount").alias("b"), k("l_discount", "l_tax").alias("c"))
 
 
-@register("anti_join_resume", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("anti_join_resume", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti_join_resume(spark, sf):
     from polyspec.sources.readers import pending
 
-    return pending(read(spark, sf, "customer").select("c_custkey"), read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return pending(read(spark, sf, "customer").select("c_custkey"), read(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @register("group_stats", "SELECT event_type, round(avg(value), 6) + 0.0 AS mean, round(median(value), 6) + 0.0 AS median, round(min(value), 6) + 0.0 AS lo, round(max(value), 6) + 0.0 AS hi, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
