@@ -105,8 +105,8 @@ def odds_ratios(df: DataFrame, *columns: str, logistic: bool = True) -> DataFram
 
 
 def in_train(seed: int, key: str, share: float = 0.8) -> Column:
-    """A seeded 80/20 split by hash of a row key."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(share * 1_000_000)
+    """A seeded 80/20 split by digest of a row key, which DuckDB can repeat."""
+    return moments.hash_index(seed, 1_000_000, F.col(key)) < int(share * 1_000_000)
 
 
 def linear_shap(rows: DataFrame, y: str, features: list[str], seed: int, group: str | None = None, key: str = "rid") -> DataFrame | None:

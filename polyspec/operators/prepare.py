@@ -147,7 +147,7 @@ def group_folds(df: DataFrame, group: str, k: int, max_driver_groups: int = MAX_
 
 
 def stratified_fold(df: DataFrame, y: str, k: int, seed: int, key: str) -> DataFrame:
-    """``df`` with fold: rows of each class dealt in turn, in order of a seeded hash of ``key``."""
+    """``df`` with fold: rows of each class dealt in turn, in order of a seeded digest of ``key``."""
     classes = {r[0]: r[1] for r in df.groupBy(f"`{y}`").count().collect()}
     if len(classes) < 2 or k > min(classes.values()):
         raise ValueError("stratified folds need two classes of at least kfold rows each")
@@ -155,7 +155,7 @@ def stratified_fold(df: DataFrame, y: str, k: int, seed: int, key: str) -> DataF
     for c in sorted(classes):
         shifts = F.when(F.col(f"`{y}`") == c, before).otherwise(shifts)
         before += classes[c]
-    out = with_row_index(df, [F.col(f"`{y}`"), F.xxhash64(F.lit(seed), key), F.col(key)])
+    out = with_row_index(df, [F.col(f"`{y}`"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)])
     return out.withColumn("fold", F.pmod(F.col("row_idx") - shifts, F.lit(k)).cast("int")).drop("row_idx")
 
 

@@ -334,8 +334,32 @@ def logit_metric(metric: str, spark, sf):
     return flat(res.full).join(res.oos.groupBy("spec_id").agg(F.avg("metric").alias("metric")), "spec_id").select("spec", "metric")
 
 
+def logit_cv_sql(metric: str) -> str:
+    """Newton steps as weighted least squares of the working response, for all folds at once."""
+    order = "md5(concat_ws('|', '%d', rid))" % SEED
+    ctes = ["d0 AS (SELECT (l_returnflag = 'R')::INTEGER AS y, x / 50 AS x, z1 FROM lines)", "d1 AS (SELECT *, row_number() OVER (ORDER BY y, x, z1) - 1 AS rid FROM d0)"]
+    ctes = [LINES, *ctes, f"d AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY {order}, rid) - 1) % {FOLDS} AS fold FROM d1)", f"folds AS (SELECT range AS f FROM range(0, {FOLDS}))"]
+    out = []
+    for i, controls in enumerate(((), ("z1",))):
+        cols = ["x", "1.0", *controls]
+        beta = [f"{i}_b{k}" for k in range(len(cols))]
+        ctes.append(f"n{i}_0 AS (SELECT f, " + ", ".join(f"0.0::DOUBLE AS c{k}" for k in range(len(beta))) + " FROM folds)")
+        eta = " + ".join(f"c{k} * {c}" for k, c in enumerate(cols))
+        for step in range(7):
+            ctes.append(f"w{i}_{step} AS (SELECT f, x, z1, y, e, 1 / (1 + exp(-e)) AS p FROM (SELECT f, x, z1, y, {eta} AS e FROM d, n{i}_{step} WHERE fold <> f))")
+            ctes.append(f"v{i}_{step} AS (SELECT f, x, z1, e + (y - p) / (p * (1 - p)) AS z, p * (1 - p) AS w FROM w{i}_{step})")
+            ctes.append(f"g{i}_{step} AS ({sqlgen.grams(f'v{i}_{step}', ['z', *cols], 'f', 'w')})")
+            ctes += sqlgen.fit(f"g{i}_{step}", f"s{i}_{step}", 1 + len(cols), [*range(1, 1 + len(cols))], 0, "f")
+            ctes.append(f"n{i}_{step + 1} AS (SELECT f, " + ", ".join(f"b{k} AS c{k}" for k in range(len(cols))) + f" FROM s{i}_{step})")
+        ctes.append(f"t{i} AS (SELECT f, y, 1 / (1 + exp(-({eta}))) AS p, (SELECT avg(y) FROM d AS o WHERE o.fold <> f) AS q FROM d JOIN n{i}_7 ON fold = f)")
+        ll = lambda p: f"sum(y * ln({p}) + (1 - y) * ln(1 - {p}))"
+        value = {"mcfaddens-r2": f"1 - {ll('p')} / {ll('q')}", "cross-entropy": f"-{ll('p')} / count(*)", "rmse": "sqrt(avg(pow(y - p, 2)))", "pseudo-r2": "1 - sum(pow(y - p, 2)) / sum(pow(y - q, 2))"}[metric]
+        out.append(f"SELECT '{','.join(controls)}' AS spec, {r('avg(m)', 'metric')} FROM (SELECT f, {value} AS m FROM t{i} GROUP BY f)")
+    return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(out)
+
+
 for _m, _n in (("mcfaddens-r2", "mcfadden"), ("cross-entropy", "xent"), ("imv", "imv"), ("pseudo-r2", "pseudo_r2"), ("rmse", "rmse")):
-    register(f"logit_{_n}")(partial(logit_metric, _m))
+    register(f"logit_{_n}", None if _m == "imv" else logit_cv_sql(_m))(lambda spark, sf, _m=_m: rounded(logit_metric(_m, spark, sf)))
 
 
 @register("logit_boot")
@@ -394,9 +418,17 @@ def bma(spark, sf):
     return rounded(line_fit(spark, sf).compute_bma())
 
 
-@register("linear_shap")
+def shap_sql() -> str:
+    cols = ["y", "x", *Z]
+    ctes = [LINES, "o AS (SELECT *, row_number() OVER (ORDER BY y, x, z1, z2, z3) - 1 AS rid FROM lines)", f"s AS (SELECT *, {sqlgen.hash_index(SEED, '1000000', 'rid')} < 800000 AS train FROM o)", "t AS (SELECT * FROM s WHERE train)", f"g0 AS ({sqlgen.grams('t', cols)})"]
+    ctes += sqlgen.fit("g0", "f", 5, [1, 2, 3, 4, 5], 0)
+    mean = lambda c: f"(SELECT avg({c}) FROM t)"
+    return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'sum(abs(b{i} * ({c} - {mean(c)})))', 'total', 4)} FROM s, f WHERE NOT train" for i, c in enumerate(["x", *Z]))
+
+
+@register("linear_shap", shap_sql())
 def linear_shap(spark, sf):
-    return panels.shap_order(line_fit(spark, sf, shap=True).shap)
+    return rounded(panels.shap_order(line_fit(spark, sf, shap=True).shap), 4)
 
 
 @register("merge_results", f"{FULL} SELECT tag, count(*) AS n, {r('min(beta)', 'lo')} FROM curve, (VALUES ('one'), ('two')) AS t(tag) GROUP BY tag")
@@ -411,21 +443,26 @@ def concat_dedupe(spark, sf):
     return rounded(estimators.concat_results([res, res]).full.agg(F.count("*").alias("n"), F.sum("beta").alias("total")), 5)
 
 
-@register("hexbin_r2")
+def hexbin_sql(source: str, x: str, y: str) -> str:
+    """A SELECT of the lattice counts of columns of a table."""
+    return f"""SELECT CASE WHEN f THEN u1 ELSE u2 END AS hx, CASE WHEN f THEN v1 ELSE v2 END AS hy, count(*) AS n FROM
+(SELECT *, pow(u - u1, 2) + 3 * pow(v - v1, 2) < pow(u - u2, 2) + 3 * pow(v - v2, 2) AS f FROM
+(SELECT u, v, round_even(u, 0) AS u1, round_even(v, 0) AS v1, floor(u) + 0.5 AS u2, floor(v) + 0.5 AS v2 FROM
+(SELECT ({x} - x0) * 20 / (x1 - x0) AS u, ({y} - y0) * 11 / (y1 - y0) AS v FROM {source},
+(SELECT min({x}) AS x0, max({x}) AS x1, min({y}) AS y0, max({y}) AS y1 FROM {source})))) GROUP BY 1, 2"""
+
+
+@register("hexbin_r2", f"{BOOT} {hexbin_sql('boot', 'beta', 'r2')}")
 def hexbin_r2(spark, sf):
     return panels.hexbin(people_fit(spark, sf).boot, "beta", "r2")
 
 
-@register("hexbin_ll")
+@register("hexbin_ll", f"{FULL}, p AS (SELECT beta, ll_gain / n AS ll FROM curve) {hexbin_sql('p', 'beta', 'll')}")
 def hexbin_ll(spark, sf):
     return panels.hexbin(line_fit(spark, sf).full, "beta", "ll_gain_per_obs")
 
 
-@register("hexbin_points", """WITH r AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem),
-p AS (SELECT (l_quantity - x0) * 20 / (x1 - x0) AS u, (l_extendedprice - y0) * 11 / (y1 - y0) AS v FROM lineitem, r),
-q AS (SELECT u, v, round_even(u, 0) AS u1, round_even(v, 0) AS v1, floor(u) + 0.5 AS u2, floor(v) + 0.5 AS v2 FROM p),
-h AS (SELECT *, pow(u - u1, 2) + 3 * pow(v - v1, 2) < pow(u - u2, 2) + 3 * pow(v - v2, 2) AS f FROM q)
-SELECT CASE WHEN f THEN u1 ELSE u2 END AS hx, CASE WHEN f THEN v1 ELSE v2 END AS hy, count(*) AS n FROM h GROUP BY 1, 2""")
+@register("hexbin_points", hexbin_sql("lineitem", "l_quantity", "l_extendedprice"))
 def hexbin_points(spark, sf):
     return panels.hexbin(read(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 
@@ -435,10 +472,13 @@ def oos_hist(spark, sf):
     return panels.histogram(read(spark, sf, "orders"), "o_totalprice").select("bin", (F.round("lo", 4) + 0.0).alias("lo"), "n")
 
 
-@register("oos_scores_hist")
+_SCORES = kfold_sql("pseudo-r2").replace("round(", "(").replace(", 6) + 0.0 AS metric", ") AS metric")
+
+
+@register("oos_scores_hist", f"WITH k AS ({_SCORES}), e AS (SELECT min(metric) AS lo, max(metric) AS hi FROM k) SELECT least(floor((metric - lo) / ((hi - lo) / 30)), 29)::INTEGER AS bin, count(*) AS n FROM k, e GROUP BY 1")
 def oos_scores_hist(spark, sf):
     res = people_fit(spark, sf, draws=0, kfold=FOLDS)
-    return panels.histogram(res.oos.groupBy("spec_id").agg(F.avg("metric").alias("m")), "m")
+    return panels.histogram(res.oos.groupBy("spec_id").agg(F.avg("metric").alias("m")), "m").select("bin", "n")
 
 
 _CURVE = f"{BOOT}, s AS (SELECT spec_id, median(beta) AS median, {sqlgen.nearest('beta', 0.0)} AS lo, {sqlgen.nearest('beta', 1.0)} AS hi FROM boot GROUP BY spec_id), o AS (SELECT *, row_number() OVER (ORDER BY median, spec_id)::INTEGER AS position FROM s)"
