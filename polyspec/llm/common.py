@@ -54,3 +54,9 @@ def fresh(columns: list[str], *names: str) -> dict[str, str]:
         taken.add(new.lower())
         out[name] = new
     return out
+
+
+def pinned(expression: str) -> str:
+    """The SQL expression, always computed in its own projection: Catalyst moves no filter below a column that isn't
+    deterministic, where it would otherwise repeat costly array expressions inside the predicate."""
+    return f"CASE WHEN spark_partition_id() >= 0 THEN {expression} END"

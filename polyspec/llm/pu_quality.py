@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyspec.llm.common import fresh, read
+from polyspec.llm.common import fresh, pinned, read
 
 #: Bound on the sampled positives, and on the sampled unlabelled rows.
 SAMPLE_ROWS = 20_000
@@ -44,7 +44,7 @@ COUNTS = {
 def features(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with an array ``out`` of the features of a non-null text column."""
     counts = fresh(df.columns, *COUNTS)
-    df = df.select("*", *[F.expr(e.format(t=f"`{text}`")).alias(counts[k]) for k, e in COUNTS.items()])
+    df = df.select("*", *[F.expr(pinned(e.format(t=f"`{text}`"))).alias(counts[k]) for k, e in COUNTS.items()])
     n = F.greatest(F.col(counts["words"]), F.lit(1))
     parts = [F.log1p(F.lit(50.0) * F.col(c) / n) for k, c in counts.items() if k != "words"]
     return df.withColumn(out, F.array(*parts)).drop(*counts.values())

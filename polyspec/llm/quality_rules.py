@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyspec.llm.common import fresh, read
+from polyspec.llm.common import fresh, pinned, read
 
 #: Documents in the sample that orders the rules, and the longest taken into it: costs only, never verdicts.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 200_000
@@ -82,7 +82,8 @@ def base_counts(df: DataFrame, text: str = "text", packed_windows: int = 1 << 24
     short = f"transform(filter({packed}, (x, i) -> ({same('i - 1')}) OR ({same('i + 1')})), x -> cast(x & 16777215L as int))"
     long = f"transform(filter({pairs}, (x, i) -> x.k <=> get({pairs}, i - 1).k OR x.k <=> get({pairs}, i + 1).k), x -> x.i)"
     out = out.selectExpr(*rest, f"sort_array(concat({short}, {long})) AS {at}")
-    return out.selectExpr(*rest, f"aggregate(transform({at}, (p, i) -> least(3, coalesce(get({at}, i + 1) - p, 3))), 0L, (n, x) -> n + x) AS n_repeat_words")
+    repeats = f"aggregate(transform({at}, (p, i) -> least(3, coalesce(get({at}, i + 1) - p, 3))), 0L, (n, x) -> n + x)"
+    return out.selectExpr(*rest, f"{pinned(repeats)} AS n_repeat_words")
 
 
 def rule_order(counted: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_CHARS) -> list[Rule]:
