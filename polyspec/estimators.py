@@ -261,7 +261,7 @@ class OLSRobust(Base):
         if m.kfold:
             if m.group:
                 folds = prepare.group_folds(rows, m.group, m.kfold)
-                rows = rows.join(folds, F.col(f"`{m.group}`") == F.col("g")).drop("g")
+                rows = rows.join(folds, F.col(f"`{m.group}`") == F.col("__group")).drop("__group")
             else:
                 rows = prepare.with_row_index(rows, ["rid"]).withColumn("fold", prepare.contiguous_fold(F.col("row_idx"), n, m.kfold))
             keys = ["fold"]
@@ -303,9 +303,9 @@ class OLSRobust(Base):
             slope = float(ols.fit(total[None], cols, at[y], full=False)["b"][0, 0])
             fits.append((sid, at[y], [at[c] for c in predictors if c != "const"], slope))
         if m.group:
-            sizes = rows.groupBy(F.col(f"`{m.group}`").alias("g")).agg(F.count("*").alias("size"))
-            sizes = prepare.with_row_index(sizes, ["g"], "g_idx")
-            by_group = moments.gram(rows.withColumn("g", F.col(f"`{m.group}`")), columns, ["g"]).join(sizes, "g")
+            sizes = rows.groupBy(F.col(f"`{m.group}`").alias("__group")).agg(F.count("*").alias("size"))
+            sizes = prepare.with_row_index(sizes, ["__group"], "g_idx")
+            by_group = moments.gram(rows.withColumn("__group", F.col(f"`{m.group}`")), columns, ["__group"]).join(sizes, "__group")
             counts = moments.cluster_counts(sizes.select("g_idx", "size"), sizes.count(), n_all, m.draws, m.seed)
             drawn = moments.cluster_grams(by_group, counts, max(5, len(m.x) + len(m.controls) + 2))
         elif m.rng == "hash":
@@ -360,7 +360,7 @@ class LRobust(Base):
                 if pairs := ols.collinear_pairs(g, [columns.index(c) for c in predictors], predictors):
                     raise ValueError(f"perfectly collinear columns: {pairs}")
             if m.kfold:
-                data = data.join(prepare.group_folds(data, group, m.kfold), F.col(f"`{group}`") == F.col("g")).drop("g") if group else prepare.stratified_fold(data, y[0], m.kfold, m.seed, "rid")
+                data = data.join(prepare.group_folds(data, group, m.kfold), F.col(f"`{group}`") == F.col("__group")).drop("__group") if group else prepare.stratified_fold(data, y[0], m.kfold, m.seed, "rid")
             data = materialize(data, "logit")
             n = data.count()
             models = [logit.LogitModel(sid, predictors) for sid, _, _, predictors in work]
@@ -376,8 +376,8 @@ class LRobust(Base):
                 # With groups a draw weights whole groups, by the group's number instead of the row's.
                 unit = "rid"
                 if group:
-                    ids = prepare.with_row_index(data.select(F.col(f"`{group}`").alias("g")).distinct(), ["g"], "g_idx")
-                    data, unit = materialize(data.join(ids, F.col(f"`{group}`") == F.col("g")).drop("g"), "grouped"), "g_idx"
+                    ids = prepare.with_row_index(data.select(F.col(f"`{group}`").alias("__group")).distinct(), ["__group"], "g_idx")
+                    data, unit = materialize(data.join(ids, F.col(f"`{group}`") == F.col("__group")).drop("__group"), "grouped"), "g_idx"
                 drawn = [logit.LogitModel(sid, [c for c in predictors if c != "const"], intercept=True, draw=d) for sid, _, _, predictors in work for d in range(m.draws)]
                 logit.newton(data, y[0], drawn, m.seed, n_all / n, unit)
                 for model in drawn:

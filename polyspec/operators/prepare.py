@@ -129,21 +129,21 @@ def contiguous_fold(idx: Column, n: int, k: int) -> Column:
 
 
 def group_folds(df: DataFrame, group: str, k: int, max_driver_groups: int = MAX_DRIVER_GROUPS) -> DataFrame:
-    """group, fold: whole groups, largest first, each into the fold with the fewest rows so far (ties: the first)."""
-    sizes = df.groupBy(F.col(f"`{group}`").alias("g")).agg(F.count("*").alias("n"))
+    """__group, fold: whole groups, largest first, each into the fold with the fewest rows so far (ties: the first)."""
+    sizes = df.groupBy(F.col(f"`{group}`").alias("__group")).agg(F.count("*").alias("n"))
     n_groups = sizes.count()
     if k > n_groups:
         raise ValueError(f"kfold {k} is more than the {n_groups} groups")
     if n_groups > max_driver_groups:
-        at = with_row_index(sizes, [F.col("n").desc(), F.col("g")])
+        at = with_row_index(sizes, [F.col("n").desc(), F.col("__group")])
         turn = F.pmod("row_idx", F.lit(2 * k))
-        return at.select("g", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+        return at.select("__group", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
     load, rows = [0] * k, []
-    for r in sizes.orderBy(F.col("n").desc(), "g").collect():
+    for r in sizes.orderBy(F.col("n").desc(), "__group").collect():
         f = min(range(k), key=load.__getitem__)
         load[f] += r.n
-        rows.append((r.g, f))
-    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("g", df.schema[group].dataType), T.StructField("fold", T.IntegerType())]))
+        rows.append((r["__group"], f))
+    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("__group", df.schema[group].dataType), T.StructField("fold", T.IntegerType())]))
 
 
 def stratified_fold(df: DataFrame, y: str, k: int, seed: int, key: str) -> DataFrame:

@@ -245,7 +245,7 @@ for _m in ("rmse", "pseudo-r2"):
 
 @register("group_kfold")
 def group_kfold(spark, sf):
-    return prepare.group_folds(lines(spark, sf), "g", FOLDS)
+    return prepare.group_folds(lines(spark, sf), "g", FOLDS).withColumnRenamed("__group", "g")
 
 
 @register("stratified_fold_counts", f"WITH {LINES}, c AS (SELECT (l_returnflag = 'R')::INTEGER AS y, count(*) AS n FROM lines GROUP BY 1) SELECT y, f::INTEGER AS fold, (n // {FOLDS} + (f < n % {FOLDS})::INTEGER)::BIGINT AS n FROM c, range(0, {FOLDS}) AS r(f)")

@@ -113,6 +113,15 @@ def test_fixed_effects_and_cluster_bootstrap(data, pdf):
     assert r.boot.count() == 20 and r.boot.where("beta IS NULL OR isnan(beta)").count() == 0
 
 
+def test_group_columns_of_any_name(spark, pdf):
+    df = spark.createDataFrame(pdf[["y", "x1", "control1", "binary_y"]].assign(g=pdf["group"], fold=1.0))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        ols = OLSRobust(["y"], ["x1"], df).fit(controls=["control1"], group="g", draws=3, kfold=2, seed=3, shap=False).get_results()
+        lr = LRobust(["binary_y"], ["x1"], df).fit(controls=[], group="g", draws=3, kfold=2, seed=3, shap=False).get_results()
+    assert ols.oos.count() == 4 and ols.boot.count() == 6 and lr.oos.count() == 2 and lr.boot.count() == 3
+
+
 def test_nulls_drop_rows_by_specification(spark, pdf):
     holes = pdf.copy()
     holes.loc[:9, "control1"] = np.nan
