@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +31,9 @@ from pyspark.sql import types as T
 from polyspec.llm.common import fresh, read, small_batches
 
 LONG_WORD = 128
-#: Words kept between batches, and the longest kept: bounds a worker's memory; others are encoded again when met.
-CACHE_WORDS, CACHE_BYTES = 250_000, 64
+#: Words in each of a worker's two cache generations, and the longest kept: bounds its memory. When the young generation
+#: is full it becomes the old one, whose words move back as they are met; others are encoded again.
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK_BYTES = 4 << 20
 NO_RANK = 1 << 60
@@ -79,7 +81,8 @@ class ByteBPE:
         self.lengths = np.fromiter(map(len, self.token_bytes), np.int64, size)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
-        self.cache: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode_word(self, word: bytes) -> list[int]:
         parts = [self.byte_id[b] for b in word]
@@ -118,17 +121,20 @@ class ByteBPE:
                     heapq.heappush(heap, (r, a, parts[a], parts[b]))
         return [p for p, live in zip(parts, alive, strict=True) if live]
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        cache, out = self.cache, []
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as unsigned 32-bit binary."""
+        out = []
         for w in words:
-            ids = cache.get(w)
+            ids = self.young.get(w)
             if ids is None:
-                ids = [self.specials[w]] if w in self.specials else self.encode_word(w.encode())
-                if len(w) <= CACHE_BYTES:
-                    cache[w] = ids
+                ids = self.old.get(w)
+                if ids is None:
+                    ids = array("I", [self.specials[w]] if w in self.specials else self.encode_word(w.encode())).tobytes()
+                if len(w) <= CACHE_CHARS:
+                    self.young[w] = ids
             out.append(ids)
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
         return out
 
     def cut(self, data: bytes, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +194,8 @@ class ByteBPE:
             return np.zeros(0, np.uint32), np.zeros(len(docs), np.int64)
         words = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         each = self._words(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for ids in each for i in ids), np.uint32, size.sum())
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), np.uint32)
         which = words.indices.to_numpy()
         counts = size[which]
         total = np.concatenate([[0], np.cumsum(counts)])
@@ -211,11 +217,30 @@ class ByteBPE:
         return self.decode_buffer(ids, np.array([0, len(ids)]))[0].tobytes().decode("utf-8", "replace")
 
 
+class LibraryBPE(ByteBPE):
+    """The same ids with a library's merge loop for each word, where a file lists its merges in order of their ids."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        single = set(self.byte_id)
+        if self.merged == sorted(self.merged) and not single & set(self.merged):
+            import tiktoken
+
+            ranks = {self.token_bytes[i]: i for i in (*self.byte_id, *self.merged)}
+            self.core = tiktoken.Encoding("own", pat_str="(?s:.)+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+            self.encode_word = self.core.encode_single_piece
+
+
 @lru_cache(2)
 def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+@lru_cache(2)
+def load_library(path: str) -> ByteBPE:
+    return LibraryBPE(path)
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Rows from and to, the bytes of their texts, and byte offsets; nulls are empty."""
     texts = texts.cast(pa.string())

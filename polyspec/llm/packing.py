@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polyspec.llm.bytebpe import binary, chunks, load, vocabulary
+from polyspec.llm.bytebpe import binary, chunks, load_library, vocabulary
 from polyspec.llm.common import fresh, materialize, read, small_batches
 
 CAPACITY, END_ID, GROUP_PIECES = 2048, 0, 200_000
@@ -40,7 +40,7 @@ def cut_pieces(df: DataFrame, path: str, text: str = "text", capacity: int = CAP
     schema = schema.add("piece", T.IntegerType()).add("start", T.LongType()).add("length", T.LongType()).add("ids", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load_library(path)
         for batch in batches:
             for row, to, data, docs in chunks(batch.column(col)):
                 got, first = bpe.encode_buffer(data, docs)
