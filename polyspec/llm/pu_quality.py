@@ -146,4 +146,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, read(spark, sf_dir, "labels")))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
