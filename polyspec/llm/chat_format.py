@@ -19,6 +19,7 @@ rows; texts of any length work; extra columns are not carried, and never clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -107,8 +108,10 @@ def escaped(text) -> str:
     return (text or "").replace("<|", "< |")
 
 
-def rendered(conv, seq: int, turns, roles, texts, path: list[int], last: bool) -> dict[str, list]:
-    out: dict[str, list] = {k: [] for k in ("conv_id", "seq", "turn", "role", "new_role", "action", "inserted", "cost", "rendered")}
+COLUMNS = ("conv_id", "seq", "turn", "role", "new_role", "action", "inserted", "cost", "rendered")
+
+
+def render(out: list[tuple], conv, seq: int, turns, roles, texts, path: list[int], last: bool) -> None:
     for i, (turn, role, text) in enumerate(zip(turns, roles, texts, strict=True)):
         s, t, r = path[i], path[i + 1], known(role)
         cost, (merged, inserted) = int(STEPS[r][0][s, t]), STEPS[r][1][s, t]
@@ -118,9 +121,7 @@ def rendered(conv, seq: int, turns, roles, texts, path: list[int], last: bool) -
             piece += "<|end|>\n" + "".join(f"<|start|>{x}\n<|end|>\n" for x in after)
             cost += FINAL[t]
         action = ("merge" if merged else "keep") if ROLES[t] == r else ("relabel_merge" if merged else "relabel")
-        for k, v in zip(out, (conv, seq + i, turn, role, ROLES[t], action, ",".join((*inserted, *after)), cost, piece), strict=True):
-            out[k].append(v)
-    return out
+        out.append((conv, seq + i, turn, role, ROLES[t], action, ",".join((*inserted, *after)), cost, piece))
 
 
 RESULT = "conv_id long, seq long, turn long, role string, new_role string, action string, inserted string, cost long, rendered string"
@@ -161,16 +162,24 @@ def in_chunks(batches: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[pd
 
 def emit(pdfs: Iterator[pd.DataFrame], path_of) -> Iterator[pd.DataFrame]:
     for pdf in pdfs:
+        out: list[tuple] = []
         for row in pdf.itertuples(index=False):
             roles = [known(r) for r in row.roles]
             seq, last, path = path_of(row, roles)
-            out = pd.DataFrame(rendered(None if pd.isna(row.conv) else int(row.conv), seq, row.turns, row.roles, row.texts, path, last))
-            yield out.astype({"conv_id": "Int64", "turn": "Int64"})
+            render(out, None if pd.isna(row.conv) else int(row.conv), seq, row.turns, row.roles, row.texts, path, last)
+        yield pd.DataFrame(out, columns=COLUMNS).astype({"conv_id": "Int64", "turn": "Int64"})
 
 
-def whole_path(row, roles: list) -> tuple[int, bool, list[int]]:
+@lru_cache(10_000)
+def best_path(roles: tuple) -> list[int]:
     costs = forward(roles, np.where(np.arange(N) == START, 0, FAR))
-    return 0, True, backward(roles, costs, final_state(costs[-1]))
+    return backward(roles, costs, final_state(costs[-1]))
+
+
+def whole_path(row, roles: list) -> tuple[int, bool, list[int]]:
+    """Short conversations share few sequences of roles; their paths are kept."""
+    path = best_path(tuple(roles)) if len(roles) <= 64 else best_path.__wrapped__(tuple(roles))
+    return 0, True, path
 
 
 def part_path(row, roles: list) -> tuple[int, bool, list[int]]:
