@@ -300,7 +300,7 @@ class OLSRobust(Base):
         fits = []
         for sid, y, _, predictors in work:
             cols = [at[c] for c in predictors]
-            slope = float(ols.fit(total[None], cols, at[y], full=False)["b"][0, 0])
+            slope = float(ols.fit(total[None], cols, at[y], full=False, p_of=1)["b"][0, 0])
             fits.append((sid, at[y], [at[c] for c in predictors if c != "const"], slope))
         if m.group:
             sizes = rows.groupBy(F.col(f"`{m.group}`").alias("__group")).agg(F.count("*").alias("size"))
@@ -320,10 +320,12 @@ class OLSRobust(Base):
                 g = moments.unpack(np.stack(pdf["gram"].to_numpy()), p)
                 draw = pdf["draw"].to_numpy(np.int32)
                 for sid, y, cols, slope in fits:
-                    own, null = ols.fit(g, [*cols, p], y, full=False), ols.fit(g, [*cols, p], y, full=False, y_star=(cols[0], slope))
+                    own, null = (ols.fit(g, [*cols, p], y, full=False, y_star=s, p_of=1) for s in (None, (cols[0], slope)))
                     yield pd.DataFrame({"spec_id": np.int64(sid), "draw": draw, "beta": own["b"][:, 0], "p": own["p"][:, 0], "r2": own["r2"], "beta_null": null["b"][:, 0], "p_null": null["p"][:, 0]})
 
-        return materialize(drawn.select("draw", "gram").mapInPandas(fit_draws, BOOT_SCHEMA), "boot")
+        # A given number of partitions, as AQE would join the few bytes of the Grams into one task.
+        tasks = max(1, min(m.draws // 16, spark.sparkContext.defaultParallelism))
+        return materialize(drawn.select("draw", "gram").repartition(tasks, "draw").mapInPandas(fit_draws, BOOT_SCHEMA), "boot")
 
 
 class LRobust(Base):

@@ -26,10 +26,11 @@ def information(ll: np.ndarray, n: np.ndarray, k: int) -> dict[str, np.ndarray]:
         return {"aic": 2 * k - 2 * ll, "bic": k * np.log(n) - 2 * ll, "hqic": 2 * k * np.log(np.log(n)) - 2 * ll}
 
 
-def fit(g: np.ndarray, cols: list[int], y: int, full: bool = True, y_star: tuple[int, float] | None = None) -> dict[str, np.ndarray]:
+def fit(g: np.ndarray, cols: list[int], y: int, full: bool = True, y_star: tuple[int, float] | None = None, p_of: int | None = None) -> dict[str, np.ndarray]:
     """Fits of v_y on the columns ``cols`` for a batch of Grams (b, p + 1, p + 1), whose last row belongs to the 1.
 
     y_star: (column, slope): fit y - slope * column instead, by algebra on the Gram alone.
+    p_of: number of leading coefficients that need a p value (default: all).
     """
     one, k = g.shape[1] - 1, len(cols)
     a, c = g[:, cols][:, :, cols], g[:, cols, y]
@@ -46,7 +47,7 @@ def fit(g: np.ndarray, cols: list[int], y: int, full: bool = True, y_star: tuple
         df = n - k
         se = np.sqrt(np.clip(np.einsum("bii->bi", inverse), 0, None) * (rss / df)[:, None])
         t = np.where(se == 0, np.nan, b / np.where(se == 0, 1, se))
-        p = t_two_sided(t, df[:, None])
+        p = t_two_sided(t[:, :p_of], df[:, None])
         mean_e = (sy - np.einsum("bi,bi->b", b, s)) / n
         var_y = yy / n - (sy / n) ** 2
         r2 = 1 - (rss / n - mean_e**2) / var_y
@@ -64,7 +65,7 @@ def fold_metric(total: np.ndarray, folds: np.ndarray, cols: list[int], y: int, m
     """Out-of-sample metric of each fold: fitted to the other folds, scored on its own Gram."""
     one = total.shape[0] - 1
     train = total[None] - folds
-    b = fit(train, cols, y, full=False)["b"]
+    b = fit(train, cols, y, full=False, p_of=1)["b"]
     n, yy, sy = folds[:, one, one], folds[:, y, y], folds[:, y, one]
     sse = yy - 2 * np.einsum("bi,bi->b", b, folds[:, cols, y]) + np.einsum("bi,bij,bj->b", b, folds[:, cols][:, :, cols], b)
     with np.errstate(divide="ignore", invalid="ignore"):
