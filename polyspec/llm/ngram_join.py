@@ -6,10 +6,11 @@ copies meet only in a count. Each node has a label of ``DEPTH`` MinHash values i
 
 Nodes that share a trie prefix are candidates. The join starts at the full prefix and shortens it until the chance
 that a pair of similarity THRESHOLD shares a prefix in some tree reaches TARGET_RECALL. Within a prefix, nodes are
-compared with a hub instead of with each other; rounds with other hubs then compare what is not yet connected,
-until a round finds nothing new. Every candidate is verified by the exact Jaccard similarity of the shingle sets.
-Connected nodes are classes. Links are counted exactly within each class, in blocks of at most about ``BLOCK``
-nodes against each other, without a row per pair.
+first compared with a hub instead of with each other; a hub is then done with, and rounds with other hubs compare
+what is not yet connected. When a round adds no link, or after ``MAX_ROUNDS``, all pairs of a prefix that are still
+unconnected and untested are compared, in blocks and without a row per pair; so every candidate is connected or
+verified by the exact Jaccard similarity of the shingle sets. Connected nodes are classes. Links are counted exactly
+within each class, in blocks of at most about ``BLOCK`` nodes against each other.
 
 Defined cases: null text: empty; texts without words are copies of each other only if equal; repeated rows are
 copies (a doc_id stands for one text); an empty table gives no rows; any length of text works; extra columns are
@@ -19,7 +20,8 @@ not carried, and never clash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,10 @@ from polyspec.llm.common import materialize, read, small_batches
 
 NGRAM, THRESHOLD_PERCENT, TARGET_RECALL = 5, 80, 0.999
 TREES, DEPTH, SEED = 20, 6, 20240229
-#: Nodes in a block of exact link counting, and hub rounds at most (a round that adds no link ends them).
+#: Nodes in a block of exact comparison, and hub rounds at most before it (a round that adds no link ends them).
 BLOCK, MAX_ROUNDS = 512, 8
+#: Shingles in a block of unconnected nodes, about.
+BLOCK_SHINGLES = 1 << 20
 #: Shingles hashed at once.
 PART = 1 << 16
 
@@ -181,19 +185,36 @@ def shingles(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "node long, n int, set array<long>")
 
 
-def candidates(buckets: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
-    """a, b: each node with its prefix's hub (a < b). The first turn takes the least node as hub, later ones a node by
-    hash, and only where hub and node aren't connected yet."""
-    if classes is not None:
-        buckets = buckets.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        order = F.xxhash64("key", "node", F.lit(turn))
-        hubs = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("class").alias("hub_class"))).alias("h"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-        hubs = hubs.where("lo <> hi").select("key", "h.hub", "h.hub_class")
-        met = buckets.join(hubs, "key").where("class <> hub_class")
-    else:
-        hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"))
-        met = buckets.join(hubs, "key").where("node <> hub")
-    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+def bucket_table(nodes: DataFrame, short: int) -> DataFrame:
+    """key, node, whole of the prefixes with several nodes; of prefixes with the same nodes, one. The short prefixes are
+    ``whole``: the full ones, whose hubs are likelier to be similar, are parts of them."""
+    keyed = nodes.select("node", F.posexplode("keys").alias("place", "key")).select("node", "key", (F.col("place") % 2 == 0).alias("whole"))
+    if short == DEPTH:
+        keyed = keyed.where("whole")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.max("whole").alias("whole"))
+    kept = sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.max("whole").alias("whole"))
+    return keyed.drop("whole").join(kept.select("key", "whole"), "key")
+
+
+def unconnected(buckets: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """key, node, whole, class of the buckets that hold several classes."""
+    if classes is None:
+        return buckets.withColumn("class", F.col("node"))
+    buckets = buckets.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    mixed = buckets.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    return buckets.join(mixed.select("key"), "key")
+
+
+def with_hubs(buckets: DataFrame, turn: int) -> DataFrame:
+    """``buckets`` with hub and hub_class: the least node on the first turn, later one by hash."""
+    order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+    hubs = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("class").alias("hub_class"))).alias("h"))
+    return buckets.join(hubs.select("key", "h.hub", "h.hub_class"), "key")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """a, b: each node with its prefix's hub (a < b), where they aren't connected yet."""
+    return met.where("class <> hub_class").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,6 +249,92 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(roots)
 
 
+def by_group(columns: list[str], one_group: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``one_group`` over each run of rows with equal ``columns``, across batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key = pdf[columns].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(pdf)]
+            done = []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and last != tuple(key[s]):
+                    done.append(one_group(pd.concat(held) if len(held) > 1 else held[0]))
+                    held = []
+                held.append(pdf.iloc[s:e])
+                last = tuple(key[s])
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield one_group(pd.concat(held))
+
+    return run
+
+
+def similar(pdf: pd.DataFrame, percent: int) -> np.ndarray:
+    """Whether each two of the rows (n, set) are similar enough; no row is similar to itself."""
+    n, size = pdf["n"].to_numpy(np.int64), len(pdf)
+    hashes = np.concatenate([np.asarray(s, np.int64) for s in pdf["set"]])
+    doc = np.repeat(np.arange(size), n)
+    order = np.argsort(hashes, kind="stable")
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1  # a hash of one node adds to no intersection
+    keep = shared[column]
+    column, doc = (np.cumsum(shared) - 1)[column[keep]], doc[keep]
+    common = np.zeros((size, size), np.float32)
+    step, width = 4096, int(shared.sum())
+    cuts = np.searchsorted(column, np.arange(0, width + step, step))
+    for k in range(len(cuts) - 1):
+        s, e = cuts[k], cuts[k + 1]
+        if s < e:
+            some = np.zeros((size, min(step, width - k * step)), np.float32)
+            some[doc[s:e], column[s:e] - k * step] = 1
+            common += some @ some.T
+    linked = common.astype(np.int64) * 100 >= (n[:, None] + n[None, :] - common.astype(np.int64)) * percent
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def compare_all(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes (a < b) with similar enough nodes in one bucket. ``buckets``: key, node, class. Nodes are dealt to
+    bands of sizes, of which only equal and adjacent ones can be similar, and to blocks of a band; each two blocks that
+    hold several classes meet in one group."""
+    width = math.log(100 / percent) + 1e-9
+    sized = buckets.select("key", "node", "class").join(sets.select("node", "n"), "node").withColumn("band", F.floor(F.log("n") / width))
+    bands = sized.groupBy("key", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    own = sized.join(bands, ["key", "band"]).select("key", "node", "class", "band", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    own = materialize(own, "cells")
+    cells = own.groupBy("key", "band", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    one = cells.select("key", F.col("band").alias("i"), F.col("block").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    two = cells.select("key", F.col("band").alias("j"), F.col("block").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = one.join(two, "key").where("(i = j AND p <= q OR i + 1 = j) AND least(lo1, lo2) <> greatest(hi1, hi2)").select("key", "i", "p", "j", "q")
+    met = materialize(met, "cells")
+    group = ["key", "i", "p", "j", "q"]
+    first = own.withColumnsRenamed({"band": "i", "block": "p"}).join(met, ["key", "i", "p"]).withColumn("side", F.lit(0))
+    second = own.withColumnsRenamed({"band": "j", "block": "q"}).join(met.where("i <> j OR p <> q"), ["key", "j", "q"]).withColumn("side", F.lit(1))
+    columns = [*group, "side", "node", "class"]
+    dealt = first.select(columns).unionByName(second.select(columns)).join(sets, "node")
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group)
+
+    def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        linked = similar(pdf, percent)
+        own, side = pdf["class"].to_numpy(np.int64), pdf["side"].to_numpy()
+        linked &= own[:, None] < own[None, :]
+        if side.any():
+            linked &= side[:, None] != side[None, :]
+        a, b = np.nonzero(linked)
+        return pd.DataFrame({"a": own[a], "b": own[b]}).drop_duplicates()
+
+    return dealt.select(*group, "side", "class", "n", "set").mapInPandas(by_group(group, one_group), "a long, b long").distinct()
+
+
 def count_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, links: documents in other nodes of its class that are similar enough. ``members``: node, class, copies."""
     sized = members.join(members.groupBy("class").agg(F.count("*").alias("m")), "class")
@@ -240,54 +347,13 @@ def count_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node")
-        n, size = pdf["n"].to_numpy(np.int64), len(pdf)
-        hashes = np.concatenate([np.asarray(s, np.int64) for s in pdf["set"]])
-        doc = np.repeat(np.arange(size), n)
-        order = np.argsort(hashes, kind="stable")
-        hashes, doc = hashes[order], doc[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = hashes[1:] != hashes[:-1]
-        column = np.cumsum(new) - 1
-        shared = np.bincount(column) > 1  # a hash of one node adds to no intersection
-        keep = shared[column]
-        column, doc = (np.cumsum(shared) - 1)[column[keep]], doc[keep]
-        common = np.zeros((size, size), np.float32)
-        step, width = 4096, int(shared.sum())
-        cuts = np.searchsorted(column, np.arange(0, width + step, step))
-        for k in range(len(cuts) - 1):
-            s, e = cuts[k], cuts[k + 1]
-            if s < e:
-                some = np.zeros((size, min(step, width - k * step)), np.float32)
-                some[doc[s:e], column[s:e] - k * step] = 1
-                common += some @ some.T
-        linked = common.astype(np.int64) * 100 >= (n[:, None] + n[None, :] - common.astype(np.int64)) * percent
-        np.fill_diagonal(linked, False)
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        linked = similar(pdf, percent)
         block = pdf["block"].to_numpy()
-        if i != j:
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
             linked &= block[:, None] != block[None, :]
         return pd.DataFrame({"node": pdf["node"].to_numpy(), "links": linked @ pdf["copies"].to_numpy(np.int64)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            key = pdf[["class", "i", "j"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(pdf)]
-            done = []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                part = pdf.iloc[s:e]
-                if held and tuple(held[-1][["class", "i", "j"]].iloc[-1]) != tuple(key[s]):
-                    done.append(one_group(pd.concat(held)))
-                    held = []
-                held.append(part)
-            if done:
-                yield pd.concat(done)
-        if held:
-            yield one_group(pd.concat(held))
-
-    counted = dealt.select("class", "i", "j", "block", "node", "copies", "n", "set").mapInPandas(run, "node long, links long")
+    counted = dealt.select("class", "i", "j", "block", "node", "copies", "n", "set").mapInPandas(by_group(["class", "i", "j"], one_group), "node long, links long")
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
@@ -297,28 +363,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     seen = materialize(sketches(docs, id_col, text, short), "sketches")
     nodes = seen.groupBy("k1", "k2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    common = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialize(keyed.join(common, "key"), "buckets")
+    buckets = materialize(bucket_table(nodes, short), "buckets")
     wanted = buckets.select(F.col("node").alias("doc")).distinct()
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     sets = materialize(shingles(texts.join(wanted, "doc", "left_semi")), "sets")
     classes, edges, tried = None, None, None
+    left = unconnected(buckets, None)
     for turn in range(MAX_ROUNDS):
-        pairs = candidates(buckets, classes, turn)
+        met = with_hubs(left, turn)
+        pairs = candidates(met)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = materialize(verified(pairs, sets, percent), "links")
         more = not found.isEmpty()
         if more:
             edges = found if edges is None else edges.unionByName(found)
             classes = materialize(components(edges), "classes")
-        if classes is None or (turn > 1 and not more):
+        rest = met.where("node <> hub").select("key", "node", "whole")
+        known = nodes.select("node", F.col("node").alias("class")).limit(0) if classes is None else classes
+        left = materialize(unconnected(rest, known), "unconnected")
+        if left.isEmpty() or (turn > 1 and not more):
             break
+    found = materialize(compare_all(left.where("whole"), sets, percent), "links")
+    if not found.isEmpty():
+        edges = found if edges is None else edges.unionByName(found)
+        classes = materialize(components(edges), "classes")
     own = nodes.select("k1", "k2", "node", "copies")
     if classes is not None:
         members = classes.join(own.select("node", "copies"), "node")

@@ -58,6 +58,19 @@ def test_near_duplicates_against_all_pairs(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_far_from_every_hub_are_met(spark, monkeypatch):
+    # All share 452 of about 515 shingles (similarity below 0.8), so most are in one prefix of each tree. Each has one near
+    # copy, with which it shares 6 more: too few for most pairs to have a prefix of their own.
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    shared = " ".join(f"s{k}" for k in range(456))
+    more = lambda c, i, n: "".join(f" {c}{i}x{k}" for k in range(n))
+    texts = [shared + more("p", i, 6) + more("a", i, 57 + i % 6) for i in range(300)] + [shared + more("p", i, 6) + more("b", i, 57 - i % 6) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()}
+    lost = [i for i in range(600) if got[i] != (i % 300, 1)]
+    assert not lost, len(lost)
+
+
 def test_prefixes_shorten_until_the_recall():
     assert ngram_join.prefix_length(0.8) == 5 and ngram_join.prefix_length(0.95) == 6 and ngram_join.prefix_length(0.3) < 4
 
