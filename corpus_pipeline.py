@@ -32,10 +32,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class, once."""
-    own = fresh(docs.columns, "id")["id"]
-    firsts = ngram_join.near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(firsts, docs.doc_id.cast("long") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each class: the one of least doc_id, of a null one only if there is no other. Rows are told apart
+    by a number of their own, so rows of null or repeated doc_ids with different texts stay."""
+    row = fresh(docs.columns, "row")["row"]
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    classes = ngram_join.near_duplicates(numbered.select(row, "text"), row).select(row, "class_id")
+    ids = numbered.select(F.col(row), F.col("doc_id").cast("long").alias("doc"))
+    firsts = classes.join(ids, row).groupBy("class_id").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", row)).alias("first"))
+    return numbered.join(firsts.select(F.col(f"first.{row}").alias(row)), row, "left_semi").drop(row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

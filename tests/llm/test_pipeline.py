@@ -41,3 +41,13 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert len(left) == seen["near_duplicates"].count() and not any(i in left for i in range(15, 300, 6)) and sum(i in left for i in range(0, 300, 6)) >= 44
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == left and packed.count() == seen["packing"].count()
+
+
+def test_rows_of_null_and_repeated_ids_keep_their_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (5, text(2)), (5, text(3)), (9, text(4)), (7, text(4)), (None, text(4)), (7, text(4)), (None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __row string")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in out.collect()))
+    assert got == sorted([(0, text(0)), (0, text(1)), (5, text(2)), (5, text(3)), (7, text(4)), (0, "")])
