@@ -2,19 +2,22 @@
 
 Words are runs of ASCII letters and digits (lower-cased) and of other non-ASCII bytes; a text's shingles are its
 5-word windows (all its words, if fewer), as 64-bit hashes. Texts of equal shingle sets form one node, so exact
-copies meet only in a count. Each node has a label of ``DEPTH`` MinHash values in each of ``TREES`` prefix tries.
-
-Nodes that share a trie prefix are candidates. The join starts at the full prefix and shortens it until the chance
-that a pair of similarity THRESHOLD shares a prefix in some tree reaches TARGET_RECALL. Within a prefix, nodes are
-first compared with a hub instead of with each other; a hub is then done with, and rounds with other hubs compare
-what is not yet connected. When a round adds no link, or after ``MAX_ROUNDS``, all pairs of a prefix that are still
-unconnected and untested are compared, in blocks and without a row per pair; so every candidate is connected or
-verified by the exact Jaccard similarity of the shingle sets. Connected nodes are classes. Links are counted exactly
-within each class, in blocks of at most about ``BLOCK`` nodes against each other.
+copies meet only in a count. Each node has a label of ``DEPTH`` MinHash digits in each of ``TREES`` prefix tries.
+
+Nodes that share a trie prefix are candidates. The join starts at whole labels and shortens the prefixes until the
+target recall: the exact similarities of the links met so far, each weighted by its chance to be met, tell which part
+of all links shares a prefix of each length, and the join goes on with the longest prefix that is expected to reach
+TARGET_RECALL. At the shortest, ``prefix_length``, even pairs just at the threshold reach it. Within a prefix, nodes
+are first compared with a hub, which connects most copies cheaply; the pairs that stay unconnected are then compared
+in blocks, without a row per pair: labels alone drop the nodes whose digits agree too seldom with any other's, and
+shingle sets decide on the rest. So every candidate pair ends in one class, or is verified by its exact Jaccard
+similarity. Connected nodes are classes. Links are counted exactly within each class, in blocks of at most about
+``BLOCK`` nodes against each other.
 
 Defined cases: null text: empty; texts without words are copies of each other only if equal; repeated rows are
-copies (a doc_id stands for one text); an empty table gives no rows; any length of text works; extra columns are
-not carried, and never clash.
+copies; rows of a null doc_id are documents too, and a class without any doc_id gets a negative number; a doc_id may
+stand for several texts, and where it is the least of several classes all but one of them get negative numbers; an
+empty table gives no rows; any length of text works; extra columns are not carried, and never clash.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyspec.llm.bytebpe import chunks
-from polyspec.llm.common import materialize, read, small_batches
+from polyspec.llm.common import read
+from polyspec.plans.scratch import Scratch
 
 NGRAM, THRESHOLD_PERCENT, TARGET_RECALL = 5, 80, 0.999
-TREES, DEPTH, SEED = 20, 6, 20240229
-#: Nodes in a block of exact comparison, and hub rounds at most before it (a round that adds no link ends them).
-BLOCK, MAX_ROUNDS = 512, 8
-#: Shingles in a block of unconnected nodes, about.
-BLOCK_SHINGLES = 1 << 20
+TREES, DEPTH, SEED = 20, 8, 20240229
+#: Nodes and (about) shingles in a block of exact comparison.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Chance that the labels of a pair at the threshold agree too seldom for its shingle sets to be compared.
+MISSED = 1e-6
 #: Shingles hashed at once.
 PART = 1 << 16
 
@@ -50,6 +54,16 @@ def prefix_length(threshold: float, recall: float = TARGET_RECALL, trees: int =
     return 1
 
 
+def least_agreement(threshold: float, missed: float = MISSED) -> int:
+    """The digits that two labels share at least, but for a chance of ``missed`` at this similarity."""
+    n, below = TREES * DEPTH, 0.0
+    for c in range(n + 1):
+        below += math.comb(n, c) * threshold**c * (1 - threshold) ** (n - c)
+        if below > missed:
+            return c
+    return n
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -120,127 +134,120 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 def labels(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH MinHash values of each non-empty set."""
+    """A label per tree of each non-empty set: DEPTH digits of 8 bits, each of a MinHash value, the first on top. The
+    labels of a tree in order are its trie, and their leading digits are its prefixes."""
     a, b = permutations()
-    out = np.empty((len(at) - 1, len(a)), np.uint64)
+    out = np.empty((len(at) - 1, len(a)), np.uint8)
     doc = 0
     while doc < len(at) - 1:
         to = max(doc + 1, int(np.searchsorted(at, at[doc] + PART, "right")) - 1)
         part, cuts = sets[at[doc] : at[to]], at[doc:to] - at[doc]
         for k in range(len(a)):
-            out[doc:to, k] = np.minimum.reduceat(part * a[k] + b[k], cuts)
+            out[doc:to, k] = np.minimum.reduceat(part * a[k] + b[k], cuts).astype(np.uint8)
         doc = to
-    return out
+    return out.view(">u8").astype(np.uint64).reshape(-1, TREES)
 
 
 def longs(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+    return pa.array(np.ascontiguousarray(x).view(np.int64).reshape(-1))
+
 
+def keyed_texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """doc, f, text."""
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return own.select("doc", F.xxhash64("text").alias("f"), "text")
 
-def sketches(docs: DataFrame, id_col: str, text: str, short: int) -> DataFrame:
-    """doc, k1, k2 (128 bits of the shingle set), keys (per tree: the node of ``short`` values, and of all)."""
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+
+def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """doc, f (hash of the text), k1, k2 (128 bits of the shingle set), n (shingles), labels (one per tree; none without words)."""
+    src = keyed_texts(docs, id_col, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, to, data, ends in chunks(batch.column("text")):
                 sets, at = shingle_sets(data, ends)
                 n = to - row
-                full = np.flatnonzero(np.diff(at))
+                size = np.diff(at)
+                full = np.flatnonzero(size)
                 k = np.zeros((2, n), np.uint64)
+                flat = np.zeros(0, np.uint64)
                 if len(full):
                     cuts = at[:-1][full]
                     k[0, full] = np.add.reduceat(mix(sets + np.uint64(1)), cuts)
                     k[1, full] = np.add.reduceat(mix(sets ^ _BASE), cuts)
-                for i in np.flatnonzero(np.diff(at) == 0):
+                    flat = labels(sets, np.append(cuts, at[-1]))
+                for i in np.flatnonzero(size == 0):
                     k[:, i] = np.frombuffer(hashlib.blake2b(data[ends[i] : ends[i + 1]], digest_size=16).digest(), "<u8")
-                keys = np.zeros((n, TREES, 2), np.uint64)
-                if len(full):
-                    values = labels(sets, np.append(at[:-1][full], at[-1])).reshape(-1, TREES, DEPTH)
-                    node = np.zeros(values.shape[:2], np.uint64) + np.arange(1, TREES + 1, dtype=np.uint64)
-                    for level in range(DEPTH):
-                        node = mix(node * _BASE + values[:, :, level])
-                        if level + 1 == short:
-                            keys[full, :, 0] = node
-                    keys[full, :, 1] = node
-                width = np.where(np.diff(at) > 0, 2 * TREES, 0)
-                flat = keys.reshape(n, -1)[np.diff(at) > 0].reshape(-1)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), longs(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(row, n), longs(k[0]), longs(k[1]), lists], names=["doc", "k1", "k2", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(size > 0, TREES, 0))).astype(np.int32)), longs(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(row, n), batch.column("f").slice(row, n), longs(k[0]), longs(k[1]), pa.array(size.astype(np.int32)), lists], names=["doc", "f", "k1", "k2", "n", "labels"])
 
-    return src.mapInArrow(run, "doc long, k1 long, k2 long, keys array<long>")
+    return src.mapInArrow(run, "doc long, f long, k1 long, k2 long, n int, labels array<long>")
 
 
 def shingles(docs: DataFrame) -> DataFrame:
-    """node, n, set (binary, sorted 64-bit hashes) of (doc, text)."""
+    """node, n, set (array of sorted 64-bit hashes) of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, to, data, ends in chunks(batch.column("text")):
                 sets, at = shingle_sets(data, ends)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), longs(sets))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(row, to - row), pa.array(np.diff(at).astype(np.int32)), lists], names=["node", "n", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(row, to - row), pa.array(np.diff(at).astype(np.int32)), lists], names=["node", "n", "set"])
 
-    return docs.select("doc", "text").mapInArrow(run, "node long, n int, set array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, n int, set array<long>")
 
 
-def bucket_table(nodes: DataFrame, short: int) -> DataFrame:
-    """key, node, whole of the prefixes with several nodes; of prefixes with the same nodes, one. The short prefixes are
-    ``whole``: the full ones, whose hubs are likelier to be similar, are parts of them."""
-    keyed = nodes.select("node", F.posexplode("keys").alias("place", "key")).select("node", "key", (F.col("place") % 2 == 0).alias("whole"))
-    if short == DEPTH:
-        keyed = keyed.where("whole")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.max("whole").alias("whole"))
-    kept = sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.max("whole").alias("whole"))
-    return keyed.drop("whole").join(kept.select("key", "whole"), "key")
+def prefix(label: str, level: int) -> str:
+    return f"shiftrightunsigned({label}, {8 * (DEPTH - level)})"
 
 
-def unconnected(buckets: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """key, node, whole, class of the buckets that hold several classes."""
-    if classes is None:
-        return buckets.withColumn("class", F.col("node"))
-    buckets = buckets.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = buckets.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-    return buckets.join(mixed.select("key"), "key")
+def tries(nodes: DataFrame, floor: int) -> DataFrame:
+    """tree, label, node, n of the nodes that share a prefix of ``floor`` digits with another node."""
+    placed = nodes.select("node", "n", F.posexplode("labels").alias("tree", "label")).withColumn("at", F.expr(prefix("label", floor)))
+    several = placed.groupBy("tree", "at").agg(F.count("*").alias("met")).where("met > 1").drop("met")
+    return placed.join(several, ["tree", "at"]).drop("at")
+
+
+def buckets(trie: DataFrame, level: int, classes: DataFrame | None) -> DataFrame:
+    """tree, at (a prefix of ``level`` digits), node, n, class, of the prefixes that hold several classes. Of prefixes that
+    hold the same nodes the one in the first tree stays."""
+    rows = trie.select("tree", F.expr(prefix("label", level)).alias("at"), "node", "n")
+    return mixed(classed(rows, classes))
 
 
-def with_hubs(buckets: DataFrame, turn: int) -> DataFrame:
-    """``buckets`` with hub and hub_class: the least node on the first turn, later one by hash."""
-    order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-    hubs = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("class").alias("hub_class"))).alias("h"))
-    return buckets.join(hubs.select("key", "h.hub", "h.hub_class"), "key")
+def classed(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
+    if classes is None:
+        return rows.withColumn("class", F.col("node"))
+    return rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
-def candidates(met: DataFrame) -> DataFrame:
-    """a, b: each node with its prefix's hub (a < b), where they aren't connected yet."""
-    return met.where("class <> hub_class").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+def mixed(rows: DataFrame) -> DataFrame:
+    held = rows.groupBy("tree", "at").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("met"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = held.where("lo <> hi").groupBy("met", "x", "y").agg(F.min(F.struct("tree", "at")).alias("first")).select("first.*")
+    return rows.join(kept, ["tree", "at"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets have an exact Jaccard similarity of at least ``percent`` / 100; sizes filter first."""
-    sizes = sets.select("node", "n")
-    left, right = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    fits = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    # The hub side (mostly a) is joined last, so that its set isn't copied through a shuffle for each of its pairs.
-    met = fits.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return met.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b").distinct()
+def hubs(rows: DataFrame) -> DataFrame:
+    """tree, at, hub, hub_n, hub_class: the least node of each prefix."""
+    least = F.min(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("class").alias("hub_class")))
+    return rows.groupBy("tree", "at").agg(least.alias("h")).select("tree", "at", "h.hub", "h.hub_n", "h.hub_class")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, class (the least connected node) of the nodes in ``edges``, by alternating large and small stars."""
-    state = None
+    scratch = Scratch(edges.sparkSession)
+    state, held = None, None
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "stars")
+        large = scratch.write(large, "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.*").where("u <> v").distinct(), "stars")
+        edges = scratch.write(small.select("e.*").where("u <> v").distinct(), "stars")
+        scratch.drop(large, held)
+        held = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -275,8 +282,8 @@ def by_group(columns: list[str], one_group: Callable[[pd.DataFrame], pd.DataFram
     return run
 
 
-def similar(pdf: pd.DataFrame, percent: int) -> np.ndarray:
-    """Whether each two of the rows (n, set) are similar enough; no row is similar to itself."""
+def shared(pdf: pd.DataFrame) -> np.ndarray:
+    """Common shingles of each two of the rows (n, set)."""
     n, size = pdf["n"].to_numpy(np.int64), len(pdf)
     hashes = np.concatenate([np.asarray(s, np.int64) for s in pdf["set"]])
     doc = np.repeat(np.arange(size), n)
@@ -285,11 +292,11 @@ def similar(pdf: pd.DataFrame, percent: int) -> np.ndarray:
     new = np.ones(len(hashes), bool)
     new[1:] = hashes[1:] != hashes[:-1]
     column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1  # a hash of one node adds to no intersection
-    keep = shared[column]
-    column, doc = (np.cumsum(shared) - 1)[column[keep]], doc[keep]
+    several = np.bincount(column) > 1  # a hash of one node adds to no intersection
+    keep = several[column]
+    column, doc = (np.cumsum(several) - 1)[column[keep]], doc[keep]
     common = np.zeros((size, size), np.float32)
-    step, width = 4096, int(shared.sum())
+    step, width = 4096, int(several.sum())
     cuts = np.searchsorted(column, np.arange(0, width + step, step))
     for k in range(len(cuts) - 1):
         s, e = cuts[k], cuts[k + 1]
@@ -297,48 +304,99 @@ def similar(pdf: pd.DataFrame, percent: int) -> np.ndarray:
             some = np.zeros((size, min(step, width - k * step)), np.float32)
             some[doc[s:e], column[s:e] - k * step] = 1
             common += some @ some.T
-    linked = common.astype(np.int64) * 100 >= (n[:, None] + n[None, :] - common.astype(np.int64)) * percent
+    return common.astype(np.int64)
+
+
+def similar(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each two of the rows (n, set) are similar enough, and how similar; no row is similar to itself."""
+    n, common = pdf["n"].to_numpy(np.int64), shared(pdf)
+    union = n[:, None] + n[None, :] - common
+    linked = common * 100 >= union * percent
     np.fill_diagonal(linked, False)
-    return linked
+    return linked, common / union
 
 
-def compare_all(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: classes (a < b) with similar enough nodes in one bucket. ``buckets``: key, node, class. Nodes are dealt to
-    bands of sizes, of which only equal and adjacent ones can be similar, and to blocks of a band; each two blocks that
-    hold several classes meet in one group."""
-    width = math.log(100 / percent) + 1e-9
-    sized = buckets.select("key", "node", "class").join(sets.select("node", "n"), "node").withColumn("band", F.floor(F.log("n") / width))
-    bands = sized.groupBy("key", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    own = sized.join(bands, ["key", "band"]).select("key", "node", "class", "band", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    own = materialize(own, "cells")
-    cells = own.groupBy("key", "band", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    one = cells.select("key", F.col("band").alias("i"), F.col("block").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    two = cells.select("key", F.col("band").alias("j"), F.col("block").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    met = one.join(two, "key").where("(i = j AND p <= q OR i + 1 = j) AND least(lo1, lo2) <> greatest(hi1, hi2)").select("key", "i", "p", "j", "q")
-    met = materialize(met, "cells")
-    group = ["key", "i", "p", "j", "q"]
-    first = own.withColumnsRenamed({"band": "i", "block": "p"}).join(met, ["key", "i", "p"]).withColumn("side", F.lit(0))
-    second = own.withColumnsRenamed({"band": "j", "block": "q"}).join(met.where("i <> j OR p <> q"), ["key", "j", "q"]).withColumn("side", F.lit(1))
-    columns = [*group, "side", "node", "class"]
-    dealt = first.select(columns).unionByName(second.select(columns)).join(sets, "node")
-    dealt = dealt.repartition(*group).sortWithinPartitions(*group)
+GROUP = ["tree", "at", "i", "p", "j", "q"]
+
+
+def linked_classes(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b (nodes, a < b), share: of each group of ``dealt`` (GROUP, side, node, class) the two classes with a similar
+    enough pair of nodes, if there are two sides one of each, and one such pair with the least similarity."""
+    rows = dealt.join(sets, "node").repartition(*GROUP).sortWithinPartitions(*GROUP)
 
     def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        linked = similar(pdf, percent)
-        own, side = pdf["class"].to_numpy(np.int64), pdf["side"].to_numpy()
+        linked, share = similar(pdf, percent)
+        own, side, node = pdf["class"].to_numpy(np.int64), pdf["side"].to_numpy(), pdf["node"].to_numpy(np.int64)
         linked &= own[:, None] < own[None, :]
         if side.any():
             linked &= side[:, None] != side[None, :]
         a, b = np.nonzero(linked)
-        return pd.DataFrame({"a": own[a], "b": own[b]}).drop_duplicates()
+        out = pd.DataFrame({"x": own[a], "y": own[b], "a": node[a], "b": node[b], "share": share[a, b]})
+        return out.sort_values("share").drop_duplicates(["x", "y"])[["a", "b", "share"]]
+
+    return rows.select(*GROUP, "side", "node", "class", "n", "set").mapInPandas(by_group(GROUP, one_group), "a long, b long, share double")
+
+
+def hub_groups(met: DataFrame, percent: int) -> DataFrame:
+    """Groups of each hub (side 0) with a block of the nodes (side 1) that share a prefix with it and are of a fitting size."""
+    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    pairs = met.where((F.col("class") != F.col("hub_class")) & fits).select("hub", "hub_n", "hub_class", "node", "n", "class").distinct()
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    pairs = pairs.join(sizes, "hub").withColumn("p", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    group = [F.lit(-1).alias("tree"), F.col("hub").alias("at"), F.lit(0).cast("long").alias("i"), "p", F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("q")]
+    others = pairs.select(*group, F.lit(1).alias("side"), "node", "class")
+    return others.unionByName(pairs.select(*group, F.lit(0).alias("side"), F.col("hub").alias("node"), F.col("hub_class").alias("class")).distinct())
+
 
-    return dealt.select(*group, "side", "class", "n", "set").mapInPandas(by_group(group, one_group), "a long, b long").distinct()
+def block_groups(rows: DataFrame, level: int, above: int, percent: int, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Groups of nodes of ``rows`` that share a prefix of ``level`` digits. They are dealt to bands of sizes, of which only
+    equal and adjacent ones can be similar, and to blocks of a band; each two blocks that hold several classes meet. Their
+    labels leave out nodes without a partner that no group before had: pairs that share a prefix of ``above`` digits or one
+    in an earlier tree, and pairs whose digits agree less often than a similar pair's but for a chance of MISSED."""
+    width = math.log(100 / percent) + 1e-9
+    sized = rows.withColumn("band", F.floor(F.log("n") / width))
+    bands = sized.groupBy("tree", "at", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    own = sized.join(bands, ["tree", "at", "band"]).select("tree", "at", "band", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node", "n", "class")
+    own = scratch.write(own, "cells")
+    cells = own.groupBy("tree", "at", "band", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    one = cells.select("tree", "at", F.col("band").alias("i"), F.col("block").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    two = cells.select("tree", "at", F.col("band").alias("j"), F.col("block").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = one.join(two, ["tree", "at"]).where("(i = j AND p <= q OR i + 1 = j) AND least(lo1, lo2) <> greatest(hi1, hi2)").select(GROUP)
+    first = own.withColumnsRenamed({"band": "i", "block": "p"}).join(met, ["tree", "at", "i", "p"]).withColumn("side", F.lit(0))
+    second = own.withColumnsRenamed({"band": "j", "block": "q"}).join(met.where("i <> j OR p <> q"), ["tree", "at", "j", "q"]).withColumn("side", F.lit(1))
+    columns = [*GROUP, "side", "node", "n", "class"]
+    dealt = first.select(columns).unionByName(second.select(columns)).join(nodes.select("node", "labels"), "node")
+    dealt = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    agree = least_agreement(percent / 100)
+    shift = lambda k: np.uint64(8 * (DEPTH - k))
+
+    def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, own, side = pdf["n"].to_numpy(np.int64), pdf["class"].to_numpy(np.int64), pdf["side"].to_numpy()
+        label = np.stack(pdf["labels"].to_numpy()).astype(np.int64).view(np.uint64)
+        a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(pdf)),) * 2
+        may = (own[a, None] != own[b]) & (np.minimum(n[a, None], n[b]) * 100 >= np.maximum(n[a, None], n[b]) * percent)
+        tree = int(pdf["tree"].iloc[0])
+        for t in range(TREES):
+            if t < tree:
+                may &= (label[a, None, t] ^ label[b, t]) >> shift(level) != 0
+            elif above <= DEPTH:
+                may &= (label[a, None, t] ^ label[b, t]) >> shift(above) != 0
+        i, j = np.nonzero(may)
+        digits = label.view(np.uint8).reshape(len(pdf), -1)
+        same = np.zeros(len(i), np.int64)
+        for s in range(0, len(i), 1 << 14):
+            same[s : s + (1 << 14)] = (digits[a[i[s : s + (1 << 14)]]] == digits[b[j[s : s + (1 << 14)]]]).sum(1)
+        good = same >= agree
+        return pdf.iloc[np.unique(np.concatenate([a[i[good]], b[j[good]]]))].drop(columns=["labels", "n"])
+
+    kinds = "tree int, at long, i long, p long, j long, q long, side int, node long, class long"
+    return scratch.write(dealt.select(*columns, "labels").mapInPandas(by_group(GROUP, one_group), kinds), "groups")
 
 
 def count_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, links: documents in other nodes of its class that are similar enough. ``members``: node, class, copies."""
-    sized = members.join(members.groupBy("class").agg(F.count("*").alias("m")), "class")
-    sized = sized.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    sized = members.join(sets.select("node", "n"), "node")
+    sized = sized.join(sized.groupBy("class").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "class").drop("n")
     own = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = other.select("node", "copies", "class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
@@ -346,8 +404,7 @@ def count_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
 
     def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        linked = similar(pdf, percent)
+        linked, _ = similar(pdf, percent)
         block = pdf["block"].to_numpy()
         if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
             linked &= block[:, None] != block[None, :]
@@ -357,48 +414,116 @@ def count_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
+class Classes:
+    """Classes of nodes as links are found; a link joins whole classes."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.table = scratch, None
+
+    def join(self, links: DataFrame) -> None:
+        """``links``: a, b."""
+        old, edges = self.table, links.select("a", "b")
+        if old is not None:
+            for c in "ab":
+                of = old.select(F.col("node").alias(c), F.col("class").alias("own"))
+                edges = edges.join(of, c, "left").withColumn(c, F.coalesce("own", c)).drop("own")
+        new = components(edges)
+        if old is not None:
+            moved = new.select(F.col("node").alias("class"), F.col("class").alias("now"))
+            kept = old.join(moved, "class", "left").select("node", F.coalesce("now", "class").alias("class"))
+            new = kept.unionByName(new.join(old.select("node"), "node", "left_anti"))
+        self.table = self.scratch.write(new, "classes")
+        if old is not None:
+            self.scratch.drop(old)
+
+
+def estimated_recall(links: list[tuple[float, int]], level: int, to: int, threshold: float) -> float:
+    """Share of all similar pairs that share ``to`` digits in some tree, from the similarities (and numbers) of links met at
+    ``level``: each stands for 1 / (its chance to be met) pairs. A pair at the threshold is added, for what was never met."""
+    met = lambda s, k: 1 - (1 - s**k) ** TREES
+    pairs = [(s, n / met(s, level)) for s, n in links] + [(threshold, 1.0)]
+    return sum(n * met(s, to) for s, n in pairs) / sum(n for _, n in pairs)
+
+
+def next_level(links: list[tuple[float, int]], level: int, floor: int, threshold: float) -> int | None:
+    """The longest shorter prefix that reaches TARGET_RECALL, as far as the links tell; None where ``level`` does."""
+    if level <= floor or estimated_recall(links, level, level, threshold) >= TARGET_RECALL:
+        return None
+    return next((k for k in range(level - 1, floor, -1) if estimated_recall(links, level, k, threshold) >= TARGET_RECALL), floor)
+
+
+def texts_of(docs: DataFrame, id_col: str, text: str, nodes: DataFrame, trie: DataFrame) -> DataFrame:
+    """node, text of the nodes in ``trie``: a text of each."""
+    wanted = nodes.select("node", "first.doc", "first.f").join(trie.select("node").distinct(), "node", "left_semi").withColumnsRenamed({"doc": "of", "f": "key"})
+    texts = keyed_texts(docs, id_col, text)
+    met = texts.join(wanted, texts.doc.eqNullSafe(wanted.of) & (texts.f == wanted.key))
+    return met.groupBy("node").agg(F.first("text").alias("text"))  # rows of one doc_id and text may repeat
+
+
+def class_names(own: DataFrame) -> DataFrame:
+    """class, class_id of (class, least doc_id of a node)."""
+    least = own.groupBy("class").agg(F.min("least").alias("least"))
+    first = least.where("least IS NOT NULL").groupBy("least").agg(F.min("class").alias("class")).select("class", F.col("least").alias("own"))
+    return least.join(first, "class", "left").select("class", F.coalesce("own", -1 - F.col("class")).alias("class_id"))
+
+
+def with_copies(seen: DataFrame, own: DataFrame) -> DataFrame:
+    """doc, class_id, n_links of every document. Nodes with over a thousandth of the documents, at most 1000 of them, are
+    broadcast, so that their copies don't meet in one task."""
+    most = max(1000, seen.count() // 1000)
+    hot = own.where(F.col("copies") > most).drop("copies").withColumnsRenamed({"class_id": "hot_id", "n_links": "hot_links"})
+    dealt = seen.join(F.broadcast(hot), ["k1", "k2"], "left")
+    done = dealt.where("hot_links IS NOT NULL").select("doc", F.col("hot_id").alias("class_id"), F.col("hot_links").alias("n_links"))
+    rest = dealt.where("hot_links IS NULL").select("doc", "k1", "k2").join(own.where(F.col("copies") <= most), ["k1", "k2"])
+    return done.unionByName(rest.select("doc", "class_id", "n_links"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """id_col, class_id (least id of its class), n_links (other documents, copies included, that are similar enough)."""
-    short = prefix_length(percent / 100)
-    seen = materialize(sketches(docs, id_col, text, short), "sketches")
-    nodes = seen.groupBy("k1", "k2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes, "nodes")
-    buckets = materialize(bucket_table(nodes, short), "buckets")
-    wanted = buckets.select(F.col("node").alias("doc")).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    sets = materialize(shingles(texts.join(wanted, "doc", "left_semi")), "sets")
-    classes, edges, tried = None, None, None
-    left = unconnected(buckets, None)
-    for turn in range(MAX_ROUNDS):
-        met = with_hubs(left, turn)
-        pairs = candidates(met)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(verified(pairs, sets, percent), "links")
-        more = not found.isEmpty()
-        if more:
-            edges = found if edges is None else edges.unionByName(found)
-            classes = materialize(components(edges), "classes")
-        rest = met.where("node <> hub").select("key", "node", "whole")
-        known = nodes.select("node", F.col("node").alias("class")).limit(0) if classes is None else classes
-        left = materialize(unconnected(rest, known), "unconnected")
-        if left.isEmpty() or (turn > 1 and not more):
-            break
-    found = materialize(compare_all(left.where("whole"), sets, percent), "links")
-    if not found.isEmpty():
-        edges = found if edges is None else edges.unionByName(found)
-        classes = materialize(components(edges), "classes")
-    own = nodes.select("k1", "k2", "node", "copies")
-    if classes is not None:
-        members = classes.join(own.select("node", "copies"), "node")
-        links = count_links(members, sets, percent)
-        own = own.join(classes, "node", "left").join(links, "node", "left")
-    else:
+    scratch = Scratch(docs.sparkSession)
+    threshold = percent / 100
+    floor = prefix_length(threshold)
+    seen = scratch.write(sketches(docs, id_col, text), "sketches")
+    first = F.min(F.struct("doc", "f")).alias("first")
+    nodes = seen.groupBy("k1", "k2").agg(F.min("doc").alias("least"), first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
+    nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    trie = scratch.write(tries(nodes, floor), "tries")
+    sets = scratch.write(shingles(texts_of(docs, id_col, text, nodes, trie)), "sets")
+    classes, level, above = Classes(scratch), DEPTH, DEPTH + 1
+    met: dict[float, int] = {}
+
+    def add(groups: DataFrame) -> None:
+        links = scratch.write(linked_classes(groups, sets, percent), "links")
+        shares = links.groupBy(F.round("share", 3).alias("s")).count().collect()  # at most a row per thousandth
+        for r in shares:
+            met[r.s] = met.get(r.s, 0) + r["count"]
+        if shares:
+            classes.join(links)
+        scratch.drop(links)
+
+    while level is not None:
+        rows = scratch.write(buckets(trie, level, classes.table), "buckets")
+        rows = rows.join(hubs(rows), ["tree", "at"])
+        add(hub_groups(rows, percent))
+        rest = rows.where("node <> hub").select("tree", "at", "node", "n")
+        rest = scratch.write(mixed(classed(rest, classes.table)), "buckets")
+        groups = block_groups(rest, level, above, percent, nodes, scratch)
+        add(groups)
+        scratch.drop(rest, groups)
+        above, level = level, next_level(sorted(met.items()), level, floor, threshold)
+    own = nodes.select("k1", "k2", "node", "least", "copies")
+    if classes.table is None:
         own = own.withColumns({"class": F.col("node"), "links": F.lit(0).cast("long")})
-    own = own.select("k1", "k2", F.coalesce("class", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return seen.select(F.col("doc").alias(id_col), "k1", "k2").join(own, ["k1", "k2"]).select(id_col, "class_id", "n_links")
+    else:
+        links = count_links(classes.table.join(own.select("node", "copies"), "node"), sets, percent)
+        own = own.join(classes.table, "node", "left").join(links, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    own = own.select("k1", "k2", "class", "least", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    own = scratch.write(own, "counted")
+    named = scratch.write(class_names(own), "names")
+    out = scratch.write(with_copies(seen.select("doc", "k1", "k2"), own.join(named, "class").select("k1", "k2", "copies", "class_id", "n_links")), "near")
+    scratch.paths.remove(out._polyspec_path)
+    scratch.drop()
+    return out.select(F.col("doc").alias(id_col), "class_id", "n_links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

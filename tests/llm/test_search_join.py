@@ -72,7 +72,53 @@ def test_pairs_far_from_every_hub_are_met(spark, monkeypatch):
 
 
 def test_prefixes_shorten_until_the_recall():
-    assert ngram_join.prefix_length(0.8) == 5 and ngram_join.prefix_length(0.95) == 6 and ngram_join.prefix_length(0.3) < 4
+    assert ngram_join.prefix_length(0.8) == 5 and ngram_join.prefix_length(0.95, depth=6) == 6 and ngram_join.prefix_length(0.3) < 4
+    # Links near the threshold call for shorter prefixes, many close ones for none; without links the floor is next.
+    assert ngram_join.next_level([(0.81, 5000)], 8, 5, 0.8) == 5 and ngram_join.next_level([(0.97, 5000)], 8, 5, 0.8) is None
+    assert ngram_join.next_level([(0.82, 2000), (0.95, 5000)], 8, 5, 0.8) == 7 and ngram_join.next_level([], 8, 5, 0.8) == 5
+    assert ngram_join.next_level([], 5, 5, 0.8) is None
+
+
+def test_agreement_of_labels():
+    rng = np.random.default_rng(3)
+    least = ngram_join.least_agreement(0.8)
+    assert 95 < least < 110 and (rng.binomial(ngram_join.TREES * ngram_join.DEPTH, 0.8, 1_000_000) < least).sum() < 10
+
+
+def test_twins_among_almost_similar_texts_are_linked(spark):
+    # 400 pairs of similarity over 0.8 among texts that are all but similar to each other.
+    shared = " ".join(f"s{k}" for k in range(700))
+    own = lambda c, n: " ".join(f"{c}x{k}" for k in range(n))
+    texts = [f"{shared} {own(f'p{i // 2}', 11)} {own(f'd{i}', 78)}" for i in range(800)]
+    sets = [shingle_set(t) for t in texts[:3]]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert jaccard(sets[0], sets[1]) >= 0.8 > jaccard(sets[0], sets[2]) > 0.78
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()}
+    assert sum(got[i] == (i - i % 2, 1) for i in range(800)) >= 790
+
+
+def test_rows_without_or_with_one_id_are_told_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(0)), (None, text(1)), (5, text(2)), (5, text(3)), (9, text(2) + " more"), (7, text(1)), (None, None)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, node long, doc long")
+    got = ngram_join.near_duplicates(df).collect()
+    by_text = sorted((r.doc_id is None, r.doc_id or 0, r.n_links) for r in got)
+    assert len(got) == len(rows) and by_text == [(False, 5, 0), (False, 5, 1), (False, 7, 1), (False, 9, 1), (True, 0, 0), (True, 0, 1), (True, 0, 1), (True, 0, 1)]
+    classes = {}
+    for r in got:
+        classes.setdefault(r.class_id, []).append(r.doc_id)
+    found = sorted(sorted((i or 0) for i in c) for c in classes.values())
+    assert found == [[0], [0, 0], [0, 7], [5], [5, 9]] and all(c is not None for c in classes)
+
+
+def test_settings_of_the_session_stay(spark):
+    before = dict(spark.conf.getAll)
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "vec_id long, embedding array<double>")
+    topk_search.search(df, F.lit(True)).count()
+    chat_format.repair(spark.createDataFrame([(1, 1, "user", "b")], "conv_id long, turn long, role string, text string")).count()
+    ngram_join.near_duplicates(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).count()
+    assert dict(spark.conf.getAll) == before
 
 
 def test_components_of_long_chains(spark):
