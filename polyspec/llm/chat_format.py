@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyspec.llm.common import materialize, read, small_batches
+from polyspec.llm.common import materialize, read
 
 ROLES = ("system", "user", "assistant", "tool")
 NEXT = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user", "tool"), "tool": ("assistant",)}
@@ -221,14 +221,12 @@ def repair(df: DataFrame, partitions: int | None = None, chunk: int = CHUNK) ->
     """A row per message: conv_id, seq (from 0), turn, role, new_role, action (keep, merge, relabel, relabel_merge),
     inserted (roles of the empty turns before it and, for the last, after it), cost, rendered."""
     spark = df.sparkSession
-    small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumns({"tie": F.xxhash64("role", "text"), "copy": F.monotonically_increasing_id()})
     order = ["conv", "turn", "role", "tie", "copy"]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("conv", "turn", "role", "text")
     chunks = materialize(dealt.mapInPandas(lambda b: in_chunks(b, chunk), CHUNK_SCHEMA), "chunks")
-    small_batches(spark, 64)
     done = chunks.where("closed").mapInPandas(lambda p: emit(p, whole_path), RESULT)
     open_ = chunks.where("NOT closed")
     sums = open_.select("conv", "part", "no", "m", F.size("roles").alias("size"))

@@ -1,48 +1,17 @@
-"""Shared helpers of the training-data operators: table access, scratch tables and batch sizes."""
+"""Shared helpers of the training-data operators: table access and names of helper columns. The Python operators leave the
+session's settings alone: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) bounds the batches that they get."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch in the Python operators; keeps a batch small even where texts are long.
-ARROW_ROWS = 512
-
+from polyspec.plans.scratch import materialize  # noqa: F401
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    own = getattr(spark.sparkContext, "_polyspec_scratch", None)
-    if own is None:
-        own = f"file://{tempfile.mkdtemp(prefix='polyspec-')}"
-        spark.sparkContext._polyspec_scratch = own
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
-    """Write ``df`` below the scratch folder and read it back: lineage ends in files that every executor sees,
-    so that a lost executor costs only its running tasks. The files stay until that folder is emptied."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch for the Python operators of this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def fresh(columns: list[str], *names: str) -> dict[str, str]:
     """Names for helper columns that clash with none of ``columns``."""
     taken = {c.lower() for c in columns}

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyspec.llm.common import materialize, read, small_batches
+from polyspec.llm.common import materialize, read
 
 TOP, SCALE, LISTS = 5, 256, 2
 #: Vectors and queries in a block, and pairs of blocks in an Arrow batch.
@@ -119,7 +119,6 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embed
     ``id``) holds, with every row but its own; ties go to the smaller id."""
     spark = df.sparkSession
     keep = top + 1
-    small_batches(spark, 4096)
     rows = quantized(df, id_col, vector)
     classes = materialize(vector_classes(rows, keep), "vectors")
     asked = rows.where(is_query).join(classes.select("key", "cid"), "key").select(F.col("id").alias("query_id"), F.col("cid").alias("q"))
@@ -127,7 +126,6 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embed
     queries = classes.join(asked.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi").select("cid", "key")
     width = classes.agg(F.max(F.size("key"))).first()[0] or 0
     lists = max(1, min(lists, width))
-    small_batches(spark, BATCH)
     # Phase 1: the best of each list, and the cutoff from exact scores; equal vectors count as often as they occur.
     best = partial_scores(queries, classes, width, lists, keep)
     best = best.groupBy("q", "list").agg(F.slice(F.sort_array(F.collect_list(F.struct("part", "v")), asc=False), 1, keep).alias("best"))
