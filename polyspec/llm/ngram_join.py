@@ -40,6 +40,8 @@ NGRAM, THRESHOLD_PERCENT, TARGET_RECALL = 5, 80, 0.999
 TREES, DEPTH, SEED = 20, 8, 20240229
 #: Nodes and (about) shingles in a block of exact comparison.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Parts of a crowded prefix in joins.
+SALTS = 16
 #: Chance that the labels of a pair at the threshold agree too seldom for its shingle sets to be compared.
 MISSED = 1e-6
 #: Shingles hashed at once.
@@ -215,6 +217,13 @@ def buckets(trie: DataFrame, level: int, classes: DataFrame | None) -> DataFrame
     return mixed(classed(rows, classes))
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (with node) joined with a row per group, in ``SALTS`` parts, so that a crowded prefix is no task of its own."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(groups, [*keys, "salt"]).drop("salt")
+
+
 def classed(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
     if classes is None:
         return rows.withColumn("class", F.col("node"))
@@ -224,7 +233,7 @@ def classed(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
 def mixed(rows: DataFrame) -> DataFrame:
     held = rows.groupBy("tree", "at").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("met"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     kept = held.where("lo <> hi").groupBy("met", "x", "y").agg(F.min(F.struct("tree", "at")).alias("first")).select("first.*")
-    return rows.join(kept, ["tree", "at"])
+    return spread_join(rows, kept, ["tree", "at"])
 
 
 def hubs(rows: DataFrame) -> DataFrame:
@@ -356,7 +365,7 @@ def block_groups(rows: DataFrame, level: int, above: int, percent: int, nodes: D
     width = math.log(100 / percent) + 1e-9
     sized = rows.withColumn("band", F.floor(F.log("n") / width))
     bands = sized.groupBy("tree", "at", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    own = sized.join(bands, ["tree", "at", "band"]).select("tree", "at", "band", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node", "n", "class")
+    own = spread_join(sized, bands, ["tree", "at", "band"]).select("tree", "at", "band", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node", "n", "class")
     own = scratch.write(own, "cells")
     cells = own.groupBy("tree", "at", "band", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
     one = cells.select("tree", "at", F.col("band").alias("i"), F.col("block").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
@@ -503,7 +512,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     while level is not None:
         rows = scratch.write(buckets(trie, level, classes.table), "buckets")
-        rows = rows.join(hubs(rows), ["tree", "at"])
+        rows = spread_join(rows, hubs(rows), ["tree", "at"])
         add(hub_groups(rows, percent))
         rest = rows.where("node <> hub").select("tree", "at", "node", "n")
         rest = scratch.write(mixed(classed(rest, classes.table)), "buckets")
