@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade (operator 2), in DataFrame functions only.
 
-The rules' costs and selectivities are estimated on a bounded sample; the cascade then tries them in falling
+The rules' costs and selectivities are estimated on a bounded random sample; the cascade then tries them in falling
 order of rejections per second, and a document meets no rule after the first that rejects it (CASE WHEN stops
-there). The order changes the cost of a verdict, never the verdict.
+there). The order changes the cost of a verdict, never the verdict. Words and windows are told apart by 64-bit hashes.
 
 Defined cases: null text: no words, so rejected; empty text likewise; texts of any length are read whole;
 repeated rows are judged alike; an empty table gives no rows and the order as written; extra columns pass
@@ -14,13 +14,16 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyspec.llm.common import fresh, pinned, read
 
-#: Documents in the sample that orders the rules, and the longest taken into it: costs only, never verdicts.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 200_000
+#: Documents in the sample that orders the rules, the longest taken into it, how much more of the table it is spread
+#: over, and how often a rule is run on it to be timed: costs only, never verdicts.
+SAMPLE_ROWS, SAMPLE_CHARS, EXTRA, REPEATS, SEED = 400, 200_000, 8, 10, 11
+BASE_FAILS = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 WORD_BREAK = r"[\\x20\\x09-\\x0D]+"
 
 
@@ -44,15 +47,14 @@ RULES = (
 )
 
 
-def base_counts(df: DataFrame, text: str = "text", packed_windows: int = 1 << 24) -> DataFrame:
+def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; columns of these names are replaced.
 
-    3-word windows are known by 64-bit hashes. For texts of up to ``packed_windows`` (at most 2^24) windows, 40 bits
-    of a hash and the position share a long, which sorts as a primitive, and whole hashes confirm equal neighbours;
-    longer texts sort pairs. Each repeated window then adds the words that the repeated one before it didn't cover.
+    3-word windows are known by 64-bit hashes. Most texts repeat none, which a set of their hashes tells; of the others
+    the windows are sorted by hash and place, and each repeated one adds the words that the one before it didn't cover.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    t, words, lines, hashes, win, packed, pairs, at = fresh([*df.columns, *names], "t", "words", "lines", "hashes", "win", "packed", "pairs", "at").values()
+    t, words, lines, hashes, win, pairs, at = fresh([*df.columns, *names], "t", "words", "lines", "hashes", "win", "pairs", "at").values()
     keep = [f"`{c}`" for c in df.columns if c not in names]
     out = df.selectExpr(*keep, f"coalesce(cast(`{text}` as string), '') AS {t}")
     out = out.selectExpr(
@@ -72,50 +74,58 @@ def base_counts(df: DataFrame, text: str = "text", packed_windows: int = 1 << 24
     )
     rest = [*keep, t, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     out = out.selectExpr(*rest, f"transform(slice({hashes}, 1, greatest(size({hashes}) - 2, 0)), (x, i) -> xxhash64(x, get({hashes}, i + 1), get({hashes}, i + 2))) AS {win}")
-    out = out.selectExpr(
-        *rest,
-        win,
-        f"CASE WHEN size({win}) <= {packed_windows} THEN sort_array(transform({win}, (x, i) -> (x & ~16777215L) | i)) ELSE cast(array() as array<bigint>) END AS {packed}",
-        f"CASE WHEN size({win}) > {packed_windows} THEN sort_array(transform({win}, (x, i) -> struct(x AS k, i AS i))) ELSE cast(array() as array<struct<k: bigint, i: int>>) END AS {pairs}",
-    )
-    same = lambda j: f"(x & ~16777215L) = (get({packed}, {j}) & ~16777215L) AND get({win}, cast(x & 16777215L as int)) = get({win}, cast(get({packed}, {j}) & 16777215L as int))"
-    short = f"transform(filter({packed}, (x, i) -> ({same('i - 1')}) OR ({same('i + 1')})), x -> cast(x & 16777215L as int))"
-    long = f"transform(filter({pairs}, (x, i) -> x.k <=> get({pairs}, i - 1).k OR x.k <=> get({pairs}, i + 1).k), x -> x.i)"
-    out = out.selectExpr(*rest, f"sort_array(concat({short}, {long})) AS {at}")
+    none = "cast(array() as array<struct<k: bigint, i: int>>)"
+    out = out.selectExpr(*rest, f"CASE WHEN size(array_distinct({win})) = size({win}) THEN {none} ELSE sort_array(transform({win}, (x, i) -> struct(x AS k, i AS i))) END AS {pairs}")
+    out = out.selectExpr(*rest, f"sort_array(transform(filter({pairs}, (x, i) -> x.k <=> get({pairs}, i - 1).k OR x.k <=> get({pairs}, i + 1).k), x -> x.i)) AS {at}")
     repeats = f"aggregate(transform({at}, (p, i) -> least(3, coalesce(get({at}, i + 1) - p, 3))), 0L, (n, x) -> n + x)"
     return out.selectExpr(*rest, f"{pinned(repeats)} AS n_repeat_words")
 
 
-def rule_order(counted: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_CHARS) -> list[Rule]:
-    """The rules in falling order of rejections per second on a sample of ``rows`` documents (a bounded one, which
-    the driver holds while it measures)."""
-    spark = counted.sparkSession
-    columns = [text, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    taken = counted.where(F.length(text) <= longest).select(columns).take(rows)
+def sampled(df: DataFrame, text: str, rows: int, longest: int) -> list:
+    """``rows`` random texts at most, from the partitions that hold an ``EXTRA``-th of the table, or more if it is small."""
+    part = min(1.0, EXTRA * rows / max(1, df.count()))
+    return df.select(F.col(f"`{text}`").alias("t")).sample(fraction=part, seed=SEED).where(F.length("t") <= longest).take(rows)
+
+
+def rule_order(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_CHARS) -> list[Rule]:
+    """The rules in falling order of rejections per second. Both are measured on those texts of a bounded sample that pass
+    the base test, as only they meet a rule; each rule is ranked on what the ones before it let through."""
+    spark = df.sparkSession
+    taken = sampled(df, text, rows, longest)
     if not taken:
         return list(rules)
-    sample = spark.createDataFrame(taken, counted.select(columns).schema).repartition(1).persist()
+    sample = base_counts(spark.createDataFrame(taken, "t string"), "t").where(f"NOT ({BASE_FAILS})").repartition(1).persist()
     try:
-        measure = lambda e: sample.agg(F.count_if(F.expr(e)).alias("n")).first().n
-        measure("n_words < 0")  # fills the cache
-        rank = []
-        for i, rule in enumerate(rules):
-            predicate = rule.rejects.format(t=f"`{text}`")
-            measure(predicate)  # compiles
+        tests = [rule.rejects.format(t="t") for rule in rules]
+        verdicts = np.array(sample.select(*[F.expr(f"coalesce({e}, false)") for e in tests]).collect(), bool).reshape(-1, len(rules))
+        many = sample.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+
+        def seconds(e: str) -> float:
             began = time.perf_counter()
-            rejected = measure(predicate)
-            rank.append((-(rejected + 0.5) / (time.perf_counter() - began), i))
-        return [rules[i] for _, i in sorted(rank)]
+            many.agg(F.count_if(F.expr(e))).first()
+            return time.perf_counter() - began
+
+        none = min(seconds("n_words < 0") for _ in range(2))
+        costs = [max(min(seconds(e) for _ in range(2)) - none, 1e-4) for e in tests]
     finally:
         sample.unpersist()
+    order, left = [], list(range(len(rules)))
+    alive = np.ones(len(verdicts), bool)
+    while left:
+        best = max(left, key=lambda i: ((verdicts[alive, i].sum() + 0.5) / costs[i], -i))
+        order.append(rules[best])
+        left.remove(best)
+        alive &= ~verdicts[:, best]
+    return order
 
 
 def cascade(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """``df`` with the base counts, base_failed, and kept: false if base_failed or a rule rejects the document."""
     own = fresh(df.columns, "text")["text"]
-    counted = base_counts(df.withColumn(own, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), own)
-    order = rules if rules is not None else rule_order(counted, own)
-    base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    whole = df.withColumn(own, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    counted = base_counts(whole, own)
+    order = rules if rules is not None else rule_order(whole, own)
+    base = F.expr(BASE_FAILS)
     verdict: Column = F.when(F.col("base_failed"), False)
     for rule in order:
         verdict = verdict.when(F.expr(rule.rejects.format(t=f"`{own}`")), False)

@@ -18,18 +18,28 @@ def base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
 
 
-@pytest.mark.parametrize("packed", [1 << 24, 5])
-def test_base_counts_against_brute_force(spark, packed):
+def test_base_counts_against_brute_force(spark):
     rnd = random.Random(2)
     texts = ["".join(rnd.choice(["a ", "b ", "c\n", "dé ", "#\t", "\x0b", "e e e "]) for _ in range(rnd.randint(0, 80))) for _ in range(200)]
-    texts += [None, "", " ", "\n\n", "a b c a b c a b", "x " * 20000, "same line\nsame line\n same line"]
+    texts += [None, "", " ", "\n\n", "a b c a b c a b", "x " * 20000, "same line\nsame line\n same line", "a718116 b c a1625737 b c a718116 b c"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in quality_rules.base_counts(df, packed_windows=packed).collect()}
+    got = {r.doc_id: r for r in quality_rules.base_counts(df).collect()}
     for i, t in enumerate(texts):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base(t), t
 
 
+def test_rules_are_ranked_on_what_reaches_them(spark, monkeypatch):
+    # Only texts that pass the base test count, and of what an earlier rule rejects nothing is left to a later one.
+    clean = " ".join(f"word{i} and" for i in range(60))
+    texts = [clean.replace(" ", "!! ")] * 30 + [clean.upper()] * 10 + [clean] * 20 + ["#"] * 200
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rules = (quality_rules.Rule("symbols", "4 * n_symbols > n_words"), quality_rules.Rule("both", "{t} like '%!!%' OR {t} like '%WORD%'"), quality_rules.Rule("marks", "{t} like '%!!%'"), quality_rules.Rule("loud", "{t} like '%WORD%'"))
+    monkeypatch.setattr(quality_rules.time, "perf_counter", iter(range(100)).__next__)  # equal costs
+    assert [r.name for r in quality_rules.rule_order(df, "text", rules)] == ["both", "symbols", "marks", "loud"]
+    assert quality_rules.rule_order(df.limit(0), "text", rules) == list(rules)
+
+
 def test_cascade_verdicts_do_not_depend_on_order(spark):
     clean = " ".join(f"word{i} and" for i in range(60))
     texts = [clean, clean.upper(), clean.replace(" ", "### "), clean.replace(" ", "!! "), "short", None, "go on " * 80, clean]
