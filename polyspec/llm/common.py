@@ -3,10 +3,15 @@ session's settings alone: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB)
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from polyspec.plans.scratch import materialize  # noqa: F401
 
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,3 +34,29 @@ def pinned(expression: str) -> str:
     """The SQL expression, always computed in its own projection: Catalyst moves no filter below a column that isn't
     deterministic, where it would otherwise repeat costly array expressions inside the predicate."""
     return f"CASE WHEN spark_partition_id() >= 0 THEN {expression} END"
+
+
+def by_group(columns: list[str], one_group: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``one_group`` over each run of rows with equal ``columns``, across batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key = pdf[columns].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(pdf)]
+            done = []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and last != tuple(key[s]):
+                    done.append(one_group(pd.concat(held) if len(held) > 1 else held[0]))
+                    held = []
+                held.append(pdf.iloc[s:e])
+                last = tuple(key[s])
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield one_group(pd.concat(held))
+
+    return run

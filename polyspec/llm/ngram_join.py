@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyspec.llm.bytebpe import chunks
-from polyspec.llm.common import read
+from polyspec.llm.common import by_group, read
 from polyspec.plans.scratch import Scratch
 
 NGRAM, THRESHOLD_PERCENT, TARGET_RECALL = 5, 80, 0.999
@@ -265,32 +265,6 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(roots)
 
 
-def by_group(columns: list[str], one_group: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """``one_group`` over each run of rows with equal ``columns``, across batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        last = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            key = pdf[columns].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(pdf)]
-            done = []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and last != tuple(key[s]):
-                    done.append(one_group(pd.concat(held) if len(held) > 1 else held[0]))
-                    held = []
-                held.append(pdf.iloc[s:e])
-                last = tuple(key[s])
-            if done:
-                yield pd.concat(done)
-        if held:
-            yield one_group(pd.concat(held))
-
-    return run
-
-
 def shared(pdf: pd.DataFrame) -> np.ndarray:
     """Common shingles of each two of the rows (n, set)."""
     n, size = pdf["n"].to_numpy(np.int64), len(pdf)

@@ -1,33 +1,32 @@
 """Exact top-k search by a three-phase uniform threshold (operator 10).
 
-Vectors are cut into ``LISTS`` ranges of components; each range owns a list of partial scores for every query.
-Phase 1 gathers the best partial scores of each list and, from the exact scores of those vectors, a cutoff that the
-true top k reach for certain. Phase 2 sends the cutoff to the lists, which return every vector whose partial score
-is at least cutoff / LISTS and can still reach the cutoff with the best partial scores of the other lists: whatever
-scores the cutoff or more has such a partial score in one list at least. Phase 3 resolves the exact scores of what
-came back. Queries and vectors meet in blocks, so neither side is broadcast.
-
-Equal vectors are one class, with the k + 1 smallest ids that ties could ever return.
+Vectors are cut into ``LISTS`` ranges of components; each range is a list of partial scores for every query. Queries
+and vectors meet in cells of a block of each, which hold all lists of their vectors. Phase 1 gathers, for each cell and
+list, the vectors of the best partial scores, with their whole scores; the k-th best of these over all cells is a cutoff
+that the true top k reach for certain. Phase 2 sends each query's cutoff to the cells: whatever reaches it has a partial
+score of at least cutoff / LISTS in some list, so only such entries are collected. Phase 3 resolves them exactly, in
+their cell, and those that reach the cutoff leave it, at most k of them. All that leaves cells is cut to the best k by
+partial aggregation, so no task holds more than a few rows of a query and cell.
 
 Defined cases: a null vector, or one with a null or non-finite component, takes no part; a missing component counts
-as 0; a vec_id that is repeated is a row for each, and a query leaves out one row of its own id; a null id takes no
-part; an empty table gives no rows; extra columns are not carried, and never clash.
+as 0; a vec_id that is repeated is a row for each, and a query leaves out its own row only; a null id takes no part; equal
+scores, of equal vectors too, go by id; an empty table gives no rows; extra columns are not carried, and never clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polyspec.llm.common import materialize, read
+from polyspec.llm.common import by_group, read
+from polyspec.plans.scratch import Scratch
 
 TOP, SCALE, LISTS = 5, 256, 2
-#: Vectors and queries in a block, and pairs of blocks in an Arrow batch.
-ROWS_BLOCK, QUERY_BLOCK, BATCH = 2048, 1024, 8
+#: Vectors and queries of a cell, queries of a cell that are multiplied at once, and tasks at most.
+ROWS_BLOCK, QUERY_BLOCK, QUERIES_AT_ONCE, MAX_TASKS = 4096, 8192, 512, 10_000
+NO_CUTOFF = -(1 << 63)
 
 
 def quantized(df: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -37,37 +36,13 @@ def quantized(df: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> Da
     return rows.where(finite).select("id", F.expr(f"transform(v, x -> cast(floor({scale}D * x) as bigint))").alias("key"))
 
 
-def vector_classes(rows: DataFrame, keep: int) -> DataFrame:
-    """cid, key, ids (the ``keep`` smallest) of each distinct vector. Batches and salts pre-aggregate, so that a vector
-    that many rows share is never gathered whole."""
-
-    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                code = pd.factorize(pd.Series([np.asarray(k, np.int64).tobytes() for k in pdf["key"]]))[0]
-                order = np.lexsort((pdf["id"].to_numpy(), code))
-                sorted_code = code[order]
-                rank = np.arange(len(order)) - np.searchsorted(sorted_code, sorted_code)
-                some = pdf.iloc[order[rank < keep]]
-                yield some.assign(salt=np.int32(hash(tuple(some["id"].iloc[:1])) % 64))
-
-    some = rows.mapInPandas(least, "id long, key array<long>, salt int")
-    first = lambda c: F.slice(F.array_sort(c), 1, keep)
-    some = some.groupBy("key", "salt").agg(first(F.collect_list("id")).alias("ids"))
-    some = some.groupBy("key").agg(first(F.flatten(F.collect_list("ids"))).alias("ids"))
-    return some.select(F.monotonically_increasing_id().alias("cid"), "key", "ids")
-
-
-def in_blocks(df: DataFrame, size: int, name: str, *columns: str) -> tuple[DataFrame, int]:
-    """A row for each block of about ``size`` rows: its number, and the columns as an array of structs."""
-    n = max(1, -(-df.count() // size))
-    return df.groupBy(F.pmod(F.xxhash64("cid"), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(*columns)).alias(f"{name}_rows")), n
-
-
-def matrix(rows, width: int, key: str = "key") -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r[key])] = r[key]
+def matrix(keys: pd.Series, width: int) -> np.ndarray:
+    """Rows of equal width; a missing component is 0."""
+    if len(keys) and (keys.str.len() == width).all():
+        return np.stack(keys.to_numpy())
+    out = np.zeros((len(keys), width), np.int64)
+    for i, key in enumerate(keys):
+        out[i, : len(key)] = key
     return out
 
 
@@ -77,75 +52,86 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if bound < 2**53 else a @ b.T
 
 
-def partial_scores(queries: DataFrame, vectors: DataFrame, width: int, lists: int, top: int | None) -> DataFrame:
-    """q, list, v, part: of each pair of blocks and each list the ``top`` best partial scores of a query, or with None
-    those that reach the query's own bound for that list (``low``)."""
-    cuts = np.linspace(0, width, lists + 1).astype(int)
-    q_columns = ("cid", "key") if top else ("cid", "key", "low")
-    vb, _ = in_blocks(vectors, ROWS_BLOCK, "vb", "cid", "key")
-    qb, n = in_blocks(queries, QUERY_BLOCK, "qb", *q_columns)
-    pairs = vb.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).join(qb, "qb")
-    pairs = pairs.repartition("qb", "vb").withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qs, vs, k in zip(pdf["qb_rows"], pdf["vb_rows"], pdf["list"], strict=True):
-                own = slice(cuts[k], cuts[k + 1])
-                part = product(matrix(qs, width)[:, own], matrix(vs, width)[:, own])
-                if top:
-                    m = min(top, part.shape[1])
-                    j = np.argpartition(-part, m - 1, axis=1)[:, :m]
-                    i = np.repeat(np.arange(len(qs)), m)
-                    j = j.ravel()
-                else:
-                    low = np.array([q["low"][k] for q in qs], np.int64)
-                    i, j = np.nonzero(part >= low[:, None])
-                qid, vid = (np.array([r["cid"] for r in rows], np.int64) for rows in (qs, vs))
-                yield pd.DataFrame({"q": qid[i], "list": np.int32(k), "v": vid[j], "part": part[i, j]})
-
-    return pairs.select("qb_rows", "vb_rows", "list").mapInPandas(run, "q long, list int, v long, part long")
-
-
-def exact_scores(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """q, v, ids (of v), score of (q, v)."""
-    of_v = classes.select(F.col("cid").alias("v"), F.col("key").alias("kv"), "ids")
-    of_q = classes.select(F.col("cid").alias("q"), F.col("key").alias("kq"))
-    score = F.expr("aggregate(zip_with(kq, kv, (x, y) -> coalesce(x * y, 0L)), 0L, (a, x) -> a + x)")
-    return pairs.join(of_v, "v").join(of_q, "q").select("q", "v", "ids", score.alias("score"))
-
-
-def search(df: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embedding", top: int = TOP, lists: int = LISTS) -> DataFrame:
+def cells(rows: DataFrame, queries: DataFrame, row_blocks: int, query_blocks: int) -> DataFrame:
+    """qb, vb, side (0: a query, 1: a vector), id, key, low: each block of queries with each block of vectors. A vector is
+    sent to every block of queries and a query to every block of vectors, which is what a pair of blocks needs at least."""
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    block = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n).cast("long"))
+    vectors = rows.select("id", "key", block(row_blocks).alias("vb")).select(every(query_blocks).alias("qb"), "vb", F.lit(1).alias("side"), "id", "key", F.lit(NO_CUTOFF).cast("long").alias("low"))
+    asking = queries.select("q", "key", "low", F.pmod("q", F.lit(query_blocks).cast("long")).alias("qb"))
+    asking = asking.select("qb", every(row_blocks).alias("vb"), F.lit(0).alias("side"), F.col("q").alias("id"), "key", "low")
+    tasks = min(row_blocks * query_blocks, MAX_TASKS)
+    return vectors.unionByName(asking).repartition(tasks, "qb", "vb").sortWithinPartitions("qb", "vb", "side", "id")
+
+
+def best_entries(i: np.ndarray, j: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
+    """Positions of the ``keep`` best entries of each query i; ties go to the smaller j."""
+    order = np.lexsort((j, -score, i))
+    of = i[order]
+    return order[np.arange(len(of)) - np.searchsorted(of, of) < keep]
+
+
+def entries(met: DataFrame, width: int, lists: int, keep: int, cut: bool) -> DataFrame:
+    """q, id, score of each cell: without ``cut``, the best of those that lead a list (phase 1); with it, the best of those
+    that reach the cutoff, which are found by the uniform threshold (phases 2 and 3)."""
+    borders = np.linspace(0, width, lists + 1).astype(int)
+
+    def one_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["side"].to_numpy()
+        asking, given = pdf[side == 0], pdf[side == 1]
+        v, v_id = matrix(given["key"], width), given["id"].to_numpy(np.int64)
+        q_all, low_all, q_id = matrix(asking["key"], width), asking["low"].to_numpy(np.int64), asking["id"].to_numpy(np.int64)
+        out = []
+        for s in range(0, len(q_id) if len(v_id) else 0, QUERIES_AT_ONCE):
+            q, low = q_all[s : s + QUERIES_AT_ONCE], low_all[s : s + QUERIES_AT_ONCE]
+            parts = [product(q[:, a:b], v[:, a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
+            total = sum(parts)
+            chosen = np.zeros(total.shape, bool)
+            if cut:
+                threshold = low // lists + (low % lists != 0)
+                for part in parts:
+                    chosen |= part >= threshold[:, None]
+                chosen &= total >= low[:, None]
+            else:
+                lead = min(keep, len(v_id))
+                for part in parts:
+                    np.put_along_axis(chosen, np.argpartition(-part, lead - 1, axis=1)[:, :lead], True, axis=1)
+            i, j = np.nonzero(chosen)
+            score = total[i, j]
+            kept = best_entries(i, j, score, keep)
+            out.append(pd.DataFrame({"q": q_id[s + i[kept]], "id": v_id[j[kept]], "score": score[kept]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "id": [], "score": []}, dtype=np.int64)
+
+    return met.mapInPandas(by_group(["qb", "vb"], one_cell), "q long, id long, score long")
+
+
+def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", top: int = TOP, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` highest inner products of each row where ``is_query`` (a column over
     ``id``) holds, with every row but its own; ties go to the smaller id."""
-    spark = df.sparkSession
-    keep = top + 1
-    rows = quantized(df, id_col, vector)
-    classes = materialize(vector_classes(rows, keep), "vectors")
-    asked = rows.where(is_query).join(classes.select("key", "cid"), "key").select(F.col("id").alias("query_id"), F.col("cid").alias("q"))
-    asked = materialize(asked, "queries")
-    queries = classes.join(asked.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi").select("cid", "key")
-    width = classes.agg(F.max(F.size("key"))).first()[0] or 0
+    scratch, keep = Scratch(df.sparkSession), top + 1
+    rows = scratch.write(quantized(df, id_col, vector), "vectors")
+    queries = scratch.write(rows.where(is_query).withColumn("q", F.monotonically_increasing_id()), "queries")
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("key")).alias("width")).first()
+    asked = queries.count()
+    width = size.width or 0
     lists = max(1, min(lists, width))
-    # Phase 1: the best of each list, and the cutoff from exact scores; equal vectors count as often as they occur.
-    best = partial_scores(queries, classes, width, lists, keep)
-    best = best.groupBy("q", "list").agg(F.slice(F.sort_array(F.collect_list(F.struct("part", "v")), asc=False), 1, keep).alias("best"))
-    best = materialize(best, "lists")
-    seen = best.select("q", F.explode("best.v").alias("v")).distinct()
-    known = exact_scores(seen, classes).groupBy("q").agg(F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(score, size(ids))"))), asc=False).alias("s"))
-    cutoff = known.select("q", F.expr(f"get(s, {keep - 1})").alias("cutoff"))
-    tops = best.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("list", F.col("best")[0]["part"].alias("part")))).alias("tops"))
-    others = lambda k: " + ".join([f"tops[{i}]" for i in range(lists) if i != k] or ["0L"])
-    low = [f"coalesce(greatest(cast(ceil(cutoff / cast({lists} as decimal(3, 0))) as bigint), cutoff - ({others(k)})), -9223372036854775808L)" for k in range(lists)]
-    bounds = materialize(cutoff.join(tops, "q").select(F.col("q").alias("cid"), F.expr(f"array({', '.join(low)})").alias("low")), "cutoffs")
-    # Phases 2 and 3.
-    reached = partial_scores(queries.join(bounds, "cid"), classes, width, lists, None).select("q", "v").distinct()
-    scored = exact_scores(reached, classes).select("q", "score", F.explode("ids").alias("id"))
-    ranked = scored.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, keep).alias("top"))
-    ranked = materialize(ranked, "ranked")
-    found = asked.join(ranked, "q").withColumn("own", F.expr("cast(array_position(transform(top, x -> x.id), query_id) as int)"))
-    rest = F.expr(f"slice(CASE WHEN own > 0 THEN concat(slice(top, 1, own - 1), slice(top, own + 1, {keep})) ELSE top END, 1, {top})")
-    out = found.select("query_id", F.posexplode(rest).alias("at", "x"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    blocks = max(1, -(-size.n // ROWS_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
+    first = entries(cells(rows, queries.withColumn("low", F.lit(NO_CUTOFF).cast("long")), *blocks), width, lists, keep, cut=False)
+    by_score = Window.partitionBy("q").orderBy(F.col("score").desc())
+    cutoff = first.select("q", "score").withColumn("at", F.row_number().over(by_score)).where(F.col("at") == keep).select("q", F.col("score").alias("low"))
+    bound = queries.join(cutoff, "q", "left").withColumn("low", F.coalesce("low", F.lit(NO_CUTOFF).cast("long")))
+    bound = scratch.write(bound, "cutoffs")
+    reached = entries(cells(rows, bound, *blocks), width, lists, keep, cut=True)
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
+    ranked = reached.withColumn("at", F.row_number().over(best)).where(F.col("at") <= keep)
+    # The query's own row has its id and its score with itself; where it isn't among the best, no other row needs to go.
+    own = queries.select("q", F.col("id").alias("query_id"), F.expr("aggregate(key, 0L, (a, x) -> a + x * x)").alias("self"))
+    ranked = ranked.join(own, "q").withColumn("is_own", (F.col("id") == F.col("query_id")) & (F.col("score") == F.col("self")))
+    ranked = ranked.withColumn("own_at", F.min(F.when(F.col("is_own"), F.col("at"))).over(Window.partitionBy("q")))
+    rest = ranked.where("own_at IS NULL OR at <> own_at").withColumn("rank", F.col("at") - F.when(F.col("at") > F.col("own_at"), 1).otherwise(0))
+    out = scratch.write(rest.where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score"), "ranked")
+    scratch.drop(rows, queries, bound)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
