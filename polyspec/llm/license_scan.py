@@ -1,17 +1,22 @@
 """License scans by exact set-similarity join (operator 7), in DataFrame functions only.
 
-A block is a line of a text, as the set of its words; a template is the word set of a known notice. A block meets
-a template if it holds at least CONTAINMENT_PERCENT of the template's words. All words are ordered by their global
-frequency, rarest first, counted over every text. Of a template with n words of which r are required, a block must
-hold one of the first n - r + 1 (prefix filter); it must have r words (length filter); and with the first common
-word at place i of the template and j of the block, 1 + min(words after i, words after j) must reach r (positional
-filter). What is left is verified by counting. Templates and their words are a fixed small table.
+A template is the word set of a known notice, with words that must not lack; a block is any run of as many consecutive
+words of a text as the template has, and ``SLACK_PERCENT`` more, over line ends. A block meets a template if it holds at
+least CONTAINMENT_PERCENT of its words, and all that must not lack. All words are ordered by their global frequency, rarest
+first, counted over every text. Of a template with n words of which r are required, a block must hold one of the first
+n - r + 1 (prefix filter): texts give their occurrences of such words with the words around them, which an equi-join by
+word brings to the templates. There, the words around must be r at least (length filter), and a word at place i of the
+template, as the rarest that the block has of it, leaves 1 + the words after place i that are around (positional filter).
+Every block that holds the occurrence is then verified by counting.
 
 Besides, base phrases are found wherever their words stand consecutively.
 
-Defined cases: null text: empty, no words and no labels; blank lines are blocks without words; texts and lines of any
-length are read whole; repeated rows are judged alike; an empty table gives no rows; extra columns pass through
-``scan``, and helper names never clash with them (columns with the names of results are replaced).
+The table of template words is broadcast up to ``BROADCAST_TOKENS`` rows, and so are the texts that meet a template, by a
+128-bit digest, up to ``BROADCAST_TEXTS``; beyond, both joins are shuffled, with occurrences of a word spread over tasks.
+
+Defined cases: null text: empty, no words and no labels; texts and words of any length are read whole, and a text shorter
+than a block is one; repeated rows are judged alike; an empty table gives no rows; extra columns pass through ``scan``,
+and helper names never clash with them (columns with the names of results are replaced).
 """
 
 from __future__ import annotations
@@ -22,27 +27,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyspec.llm.common import fresh, read
+from polyspec.plans.scratch import materialize
 
+# The phrases of the base test, and the public wording of license notices.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+#: (label, notice, words of it that must not lack)
 TEMPLATES = (
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("apache", "Licensed under the Apache License, Version 2.0.", "apache"),
+    ("apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at", ""),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "cc nc"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0.", "cc sa"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu"),
+    ("mit", "Released under the MIT License.", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla"),
 )
-CONTAINMENT_PERCENT = 80
+CONTAINMENT_PERCENT, SLACK_PERCENT = 80, 25
+BROADCAST_TOKENS, BROADCAST_TEXTS, SALTS = 100_000, 100_000, 16
 BREAK = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def word_list(text: str) -> list[str]:
+    return re.findall(r"[0-9a-z]+", text.lower())
+
+
 def word_set(text: str) -> list[str]:
-    return sorted(set(re.findall(r"[0-9a-z]+", text.lower())))
+    return sorted(set(word_list(text)))
 
 
 def required(n: int, percent: int = CONTAINMENT_PERCENT) -> int:
@@ -63,6 +76,11 @@ def words_of(text: str) -> str:
     return f"filter(split({text}, '{BREAK}'), x -> x <> '')"
 
 
+def block_size(notice: str, slack: int = SLACK_PERCENT) -> int:
+    n = len(word_list(notice))
+    return n + -(-n * slack // 100)
+
+
 def word_order(low: DataFrame, text: str, vocabulary: list[str]) -> list[str]:
     """The templates' words, rarest first by occurrences in all texts; ties by the word."""
     some = low.select(F.explode(F.expr(f"filter(split(`{text}`, '{BREAK}'), x -> x IN ({quoted(vocabulary)}))")).alias("w"))
@@ -70,56 +88,72 @@ def word_order(low: DataFrame, text: str, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
+def prefix_table(templates, percent: int, slack: int, order: list[str]) -> list[tuple]:
+    """(token, label, share, after, need, block, must): a row per prefix word of a template. ``share``: of one word;
+    ``after``: the words after it."""
+    at, rows = {w: i for i, w in enumerate(order)}, []
+    for label, notice, must in templates:
+        words = sorted(word_set(notice), key=at.get)
+        need = required(len(words), percent)
+        rows += [(w, label, len(words), words[i + 1 :], need, block_size(notice, slack), must.split()) for i, w in enumerate(words[: len(words) - need + 1])]
+    return rows
+
+
+def met_templates(texts: DataFrame, prefixes: list[tuple], broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """key, found (labels), share (greatest) of the (key, words) that meet a template."""
+    spark = texts.sparkSession
+    table = spark.createDataFrame(prefixes, "token string, label string, n int, after array<string>, need int, block int, must array<string>")
+    widest = max(p[5] for p in prefixes)
+    tokens = quoted(sorted({p[0] for p in prefixes}))
+    # Places, from 1, of prefix words; each with the words of all blocks that hold it, and its place among them.
+    places = texts.select("key", "words", F.explode(F.expr(f"filter(transform(words, (x, i) -> struct(x AS token, i + 1 AS at)), o -> o.token IN ({tokens}))")).alias("o"))
+    places = places.selectExpr("key", "o.token AS token", "o.at AS at", f"greatest(1, o.at - {widest - 1}) AS lo", "words")
+    places = places.selectExpr("key", "token", "at - lo + 1 AS at", f"slice(words, lo, at - lo + {widest}) AS around")
+    if len(prefixes) <= broadcast_tokens:
+        pairs = places.join(F.broadcast(table), "token")
+    else:
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = places.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
+    pairs = pairs.selectExpr("key", "label", "n", "need", "block", "must", "at", "around", "after", "greatest(1, at - block + 1) AS lo")
+    pairs = pairs.where("size(around) >= need AND size(array_except(must, around)) = 0 AND 1 + size(array_intersect(after, slice(around, lo, at - lo + block))) >= need")
+    common = "transform(sequence(lo, at), s -> CASE WHEN size(array_except(must, slice(around, s, block))) = 0 THEN 1 + size(array_intersect(after, slice(around, s, block))) ELSE 0 END)"
+    met = pairs.selectExpr("key", "label", "n", "need", f"array_max({common}) AS common").where("common >= need")
+    return met.groupBy("key").agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.col("n")).alias("share"))
+
+
+def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, percent: int = CONTAINMENT_PERCENT, slack: int = SLACK_PERCENT, broadcast_tokens: int = BROADCAST_TOKENS, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
     """``df`` with n_words, n_base, first_word, last_word, base_labels, labels, score (greatest containment of a
     template that is met, 1 with a base phrase, else 0)."""
     keep = [c for c in df.columns if c not in RESULTS]
-    h = fresh([*keep, *RESULTS], "low", "words", "hit", "places", "blocks", "met", "found")
-    low, words, places, blocks, met, found = (h[k] for k in ("low", "words", "places", "blocks", "met", "found"))
+    h = fresh([*keep, *RESULTS], "low", "words", "key", "places", "of_base", "found", "share", "of")
+    low, words, key, places, of_base, found, share, of = h.values()
     cols = [f"`{c}`" for c in keep]
-    out = df.selectExpr(*cols, f"{lowered(f'coalesce(cast(`{text}` as string), {chr(39) * 2})')} AS {low}")
-    sets = [(label, word_set(t)) for label, t in templates]
-    order = word_order(out, low, sorted({w for _, s in sets for w in s}))
-    at = {w: i for i, w in enumerate(order)}
-    sets = [(label, sorted(s, key=at.get), required(len(s), percent)) for label, s in sets]
-    prefixes = sorted({w for _, s, r in sets for w in s[: len(s) - r + 1]})
-
-    out = out.selectExpr(*cols, low, f"{words_of(low)} AS {words}")
-    none = "cast(array() as array<int>)"
+    lower = df.selectExpr(*cols, f"{lowered(f'coalesce(cast(`{text}` as string), {chr(39) * 2})')} AS {low}")
+    order = word_order(lower, low, sorted({w for _, t, _ in templates for w in word_set(t)}))
+    prefixes = prefix_table(templates, percent, slack, order)
+    holds = f"exists({words}, w -> w IN ({quoted(sorted({p[0] for p in prefixes}))}))"
+    # Equal texts have equal labels: their digest is the key. Texts without a prefix word get keys that spread and meet nothing.
+    parts = lower.selectExpr(*cols, low, f"{words_of(low)} AS {words}")
+    parts = parts.selectExpr(*cols, low, words, f"CASE WHEN {holds} THEN md5({low}) ELSE cast(monotonically_increasing_id() as string) END AS {key}")
+    met = met_templates(parts.where(F.expr(holds)).select(F.col(key).alias("key"), F.col(words).alias("words")), prefixes, broadcast_tokens)
+    met = materialize(met, "licenses").withColumnsRenamed({"key": of, "found": found, "share": share})
+
     may = " OR ".join(f"contains({low}, '{p.split()[0]}')" for p, _ in PHRASES)
     step = lambda p: " AND ".join(f"get({words}, i + {k}) = '{w}'" for k, w in enumerate(p.split()))
-    for_phrase = [f"CASE WHEN ({may}) AND size({words}) > 0 THEN filter(sequence(0, size({words}) - 1), i -> {step(p)}) ELSE {none} END" for p, _ in PHRASES]
-    # Blocks, as their template words in global order with the number of all their words; only where a prefix word occurs.
-    block = f"filter(array({quoted(order)}), w -> array_contains(b.words, w))"
-    candidates = f"filter(transform(split({low}, '\\\\n'), x -> struct({words_of('x')} AS words)), b -> exists(b.words, w -> w IN ({quoted(prefixes)})))"
-    out = out.selectExpr(
-        *cols,
-        f"cast(size({words}) as bigint) AS n_words",
-        f"array({', '.join(for_phrase)}) AS {places}",
-        f"CASE WHEN exists({words}, w -> w IN ({quoted(prefixes)})) THEN transform({candidates}, b -> struct(cast(size(array_distinct(b.words)) as int) AS n, {block} AS toks)) ELSE cast(array() as array<struct<n: int, toks: array<string>>>) END AS {blocks}",
-    )
-    tests = []
-    for label, s, r in sets:
-        ordered, n = f"array({quoted(s)})", len(s)
-        prefix = quoted(s[: n - r + 1])
-        # The first template word that the block holds, i in the template and j in the block, from 1.
-        bound = f"1 + least({n} - array_position({ordered}, filter({ordered}, w -> array_contains(b.toks, w))[0]), size(b.toks) - array_position(b.toks, filter({ordered}, w -> array_contains(b.toks, w))[0]))"
-        common = f"size(array_intersect(b.toks, {ordered}))"
-        test = f"b.n >= {r} AND exists(b.toks, w -> w IN ({prefix})) AND {bound} >= {r} AND {common} >= {r}"
-        tests.append(f"transform(filter({blocks}, b -> {test}), b -> struct('{label}' AS label, {common} / {n}D AS share))")
-    nothing = "cast(array() as array<struct<label: string, share: double>>)"
-    out = out.selectExpr(*cols, "n_words", places, f"CASE WHEN size({blocks}) > 0 THEN flatten(array({', '.join(tests)})) ELSE {nothing} END AS {met}")
+    for_phrase = [f"CASE WHEN ({may}) AND size({words}) > 0 THEN filter(sequence(0, size({words}) - 1), i -> {step(p)}) ELSE cast(array() as array<int>) END" for p, _ in PHRASES]
+    out = parts.selectExpr(*cols, f"cast(size({words}) as bigint) AS n_words", f"array({', '.join(for_phrase)}) AS {places}", key)
     labelled = "filter(array(" + ", ".join(f"CASE WHEN size({places}[{k}]) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES)) + "), x -> x IS NOT NULL)"
-    out = out.selectExpr(*cols, "n_words", met, f"flatten({places}) AS {places}", f"{labelled} AS {found}")
+    out = out.selectExpr(*cols, "n_words", key, f"flatten({places}) AS {places}", f"{labelled} AS {of_base}")
+    out = out.join(F.broadcast(met) if met.count() <= broadcast_texts else met, F.col(key) == F.col(of), "left")
     return out.selectExpr(
         *cols,
         "n_words",
         f"cast(size({places}) as bigint) AS n_base",
         f"cast(array_min({places}) as bigint) AS first_word",
         f"cast(array_max({places}) as bigint) AS last_word",
-        f"array_join(array_sort(array_distinct({found})), ',') AS base_labels",
-        f"array_join(array_sort(array_distinct(concat({found}, transform({met}, m -> m.label)))), ',') AS labels",
-        f"CASE WHEN size({places}) > 0 THEN 1D ELSE coalesce(array_max(transform({met}, m -> m.share)), 0D) END AS score",
+        f"array_join(array_sort(array_distinct({of_base})), ',') AS base_labels",
+        f"array_join(array_sort(array_distinct(concat({of_base}, coalesce({found}, cast(array() as array<string>))))), ',') AS labels",
+        f"CASE WHEN size({places}) > 0 THEN 1D ELSE coalesce({share}, 0D) END AS score",
     )
 
 
@@ -133,15 +167,16 @@ def oracle() -> str:
         f"SELECT r, i - 1 AS i, '{label}' AS label FROM w, unnest(range(1, len(ws) + 1)) AS x(i) WHERE " + " AND ".join(f"ws[i + {k}] = '{p}'" for k, p in enumerate(words.split()))
         for words, label in PHRASES
     )
-    rows = ", ".join(f"('{label}', [{', '.join(repr(x) for x in word_set(t))}], {required(len(word_set(t)))})" for label, t in TEMPLATES)
+    strings = lambda words: f"[{', '.join(repr(w) for w in words)}]::VARCHAR[]"
+    rows = ", ".join(f"({k}, '{label}', {strings(word_set(t))}, {required(len(word_set(t)))}, {block_size(t)}, {strings(must.split())})" for k, (label, t, must) in enumerate(TEMPLATES))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM d),
 p AS ({phrase}),
-b AS (SELECT r, list_distinct(list_filter(regexp_split_to_array(l, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS bs
-      FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
-tpl(label, ts, need) AS (VALUES {rows}),
-m AS (SELECT r, label, len(list_intersect(ts, bs)) / len(ts) AS share FROM b JOIN tpl ON len(list_intersect(ts, bs)) >= need),
+tpl(k, label, ts, need, size, must) AS (VALUES {rows}),
+c AS (SELECT r, ws, tpl.* FROM w JOIN tpl ON len(list_intersect(ts, list_distinct(ws))) >= need),
+b AS (SELECT r, label, ts, need, must, list_distinct(list_slice(ws, i, i + size - 1)) AS bs FROM c, unnest(range(1, len(ws) + 1)) AS x(i)),
+m AS (SELECT r, label, len(list_intersect(ts, bs)) / len(ts) AS share FROM b WHERE len(list_intersect(ts, bs)) >= need AND len(list_intersect(must, bs)) = len(must)),
 pa AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY r),
 la AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM p UNION ALL SELECT r, label FROM m) GROUP BY r),
 ma AS (SELECT r, max(share) AS share FROM m GROUP BY r)

@@ -93,33 +93,71 @@ def test_boilerplate_lines(spark, limit):
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
 
 
-def test_licenses_against_brute_force(spark):
-    notices = [t for _, t in license_scan.TEMPLATES]
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def license_words(t):
+    return [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER)) if w]
+
+
+def met_licenses(words, templates):
+    met = {}
+    for label, notice, must in templates:
+        notice = license_words(notice)
+        size, need = len(notice) + -(-len(notice) // 4), set(notice)
+        for i in range(len(words)):
+            block = set(words[i : i + size])
+            if len(need & block) * 100 >= 80 * len(need) and set(must.split()) <= block:
+                met[label] = max(met.get(label, 0), len(need & block) / len(need))
+    return met
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_licenses_against_brute_force(spark, limit):
+    notices = [t for _, t, _ in license_scan.TEMPLATES]
     rnd = random.Random(4)
-    texts = [None, "", "x\n" + notices[0], "CC-BY cc by CC BY", "MIT License mit license", "the gnu general public licenses", "GNU\nGeneral public License", "Released under MIT License", "KMIT License", "cc by"]
+    texts = [None, "", "x\n" + notices[0], "CC-BY cc by CC BY", "MIT License mit license", "the gnu general public licenses", "GNU\nGeneral public License", "Released under MIT License", "KMIT License", "cc by"]
+    texts += ["Licensed under CC BY-NC 4.0.", "Released under the Apache License.", "word " * 30000 + notices[8] + " word" * 30000]
     for _ in range(150):
         words = re.findall(r"\w+", rnd.choice(notices))
         kept = [w for w in words if rnd.random() < 0.85] + ["noise"] * rnd.randint(0, 3)
-        rnd.shuffle(kept)
-        texts.append("intro line\n" + " ".join(kept) + "\nend")
+        if rnd.random() < 0.5:
+            rnd.shuffle(kept)
+        texts.append("intro line\n" * rnd.randint(0, 2) + "".join(w + rnd.choice(" \n") for w in kept) + "end of it" * rnd.randint(0, 1))
+    texts += texts[-5:]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, __words string")
-    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    split = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", t) if w]
+    got = {r.doc_id: r for r in license_scan.scan(df, broadcast_tokens=limit, broadcast_texts=limit).collect()}
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        t = (t or "").translate(lower)
-        words = split(t)
+        words = license_words(t)
         places = [(k, label) for p, label in license_scan.PHRASES for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
-        met = {}
-        for block in t.split("\n"):
-            b = set(split(block))
-            for label, text in license_scan.TEMPLATES:
-                s = set(license_scan.word_set(text))
-                if len(s & b) * 100 >= 80 * len(s):
-                    met[label] = max(met.get(label, 0), len(s & b) / len(s))
+        met = met_licenses(words, license_scan.TEMPLATES)
         r = got[i]
         assert (r.n_words, r.n_base) == (len(words), len(places)), t
         assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
-        assert r.base_labels == ",".join(sorted({p[1] for p in places})) and r.labels == ",".join(sorted({p[1] for p in places} | set(met)))
+        assert r.base_labels == ",".join(sorted({p[1] for p in places})) and r.labels == ",".join(sorted({p[1] for p in places} | set(met))), t
         assert r.score == pytest.approx(1.0 if places else max(met.values(), default=0.0))
     assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_wrapped_notices_and_near_ones(spark):
+    bsd, mit = license_scan.TEMPLATES[2][1], license_scan.TEMPLATES[8][1]
+    wrap = lambda t: re.sub(r"((?:\S+ ){9})", "\\1\n * ", t)
+    texts = [wrap(bsd), wrap(mit), "Licensed under CC BY-NC 4.0.", "Released under the Apache License."]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "bsd", 1: "mit", 2: "cc-by,cc-by-nc", 3: "apache"}
+
+
+def test_many_templates(spark):
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(900)]
+    templates = tuple((f"t{k}", " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(5, 30))), "") for k in range(500))
+    texts = []
+    for _ in range(60):
+        notice = rnd.choice(templates)[1].split()
+        kept = [w if rnd.random() < 0.9 else "other" for w in notice]
+        texts.append(" ".join([*rnd.choices(vocabulary, k=20), *kept, *rnd.choices(vocabulary, k=20)]))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates).collect()}
+    for i, t in enumerate(texts):
+        met = met_licenses(license_words(t), templates)
+        assert got[i].labels == ",".join(sorted(met)) and got[i].score == pytest.approx(max(met.values(), default=0.0))
