@@ -235,11 +235,12 @@ class OLSRobust(Base):
         y_names = y
         if len(y) > 1:
             df, y_names = prepare.composites(df, y, m.y_masks)
-        m = ModelSpec(Family.OLS, y, x, z, m.group, m.draws, m.kfold, m.oos_metric, m.seed, None, m.z_masks if z == controls else None, m.y_masks, m.rng, m.order_by)
+        # A sample of specifications is one of the controls as they are now: constants may have gone or got another name.
+        masks = m.z_masks if z == controls or not z_specs_sample_size else space.sample_z_masks(len(z), z_specs_sample_size, m.seed)
+        m = ModelSpec(Family.OLS, y, x, z, m.group, m.draws, m.kfold, m.oos_metric, m.seed, None, masks, m.y_masks, m.rng, m.order_by)
         columns = [*y_names, *x, *z]
-        order = m.order_by or columns
         keep = df.select(*[f"`{c}`" for c in dict.fromkeys([*columns, *([group] if group else []), *m.order_by])])
-        rows = prepare.with_row_index(keep, [F.col(f"`{c}`") for c in order], "rid")
+        rows = prepare.with_row_index(keep, [F.col(f"`{c}`") for c in m.order_by], "rid") if m.order_by else prepare.in_input_order(keep, "rid")
         n_all = rows.count()
         full, oos, boot = [], [], []
         for need, work in valid_sets(rows, columns, work_list(m, y_names), group):
@@ -263,7 +264,8 @@ class OLSRobust(Base):
                 folds = prepare.group_folds(rows, m.group, m.kfold)
                 rows = rows.join(folds, F.col(f"`{m.group}`") == F.col("__group")).drop("__group")
             else:
-                rows = prepare.with_row_index(rows, ["rid"]).withColumn("fold", prepare.contiguous_fold(F.col("row_idx"), n, m.kfold))
+                rows = rows.withColumn("row_idx", F.col("rid")) if n == n_all else prepare.with_row_index(rows, ["rid"])
+                rows = rows.withColumn("fold", prepare.contiguous_fold(F.col("row_idx"), n, m.kfold))
             keys = ["fold"]
         parts = moments.gram(rows, columns, keys).collect()  # kfold rows at most
         grams = moments.unpack(np.array([r.gram for r in parts], float).reshape(len(parts), moments.size(p)), p)

@@ -105,21 +105,37 @@ def null_mask(columns: list[str]) -> Column:
     return sum((F.when(F.col(f"`{c}`").isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(columns)), F.lit(0).cast("long"))
 
 
+def numbered(dealt: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """``dealt`` (a written table with __m, increasing ids by part) with numbers from 0: the rows of a part and ``order``
+    columns follow each other, and are shifted by the rows of all that come before, by ``order`` and part."""
+    part = F.expr("shiftrightunsigned(__m, 33)").alias("__part")
+    keys = [*order, "__part"]
+    sizes = dealt.select("*", part).groupBy(keys).agg(F.min("__m").alias("least"), F.count("*").alias("n")).collect()  # a row per file split
+    before, rows = 0, []
+    for r in sorted(sizes, key=lambda r: (*[r[c] for c in order], r.least)):
+        rows.append((*[r[c] for c in keys], before - r.least))
+        before += r.n
+    kinds = {f.name: f.dataType for f in dealt.schema.fields}
+    schema = T.StructType([*[T.StructField(c, kinds[c]) for c in order], T.StructField("__part", T.LongType()), T.StructField("__shift", T.LongType())])
+    shift = dealt.sparkSession.createDataFrame(rows, schema)
+    return dealt.select("*", part).join(F.broadcast(shift), keys).withColumn(name, F.col("__m") + F.col("__shift")).drop("__m", "__shift", *keys)
+
+
 def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> DataFrame:
     """Consecutive numbers from 0 in the given order without a global window: a range sort is written once, and
     each part's rows are shifted by the sizes of the parts before it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-    dealt = materialize(dealt.withColumn("__m", F.monotonically_increasing_id()), "sorted")
-    part = F.shiftrightunsigned("__m", 33) if hasattr(F, "shiftrightunsigned") else F.expr("shiftrightunsigned(__m, 33)")
-    dealt = dealt.withColumn("__part", part)
-    sizes = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}
-    before, rows = 0, []
-    for p in sorted(sizes):
-        rows.append((p, before))
-        before += sizes[p]
-    shift = df.sparkSession.createDataFrame(rows or [(0, 0)], "__part long, __before long")
-    return dealt.join(F.broadcast(shift), "__part").withColumn(name, F.col("__m") - F.shiftleft("__part", 33) + F.col("__before")).drop("__m", "__part", "__before")
+    return numbered(materialize(dealt.withColumn("__m", F.monotonically_increasing_id()), "sorted"), name, [])
+
+
+def in_input_order(df: DataFrame, name: str) -> DataFrame:
+    """Consecutive numbers from 0 in the order of the input: for a single source that is not shuffled, of its files by
+    name and of the rows in a file; else of Spark's partitions. The rows are written once, unsorted."""
+    place = {"__file": F.input_file_name(), "__at": F.input_file_block_start()}
+    if df._jdf.queryExecution().analyzed().collectLeaves().size() > 1:
+        place = {}
+    return numbered(materialize(df.withColumns({**place, "__m": F.monotonically_increasing_id()}), "numbered"), name, list(place))
 
 
 def contiguous_fold(idx: Column, n: int, k: int) -> Column:

@@ -151,7 +151,7 @@ def spec_bitmask(spark, sf):
     return s.select(space.controls_mask(F.col("controls"), SIX).alias("z_mask"), F.array_join("controls", ",").alias("spec"))
 
 
-@register("sample_specs")
+@register("sample_specs", f"SELECT spec_id, z_mask, {_NAME} AS controls, CAST({_BITS} AS INTEGER) AS n_controls, z_mask = 0 AS is_null, z_mask = 63 AS is_full FROM (VALUES {', '.join(f'({i}, {m})' for i, m in enumerate(space.sample_z_masks(6, 16, SEED)))}) AS t(spec_id, z_mask)")
 def sample_specs(spark, sf):
     return space.specs_frame(spark, SIX, space.sample_z_masks(6, 16, SEED)).withColumn("controls", F.array_join("controls", ","))
 
@@ -198,6 +198,23 @@ def ols_fe(spark, sf):
     return f.select("spec", (F.round("beta", 6) + 0.0).alias("beta"), (F.round(F.col("se")[0], 6) + 0.0).alias("se"))
 
 
+def sampled_sql() -> str:
+    cols, names = ["y", "x", "z1", "z2", "5.0"], ["z1", "z2", "const"]
+    ctes, out = [LINES, f"g0 AS ({sqlgen.grams('lines', cols)})"], []
+    for i, mask in enumerate(space.sample_z_masks(3, 4, SEED)):
+        use = [k for k in range(3) if mask >> k & 1]
+        ctes += sqlgen.fit("g0", f"f{i}", len(cols), [1, *[2 + k for k in use]], 0)
+        out.append(f"SELECT '{','.join(names[k] for k in use)}' AS spec, {r('b0', 'beta')}, {r('sqrt(v0 * rss / (n - k))', 'se')} FROM f{i}")
+    return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(out)
+
+
+@register("sampled_specs_with_constant", sampled_sql())
+def sampled_specs_with_constant(spark, sf):
+    d = lines(spark, sf).withColumn("five", F.lit(5.0))
+    res = estimators.OLSRobust(["y"], ["x"], d).fit(controls=["five", "z1", "z2"], draws=0, kfold=0, seed=SEED, z_specs_sample_size=4, shap=False).get_results()
+    return flat(res.full).select("spec", (F.round("beta", 6) + 0.0).alias("beta"), (F.round(F.col("se")[0], 6) + 0.0).alias("se"))
+
+
 @register("collinearity", f"WITH {LINES} SELECT a, b FROM (SELECT 'x2' AS a, 'x' AS b, corr(2 * x + 1, x) AS c FROM lines UNION ALL SELECT 'z1', 'x', corr(z1, x) FROM lines) WHERE abs(abs(c) - 1) < 1e-9")
 def collinearity(spark, sf):
     d = lines(spark, sf).withColumn("x2", F.col("x") * 2 + 1)
@@ -213,13 +230,13 @@ def listwise_deletion(spark, sf):
     return flat(full).select("spec", "nobs")
 
 
-def kfold_sql(metric: str) -> str:
+def kfold_sql(metric: str, order: str = "ORDER BY k") -> str:
     cols, controls = ["y", "x", "z1", "z2", "1.0"], ["z1", "z2"]
     p = len(cols)
     q = f"(m // {FOLDS})"
     fold = f"CASE WHEN idx < (m % {FOLDS}) * ({q} + 1) THEN idx // ({q} + 1) ELSE (m % {FOLDS}) + (idx - (m % {FOLDS}) * ({q} + 1)) // {q} END"
     names = [sqlgen.entry(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    ctes = [PEOPLE, "o AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS idx, count(*) OVER () AS m FROM people)", f"w AS (SELECT *, {fold} AS fold FROM o)", f"gf AS ({sqlgen.grams('w', cols, 'fold')})"]
+    ctes = [PEOPLE, f"o AS (SELECT *, row_number() OVER ({order}) - 1 AS idx, count(*) OVER () AS m FROM people)", f"w AS (SELECT *, {fold} AS fold FROM o)", f"gf AS ({sqlgen.grams('w', cols, 'fold')})"]
     ctes.append("gt AS (SELECT fold, " + ", ".join(f"sum({c}) OVER () - {c} AS {c}" for c in names) + " FROM gf)")
     out = []
     for i, s in specs(controls):
@@ -233,8 +250,8 @@ def kfold_sql(metric: str) -> str:
     return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(out)
 
 
-def kfold(metric: str, spark, sf):
-    res = people_fit(spark, sf, draws=0, kfold=FOLDS, oos_metric=metric)
+def kfold(metric: str, spark, sf, **kw):
+    res = people_fit(spark, sf, draws=0, kfold=FOLDS, oos_metric=metric, **kw)
     avg = res.oos.groupBy("spec_id").agg(F.avg("metric").alias("metric"))
     return rounded(flat(res.full).join(avg, "spec_id").select("spec", "metric"))
 
@@ -243,6 +260,9 @@ for _m in ("rmse", "pseudo-r2"):
     register(f"kfold_{_m.replace('-', '_')}", kfold_sql(_m))(partial(kfold, _m))
 
 
+register("kfold_default_order", kfold_sql("pseudo-r2", ""))(partial(kfold, "pseudo-r2", order_by=None))
+
+
 @register("group_kfold")
 def group_kfold(spark, sf):
     return prepare.group_folds(lines(spark, sf), "g", FOLDS).withColumnRenamed("__group", "g")
@@ -428,7 +448,7 @@ def shap_sql() -> str:
 
 @register("linear_shap", shap_sql())
 def linear_shap(spark, sf):
-    return rounded(panels.shap_order(line_fit(spark, sf, shap=True).shap), 4)
+    return rounded(panels.shap_order(line_fit(spark, sf, shap=True, order_by=["y", "x", *Z]).shap), 4)
 
 
 @register("merge_results", f"{FULL} SELECT tag, count(*) AS n, {r('min(beta)', 'lo')} FROM curve, (VALUES ('one'), ('two')) AS t(tag) GROUP BY tag")

@@ -223,3 +223,35 @@ def test_streaming_grams(spark, tmp_path):
     q.awaitTermination(60)
     got = {r.n: r.gram for r in spark.table("grams").collect()}
     assert got[2] == [10.0, 5.0, 4.0, 5.0, 3.0, 2.0] and got[1] == [25.0, 5.0, 5.0, 1.0, 1.0, 1.0]
+
+
+def test_default_folds_follow_the_input(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=103)
+    y = 2 * x + rng.normal(size=103)
+    spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, x, strict=True)], "y double, x double").coalesce(1).write.parquet(f"{tmp_path}/t")
+    r = OLSRobust(["y"], ["x"], spark.read.parquet(f"{tmp_path}/t")).fit(controls=[], draws=0, kfold=4, seed=1, shap=False).get_results()
+    want = []
+    for test in np.array_split(np.arange(103), 4):
+        train = np.setdiff1d(np.arange(103), test)
+        b = np.linalg.lstsq(np.c_[x[train], np.ones(len(train))], y[train], rcond=None)[0]
+        want.append(1 - ((y[test] - b[0] * x[test] - b[1]) ** 2).sum() / ((y[test] - y[train].mean()) ** 2).sum())
+    got = [row.metric for row in r.oos.orderBy("fold").collect()]
+    assert np.allclose(got, want)
+
+
+def test_files_are_numbered_by_name_and_place(spark, tmp_path):
+    for name, lo, hi in (("a", 0, 5), ("b", 5, 400), ("c", 400, 410)):
+        spark.range(lo, hi, numPartitions=1).toPandas().to_parquet(f"{tmp_path}/{name}.parquet")
+    out = prepare.in_input_order(spark.read.parquet(str(tmp_path)), "rid")
+    assert out.where("rid <> id").count() == 0 and out.count() == 410 and out.columns == ["id", "rid"]
+    assert prepare.in_input_order(spark.range(0), "rid").count() == 0
+
+
+def test_a_sample_of_specifications_outlives_constants(spark):
+    df = readers.regression_data(spark, 80, 6).withColumn("seven", F.lit(7.0)).withColumn("g", F.pmod("id", F.lit(8)))
+    z = [f"z{i}" for i in range(1, 7)]
+    kw = {"draws": 0, "kfold": 0, "seed": 3, "z_specs_sample_size": 4, "shap": False}
+    assert OLSRobust(["y1"], ["x1"], df).fit(controls=[*z, "seven"], **kw).get_results().full.count() == 4
+    with_const = df.withColumn("const", F.lit(1.0))
+    assert OLSRobust(["y1"], ["x1"], with_const).fit(controls=[*z, "const"], group="g", **kw).get_results().full.count() == 4
