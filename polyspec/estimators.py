@@ -267,7 +267,7 @@ class OLSRobust(Base):
                 rows = rows.withColumn("row_idx", F.col("rid")) if n == n_all else prepare.with_row_index(rows, ["rid"])
                 rows = rows.withColumn("fold", prepare.contiguous_fold(F.col("row_idx"), n, m.kfold))
             keys = ["fold"]
-        parts = moments.gram(rows, columns, keys).collect()  # kfold rows at most
+        parts = sorted(moments.gram(rows, columns, keys).collect(), key=lambda r: r.fold if keys else 0)  # kfold rows at most
         grams = moments.unpack(np.array([r.gram for r in parts], float).reshape(len(parts), moments.size(p)), p)
         total = grams.sum(0) if len(parts) else np.zeros((p + 1, p + 1))
         if not n:
