@@ -93,22 +93,26 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def shingle_sets(data: bytes, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of concatenated texts, and their number before each text (with the end)."""
-    n_docs = len(docs) - 1
-    raw = _LOWER[np.frombuffer(data, np.uint8)]
+def word_hashes(raw: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of concatenated texts; ``raw``: their bytes, 0 between words."""
     inside = np.zeros(len(raw) + 2, bool)
     inside[1:-1] = raw > 0
     starts = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
-    for border in (docs[1:-1],):  # a word ends with its text
-        b = border[(border > 0) & (border < len(raw))]
-        starts[b] |= raw[b] > 0
-        ends[b - 1] |= raw[b - 1] > 0
+    b = docs[1:-1]  # a word ends with its text
+    b = b[(b > 0) & (b < len(raw))]
+    starts[b] |= raw[b] > 0
+    ends[b - 1] |= raw[b - 1] > 0
     first, last = np.flatnonzero(starts), np.flatnonzero(ends)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(raw * powers(_BASE, len(raw)), out=sums[1:])
-    words = mix((sums[last + 1] - sums[first]) * powers(_BACK, len(raw) + 1)[first] + (last - first).astype(np.uint64))
+    return first, mix((sums[last + 1] - sums[first]) * powers(_BACK, len(raw) + 1)[first] + (last - first).astype(np.uint64))
+
+
+def shingle_sets(data: bytes, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of concatenated texts, and their number before each text (with the end)."""
+    n_docs = len(docs) - 1
+    first, words = word_hashes(_LOWER[np.frombuffer(data, np.uint8)], docs)
     word_at = np.searchsorted(first, docs)
     n_words = np.diff(word_at)
     n_windows = np.where(n_words >= NGRAM, n_words - NGRAM + 1, np.minimum(n_words, 1))

@@ -222,3 +222,46 @@ def test_quality_is_learnt_from_positives_and_web_text(spark):
     none = pu_quality.train(docs, labels.limit(0))
     assert {r.score for r in pu_quality.score(odd, none).collect()} == {0.5}
     assert pu_quality.score(odd.limit(0), model).count() == 0
+
+
+def test_risk_and_prior_against_plain_computation(spark):
+    rng = np.random.default_rng(2)
+    p, u = np.c_[rng.normal(1, 1, (300, 3)), np.ones(300)], np.c_[np.concatenate([rng.normal(1, 1, (350, 3)), rng.normal(-3, 1, (150, 3))]), np.ones(500)]
+    for w in (rng.normal(size=4), np.array([3.0, 3, 3, 9]), np.zeros(4)):
+        loss = lambda z: float(np.log1p(np.exp(-z)))
+        pos = sum(loss(x @ w) for x in p) / len(p)
+        neg = sum(loss(-(x @ w)) for x in u) / len(u) - 0.7 * sum(loss(-(x @ w)) for x in p) / len(p)
+        assert np.isclose(pu_quality.risk(w, p, u, 0.7), 0.7 * pos + max(0, neg))
+        part = (lambda v: 0.7 * np.logaddexp(0, -(p @ v)).mean() + np.logaddexp(0, u @ v).mean() - 0.7 * np.logaddexp(0, p @ v).mean()) if neg >= 0 else (lambda v: 0.7 * np.logaddexp(0, p @ v).mean() - np.logaddexp(0, u @ v).mean())
+        slopes = [(part(w + h) - part(w - h)) / 2e-6 for h in np.eye(4) * 1e-6]
+        assert np.allclose(pu_quality.risk_gradient(w, p, u, 0.7), slopes, atol=1e-6)
+    assert 0.6 < pu_quality.class_prior(p, u) < 0.8
+    assert pu_quality.risk_gradient(np.array([3.0, 3, 3, 9]), p, u, 0.99) is not None
+
+
+def plain_features(t):
+    spaces = " \t\n\x0b\x0c\r"
+    w = re.split(f"[{spaces}]+", t.strip(spaces)) if t.strip(spaces) else []
+    counts = [len(re.findall(r"[#*$%&|<>_=~^@]", t)), t.count("|"), t.count("!"), len(re.findall("[A-Z]{2,}", t)), sum(a.lower() == b.lower() for a, b in zip(w, w[1:], strict=False)), len(re.findall(f"[.?](?:[{spaces}]|\\Z)", t)), len(re.findall("[0-9]", t))]
+    return [np.log1p(50 * c / max(len(w), 1)) for c in counts]
+
+
+def test_features_against_plain_counts():
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice(["ab ", "AB ", "a.", "?", "! ", "|", "#x\n", "7", " Go go ", "é "]) for _ in range(rnd.randint(0, 40))) for _ in range(300)] + ["", "A", "AB"]
+    data = [t.encode() for t in texts]
+    got = pu_quality.Texts(b"".join(data), np.cumsum([0, *map(len, data)]))
+    assert np.allclose(got.shape, [plain_features(t) for t in texts])
+    assert got.n_grams.tolist() == [max(len(d) - 2, 0) for d in data]
+    alone = [pu_quality.Texts(d, np.array([0, len(d)])) for d in data]
+    assert got.words.tolist() == [x for a in alone for x in a.words.tolist()] and got.grams.tolist() == [x for a in alone for x in a.grams.tolist()]
+
+
+def test_learning_without_ids_or_unlabelled_texts(spark):
+    rnd = random.Random(4)
+    plain = lambda: " ".join(rnd.choice(["stone", "river", "lamp.", "over", "Kind", "and"]) for _ in range(40))
+    rows = [(i, plain() if i % 5 else plain().replace(" ", "### ")) for i in range(600)]
+    docs = spark.createDataFrame([*rows, *[(None, "### ### ###")] * 300], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(600)], "doc_id long, quality int")
+    scored = {r.doc_id: r.predicted for r in pu_quality.score(docs, pu_quality.train(docs, labels)).collect()}
+    assert sum(scored[i] == (i % 5 > 0) for i in range(600)) > 590 and scored[None] == 0
