@@ -83,12 +83,15 @@ def test_urls(spark):
 def test_boilerplate_lines(spark, limit):
     pages = [(i, "h", f"own {i}\nfooter here\n\nfooter here ") for i in range(20)] + [(i, "h", f"own {i}") for i in range(20, 60)]
     pages += [(100 + i, "other", "footer here") for i in range(4)] + [(200, None, "footer here\nfine"), (201, "h", None), (202, "h", ""), (0, "h", pages[0][2])]
+    pages += [(300 + i, "three", f"own {i}\n" + ("two of three" if i else "x" * 100_000)) for i in range(3)]
     df = spark.createDataFrame([(*p, "f") for p in pages], "doc_id long, source string, text string, digest string")
     got = line_dedup.drop_lines(df, broadcast_lines=limit).collect()
     assert len(got) == len(pages)
     by = {r.doc_id: r for r in got}
     assert by[3].text == "own 3\n" and (by[3].n_lines, by[3].n_dropped) == (4, 2)
-    assert by[30].text == "own 30" and by[100].text == "footer here" and by[200].text == "footer here\nfine"
+    # On a host of four pages a line on all of them goes; on one page, or on two of three, none does.
+    assert by[30].text == "own 30" and by[100].text == "" and by[100].n_dropped == 1 and by[200].text == "footer here\nfine"
+    assert all(by[i].n_dropped == 0 and by[i].text == pages[-3 + i - 300][2] for i in (300, 301, 302))
     assert by[201].text == "" and by[201].n_lines == 0 and by[202].n_lines == 0
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
 
