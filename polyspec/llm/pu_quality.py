@@ -32,6 +32,8 @@ from polyspec.plans.scratch import Scratch
 
 #: Positives in the training sample, and unlabelled texts in it, about (a Bernoulli sample of rows).
 SAMPLE_ROWS = 10_000
+#: Bytes of text at once (a longer text alone).
+CHUNK = 1 << 20
 #: Buckets of hashed words and of hashed trigrams, and how many of them enter the model.
 BUCKETS, CHOSEN, SURE = 1 << 14, 128, 6.0
 SHAPES = ("symbols", "bars", "exclamations", "shouted", "repeats", "sentences", "digits")
@@ -120,7 +122,7 @@ def moments(df: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         sums = np.zeros((2, 2, BUCKETS))
         n = 0
         for batch in batches:
-            for row, to, data, docs in chunks(batch.column("t")):
+            for row, to, data, docs in chunks(batch.column("t"), CHUNK):
                 n += to - row
                 for kind, (bucket, doc, size) in enumerate(Texts(data, docs).kinds()):
                     cell, times = np.unique(doc * BUCKETS + bucket, return_counts=True)
@@ -155,7 +157,7 @@ def vectors(df: DataFrame, buckets: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, docs in chunks(batch.column("t")):
+            for _, _, data, docs in chunks(batch.column("t"), CHUNK):
                 rows = Texts(data, docs).features(place).astype("<f4")
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["f"])
 
@@ -239,17 +241,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
     about ``rows`` rows each."""
     scratch = Scratch(docs.sparkSession)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
-    labels = labels.where(fold).select("doc_id", "quality")
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    labels = scratch.write(labels.where(fold).groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good")), "labels")
     docs = docs.where(fold).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
 
-    def sampled(df: DataFrame, tag: str) -> DataFrame:
-        part = rows / max(1, df.count())
-        return scratch.write((df if part >= 1 else df.sample(fraction=part, seed=seed)).select("t"), tag)
-
-    positive = sampled(docs.join(trusted, "doc_id", "left_semi"), "positives")
-    web = docs.join(labels.select("doc_id"), "doc_id", "left_anti")
-    unlabelled = sampled(docs if web.isEmpty() else web, "unlabelled")
+    def some(df: DataFrame, total: int) -> DataFrame:
+        """About ``rows`` rows if ``df`` stands for ``total``."""
+        return df if total <= rows else df.sample(fraction=rows / total, seed=seed)
+
+    # Rows are counted by their ids alone, and sampled before they meet the labels, so that few texts are shuffled.
+    ids = docs.select("doc_id").join(labels, "doc_id", "left").agg(F.count_if(F.col("good")).alias("good"), F.count_if(F.col("good").isNull()).alias("web")).first()
+    known = labels.where("good").select("doc_id")
+    n = known.count()
+    chosen = docs.join(F.broadcast(some(known, n)), "doc_id", "left_semi")  # about ``rows`` ids
+    if ids.good > n:  # ids may repeat
+        chosen = chosen.sample(fraction=n / ids.good, seed=seed)
+    positive = scratch.write(chosen.select("t"), "positives")
+    web = some(docs, ids.web).join(labels, "doc_id", "left_anti") if ids.web else some(docs, docs.count())
+    unlabelled = scratch.write(web.select("t"), "unlabelled")
     buckets = chosen_buckets(moments(positive), moments(unlabelled))
     model = fit(vectors(positive, buckets), vectors(unlabelled, buckets), buckets)
     scratch.drop()
@@ -262,7 +270,7 @@ def scorer(model: Model):
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
-        out = [sigmoid(bias + Texts(data, docs).features(place) @ weights) for _, _, data, docs in chunks(texts)]
+        out = [sigmoid(bias + Texts(data, docs).features(place) @ weights) for _, _, data, docs in chunks(texts, CHUNK)]
         return pa.array(np.concatenate([np.zeros(0), *out]))
 
     return scores
