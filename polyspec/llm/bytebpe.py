@@ -241,7 +241,7 @@ def load_library(path: str) -> ByteBPE:
     return LibraryBPE(path)
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Rows from and to, the bytes of their texts, and byte offsets; nulls are empty."""
     texts = texts.cast(pa.string())
     texts = texts.fill_null("") if texts.null_count else texts
@@ -250,7 +250,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     data = texts.buffers()[2]
     row = 0
     while row < n:
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         to = min(to, n)
         lo, hi = int(offsets[row]), int(offsets[to])
         yield row, to, data[lo:hi].to_pybytes() if hi > lo else b"", offsets[row : to + 1] - lo

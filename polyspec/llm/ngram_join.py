@@ -44,8 +44,10 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 SALTS = 16
 #: Chance that the labels of a pair at the threshold agree too seldom for its shingle sets to be compared.
 MISSED = 1e-6
-#: Shingles hashed at once.
-PART = 1 << 16
+#: Bytes of text and shingles hashed at once (a longer text is hashed alone).
+CHUNK, PART = 1 << 20, 1 << 16
+#: Nodes whose texts are looked up by broadcast.
+BROADCAST_NODES = 1_000_000
 
 
 def prefix_length(threshold: float, recall: float = TARGET_RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -170,7 +172,7 @@ def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, to, data, ends in chunks(batch.column("text")):
+            for row, to, data, ends in chunks(batch.column("text"), CHUNK):
                 sets, at = shingle_sets(data, ends)
                 n = to - row
                 size = np.diff(at)
@@ -195,7 +197,7 @@ def shingles(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, to, data, ends in chunks(batch.column("text")):
+            for row, to, data, ends in chunks(batch.column("text"), CHUNK):
                 sets, at = shingle_sets(data, ends)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), longs(sets))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(row, to - row), pa.array(np.diff(at).astype(np.int32)), lists], names=["node", "n", "set"])
@@ -439,10 +441,11 @@ def next_level(links: list[tuple[float, int]], level: int, floor: int, threshold
     return next((k for k in range(level - 1, floor, -1) if estimated_recall(links, level, k, threshold) >= TARGET_RECALL), floor)
 
 
-def texts_of(docs: DataFrame, id_col: str, text: str, nodes: DataFrame, trie: DataFrame) -> DataFrame:
-    """node, text of the nodes in ``trie``: a text of each."""
-    wanted = nodes.select("node", "first.doc", "first.f").join(trie.select("node").distinct(), "node", "left_semi").withColumnsRenamed({"doc": "of", "f": "key"})
+def texts_of(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame:
+    """node, text of the ``wanted`` nodes (node, of and key: the doc_id and hash of a text of theirs)."""
     texts = keyed_texts(docs, id_col, text)
+    if wanted.count() <= BROADCAST_NODES:  # 24 bytes a row
+        wanted = F.broadcast(wanted)
     met = texts.join(wanted, texts.doc.eqNullSafe(wanted.of) & (texts.f == wanted.key))
     return met.groupBy("node").agg(F.first("text").alias("text"))  # rows of one doc_id and text may repeat
 
@@ -475,7 +478,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nodes = seen.groupBy("k1", "k2").agg(F.min("doc").alias("least"), first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
     nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     trie = scratch.write(tries(nodes, floor), "tries")
-    sets = scratch.write(shingles(texts_of(docs, id_col, text, nodes, trie)), "sets")
+    wanted = nodes.select("node", "first.doc", "first.f").join(trie.select("node").distinct(), "node", "left_semi")
+    wanted = scratch.write(wanted.withColumnsRenamed({"doc": "of", "f": "key"}), "wanted")
+    sets = scratch.write(shingles(texts_of(docs, id_col, text, wanted)), "sets")
     classes, level, above = Classes(scratch), DEPTH, DEPTH + 1
     met: dict[float, int] = {}
 
