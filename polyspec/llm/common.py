@@ -3,10 +3,13 @@ session's settings alone: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB)
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from polyspec.plans.scratch import materialize  # noqa: F401
@@ -36,6 +39,14 @@ def pinned(expression: str) -> str:
     return f"CASE WHEN spark_partition_id() >= 0 THEN {expression} END"
 
 
+def release() -> None:
+    """Give the memory that a batch no longer needs back to the system: workers are kept between tasks, and would hold it
+    while others run beside them."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_group(columns: list[str], one_group: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """``one_group`` over each run of rows with equal ``columns``, across batches."""
 
@@ -56,7 +67,10 @@ def by_group(columns: list[str], one_group: Callable[[pd.DataFrame], pd.DataFram
                 last = tuple(key[s])
             if done:
                 yield pd.concat(done)
+                release()
         if held:
             yield one_group(pd.concat(held))
+            held.clear()
+        release()
 
     return run

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyspec.llm.bytebpe import chunks
-from polyspec.llm.common import by_group, read
+from polyspec.llm.common import by_group, read, release
 from polyspec.plans.scratch import Scratch
 
 NGRAM, THRESHOLD_PERCENT, TARGET_RECALL = 5, 80, 0.999
@@ -188,6 +188,7 @@ def sketches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     k[:, i] = np.frombuffer(hashlib.blake2b(data[ends[i] : ends[i + 1]], digest_size=16).digest(), "<u8")
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(size > 0, TREES, 0))).astype(np.int32)), longs(flat))
                 yield pa.RecordBatch.from_arrays([batch.column("doc").slice(row, n), batch.column("f").slice(row, n), longs(k[0]), longs(k[1]), pa.array(size.astype(np.int32)), lists], names=["doc", "f", "k1", "k2", "n", "labels"])
+            release()
 
     return src.mapInArrow(run, "doc long, f long, k1 long, k2 long, n int, labels array<long>")
 
@@ -201,6 +202,7 @@ def shingles(docs: DataFrame) -> DataFrame:
                 sets, at = shingle_sets(data, ends)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), longs(sets))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(row, to - row), pa.array(np.diff(at).astype(np.int32)), lists], names=["node", "n", "set"])
+            release()
 
     return docs.select("node", "text").mapInArrow(run, "node long, n int, set array<long>")
 

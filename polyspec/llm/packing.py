@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polyspec.llm.bytebpe import binary, chunks, load_library, vocabulary
-from polyspec.llm.common import fresh, materialize, read
+from polyspec.llm.common import fresh, materialize, read, release
 
 CAPACITY, END_ID, GROUP_PIECES = 2048, 0, 200_000
 
@@ -56,6 +56,7 @@ def cut_pieces(df: DataFrame, path: str, text: str = "text", capacity: int = CAP
                 columns = [some.column(c).take(pa.array(doc)) for c in keep]
                 columns += [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), binary(ids.view(np.uint8), np.append(first[doc] + start, first[-1]) * 4, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *new])
+            release()
 
     return src.mapInArrow(run, schema)
 

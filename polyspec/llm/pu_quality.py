@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyspec.llm.bytebpe import chunks
-from polyspec.llm.common import read
+from polyspec.llm.common import read, release
 from polyspec.llm.ngram_join import word_hashes
 from polyspec.plans.scratch import Scratch
 
@@ -128,6 +128,7 @@ def moments(df: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
                     cell, times = np.unique(doc * BUCKETS + bucket, return_counts=True)
                     value = damped(times / size[cell // BUCKETS])
                     sums[kind] += [np.bincount(cell % BUCKETS, value**k, BUCKETS) for k in (1, 2)]
+            release()
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.ravel().tolist()])], names=["n", "sums"])
 
@@ -271,6 +272,7 @@ def scorer(model: Model):
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
         out = [sigmoid(bias + Texts(data, docs).features(place) @ weights) for _, _, data, docs in chunks(texts, CHUNK)]
+        release()
         return pa.array(np.concatenate([np.zeros(0), *out]))
 
     return scores
