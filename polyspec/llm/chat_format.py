@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyspec.llm.common import materialize, read
+from polyspec.llm.common import materialize, read, small_batches
 
 ROLES = ("system", "user", "assistant", "tool")
 NEXT = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user", "tool"), "tool": ("assistant",)}
@@ -226,7 +226,8 @@ def repair(df: DataFrame, partitions: int | None = None, chunk: int = CHUNK) ->
     rows = rows.withColumns({"tie": F.xxhash64("role", "text"), "copy": F.monotonically_increasing_id()})
     order = ["conv", "turn", "role", "tie", "copy"]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("conv", "turn", "role", "text")
-    chunks = materialize(dealt.mapInPandas(lambda b: in_chunks(b, chunk), CHUNK_SCHEMA), "chunks")
+    with small_batches(spark):
+        chunks = materialize(dealt.mapInPandas(lambda b: in_chunks(b, chunk), CHUNK_SCHEMA), "chunks")
     done = chunks.where("closed").mapInPandas(lambda p: emit(p, whole_path), RESULT)
     open_ = chunks.where("NOT closed")
     sums = open_.select("conv", "part", "no", "m", F.size("roles").alias("size"))

@@ -1,11 +1,13 @@
-"""Shared helpers of the training-data operators: table access and names of helper columns. The Python operators leave the
-session's settings alone: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) bounds the batches that they get."""
+"""Shared helpers of the training-data operators: table access and names of helper columns. Actions of
+the Python operators run in ``small_batches``, which puts the session's setting back; frames that they return lazily don't
+depend on it, as ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) bounds their batches."""
 
 from __future__ import annotations
 
 import ctypes
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from polyspec.plans.scratch import materialize  # noqa: F401
 
+#: Rows per Arrow batch in the operators' own actions.
+ARROW_ROWS = 512
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark so that any file system works."""
@@ -39,6 +44,22 @@ def pinned(expression: str) -> str:
     return f"CASE WHEN spark_partition_id() >= 0 THEN {expression} END"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Bounds the rows of Arrow batches in the actions inside, so that neither the executor nor a worker holds much of a
+    table at once; afterwards the setting is as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.getAll.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def release() -> None:
     """Give the memory that a batch no longer needs back to the system: workers are kept between tasks, and would hold it
     while others run beside them."""

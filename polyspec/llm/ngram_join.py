@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyspec.llm.bytebpe import chunks
-from polyspec.llm.common import by_group, read, release
+from polyspec.llm.common import by_group, read, release, small_batches
 from polyspec.plans.scratch import Scratch
 
 NGRAM, THRESHOLD_PERCENT, TARGET_RECALL = 5, 80, 0.999
@@ -472,6 +472,11 @@ def with_copies(seen: DataFrame, own: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """id_col, class_id (least id of its class), n_links (other documents, copies included, that are similar enough)."""
+    with small_batches(docs.sparkSession):
+        return joined(docs, id_col, text, percent)
+
+
+def joined(docs: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     threshold = percent / 100
     floor = prefix_length(threshold)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polyspec.llm.bytebpe import binary, chunks, load_library, vocabulary
-from polyspec.llm.common import fresh, materialize, read, release
+from polyspec.llm.common import fresh, materialize, read, release, small_batches
 
 CAPACITY, END_ID, GROUP_PIECES = 2048, 0, 200_000
 
@@ -123,7 +123,8 @@ def assemble(packed: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every document."""
     cut = cut_pieces(docs.select(id_col, "text"), path, capacity=capacity)
-    pieces = materialize(cut.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = materialize(cut.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(pieces, capacity)
 
 

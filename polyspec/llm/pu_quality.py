@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyspec.llm.bytebpe import chunks
-from polyspec.llm.common import read, release
+from polyspec.llm.common import materialize, read, release, small_batches
 from polyspec.llm.ngram_join import word_hashes
 from polyspec.plans.scratch import Scratch
 
@@ -259,8 +259,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
     positive = scratch.write(chosen.select("t"), "positives")
     web = some(docs, ids.web).join(labels, "doc_id", "left_anti") if ids.web else some(docs, docs.count())
     unlabelled = scratch.write(web.select("t"), "unlabelled")
-    buckets = chosen_buckets(moments(positive), moments(unlabelled))
-    model = fit(vectors(positive, buckets), vectors(unlabelled, buckets), buckets)
+    with small_batches(docs.sparkSession):
+        buckets = chosen_buckets(moments(positive), moments(unlabelled))
+        model = fit(vectors(positive, buckets), vectors(unlabelled, buckets), buckets)
     scratch.drop()
     return model
 
@@ -284,8 +285,16 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.withColumn("score", value).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def scored(docs: DataFrame, model: Model, *columns: str, kept: bool = False) -> DataFrame:
+    """The columns of ``score`` as a scratch table; with ``kept``, of the documents predicted to be of quality."""
+    out = score(docs, model)
+    out = (out.where("predicted = 1") if kept else out).select(*[F.col(f"`{c}`") for c in columns])
+    with small_batches(docs.sparkSession):
+        return materialize(out, "scored")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, train(docs, read(spark, sf_dir, "labels")))
+    out = scored(docs, train(docs, read(spark, sf_dir, "labels")), "doc_id", "score", "predicted")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
-    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
