@@ -18,7 +18,7 @@ from polyspec.llm.common import fresh, materialize, read
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier predicts to be of quality; it learns from this stage's own input."""
     model = pu_quality.train(docs, read(spark, sf_dir, "labels"))
-    return pu_quality.score(docs, model).where("predicted = 1").select(docs.columns)
+    return pu_quality.scored(docs, model, *docs.columns, kept=True)
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
