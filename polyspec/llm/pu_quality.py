@@ -134,10 +134,9 @@ def moments(df: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
 
     parts = df.mapInArrow(run, "n long, sums array<double>")
     rows = parts.select(F.lit(-1).alias("at"), F.col("n").cast("double").alias("v")).unionByName(parts.select(F.posexplode("sums").alias("at", "v")))
-    got = rows.groupBy("at").agg(F.sum("v").alias("v")).where("v <> 0").collect()  # a row per bucket and moment at most
+    got = rows.groupBy("at").agg(F.sum("v").alias("v")).where("v <> 0").toArrow()  # a row per bucket and moment at most
     total = np.zeros(4 * BUCKETS + 1)
-    for r in got:
-        total[r["at"]] = r.v  # the number of texts is at -1
+    total[got["at"].to_numpy()] = got["v"].to_numpy()  # the number of texts is at -1
     mean, square = (total[:-1] / max(total[-1], 1)).reshape(2, 2, BUCKETS).transpose(1, 0, 2).reshape(2, -1)
     return mean, np.maximum(square - mean**2, 0), float(total[-1])
 
@@ -262,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
     with small_batches(docs.sparkSession):
         buckets = chosen_buckets(moments(positive), moments(unlabelled))
         model = fit(vectors(positive, buckets), vectors(unlabelled, buckets), buckets)
+    release()  # the driver's share of the sample
     scratch.drop()
     return model
 
