@@ -33,9 +33,9 @@ from polyspec.llm.common import fresh, read
 LONG_WORD = 128
 #: Words in each of a worker's two cache generations, and the longest kept: bounds its memory. When the young generation
 #: is full it becomes the old one, whose words move back as they are met; others are encoded again.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 100_000, 64
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 NO_RANK = 1 << 60
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
