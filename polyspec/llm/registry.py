@@ -16,6 +16,9 @@ OPERATORS = {
     "op8_bpe_roundtrip": "bytebpe",
     "op9_ngram_jaccard_join": "ngram_join",
     "op10_topk_search": "topk_search",
+    "op11_elkan_codes": "vector_codes",
+    "op12_token_counts": "token_counts",
+    "op13_centroid_clusters": "centroids",
 }
 
 
