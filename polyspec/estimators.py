@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polyspec.operators import inference, logit, moments, ols, panels, prepare
+from polyspec.operators import groups, inference, lattice, logit, moments, ols, panels, patterns, prepare
 from polyspec.plans import space, spec
 from polyspec.plans.scratch import materialize
 from polyspec.plans.spec import Family, ModelSpec
@@ -215,7 +215,11 @@ class OLSRobust(Base):
 
     family = Family.OLS
 
-    def fit(self, *, controls, group=None, draws=None, kfold=None, oos_metric=None, n_cpu=None, seed=None, composite_sample=None, z_specs_sample_size=None, rescale_y=False, rescale_x=False, rescale_z=False, threshold=1_000_000, rng="poisson", order_by=None, shap=True) -> OLSRobust:
+    def fit(self, *, controls, group=None, draws=None, kfold=None, oos_metric=None, n_cpu=None, seed=None, composite_sample=None, z_specs_sample_size=None, rescale_y=False, rescale_x=False, rescale_z=False, threshold=1_000_000, rng="poisson", mode=None, order_by=None, shap=True) -> OLSRobust:
+        """``mode``: "shared" draws are the same rows for all specifications, "independent" ones each specification's own; by
+        default shared for one outcome, independent for composites."""
+        if mode not in (None, "shared", "independent"):
+            raise ValueError("mode must be shared or independent")
         spec.string_list("controls", controls, empty=True)
         df, y, x, z = self.data, self.y, self.x, controls
         m = spec.resolve(Family.OLS, df, df.count(), y, x, controls=z, group=group, draws=draws, kfold=kfold, oos_metric=oos_metric, n_cpu=n_cpu, seed=seed, composite_sample=composite_sample, z_specs_sample_size=z_specs_sample_size, threshold=threshold, rng=rng, order_by=order_by)
@@ -241,93 +245,68 @@ class OLSRobust(Base):
         columns = [*y_names, *x, *z]
         keep = df.select(*[f"`{c}`" for c in dict.fromkeys([*columns, *([group] if group else []), *m.order_by])])
         rows = prepare.with_row_index(keep, [F.col(f"`{c}`") for c in m.order_by], "rid") if m.order_by else prepare.in_input_order(keep, "rid")
-        n_all = rows.count()
-        full, oos, boot = [], [], []
-        for need, work in valid_sets(rows, columns, work_list(m, y_names), group):
-            f, o, b = self._fit_set(rows.na.drop(subset=need) if need else rows, columns, y_names, work, m, n_all)
-            full.append(f)
-            oos.append(o)
-            boot.append(b)
-        stack = lambda parts: parts[0] if len(parts) == 1 else stack([parts[0].unionByName(parts[1]), *parts[2:]])
-        values = panels.linear_shap(rows, y_names[0], [c for c in x if c != "const"] + [c for c in z if c != "const"], m.seed, group) if shap and len(y) == 1 else None
-        self.results = Result(m, stack(full), stack(oos), stack(boot), values)
+        holes = patterns.holes_of(rows, [*columns, *([group] if group else [])])
+        curve = lattice.Space(columns, y_names, x, z, holes, masks, group)
+        self.results = Result(m, *self._fit_curve(rows, curve, m, mode or ("independent" if m.multi_y else "shared")))
+        if shap and len(y) == 1:
+            self.results.shap = panels.linear_shap(rows, y_names[0], [c for c in x if c != "const"] + [c for c in z if c != "const"], m.seed, group)
         return self
 
-    def _fit_set(self, rows: DataFrame, columns: list[str], y_names: list[str], work: list, m: ModelSpec, n_all: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        spark, p, at = rows.sparkSession, len(columns), {c: i for i, c in enumerate(columns)}
-        if m.group:
-            rows = materialize(prepare.group_demean(rows, columns, m.group), "demeaned")
-        keys = []
-        n = rows.count()
-        if m.kfold:
-            if m.group:
-                folds = prepare.group_folds(rows, m.group, m.kfold)
-                rows = rows.join(folds, F.col(f"`{m.group}`") == F.col("__group")).drop("__group")
-            else:
-                rows = rows.withColumn("row_idx", F.col("rid")) if n == n_all else prepare.with_row_index(rows, ["rid"])
-                rows = rows.withColumn("fold", prepare.contiguous_fold(F.col("row_idx"), n, m.kfold))
-            keys = ["fold"]
-        parts = sorted(moments.gram(rows, columns, keys).collect(), key=lambda r: r.fold if keys else 0)  # kfold rows at most
-        grams = moments.unpack(np.array([r.gram for r in parts], float).reshape(len(parts), moments.size(p)), p)
-        total = grams.sum(0) if len(parts) else np.zeros((p + 1, p + 1))
-        if not n:
+    def _fit_curve(self, rows: DataFrame, curve: lattice.Space, m: ModelSpec, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """full, oos and boot. All needs (sets of complete rows) go through the same few jobs."""
+        spark, columns, bits, needs = rows.sparkSession, curve.columns, len(curve.holes), curve.needs()
+        rows = rows.withColumn("__pattern", patterns.null_mask(curve.holes))
+        n_all, length = rows.count(), moments.size(len(columns))
+        sizes = patterns.counts(rows, needs, bits) if bits else dict.fromkeys(needs, n_all)
+        if not all(sizes.values()):
             raise ValueError("no complete rows")
-        if m.multi_y and (pairs := ols.collinear_pairs(total, [at[c] for c in [*m.x, *m.controls]], [*m.x, *m.controls])):
-            warnings.warn(f"perfectly collinear columns: {pairs}", UserWarning, stacklevel=3)
-        metric, kfold = m.oos_metric, m.kfold
-        label = lambda y: ",".join(space.from_mask(int(y[3:]), m.y)) if m.multi_y else y
-
-        def fit_specs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for k in pdf["k"]:
-                    sid, y, controls, predictors = work[k]
-                    cols = [at[c] for c in predictors]
-                    r = {key: v[0] for key, v in ols.fit(total[None], cols, at[y]).items()}
-                    scores = ols.fold_metric(total, grams, cols, at[y], metric).tolist() if kfold else []
-                    values = [r[c] for c in ("r2", "ll", "ll_null", "ll_gain", "ll_gain_per_obs", "aic", "bic", "hqic")]
-                    out.append([sid, label(y), list(controls), predictors, r["b"].tolist(), r["se"].tolist(), r["p"].tolist(), int(r["n"]), len(cols), r["b"][0], r["p"][0], *values, bool(r["singular"]), True, scores])
-                yield pd.DataFrame(out, columns=[*[c.split()[0] for c in FULL_SCHEMA.split(", ")], "scores"])
-
-        tasks = spark.createDataFrame([(k,) for k in range(len(work))], "k int").repartition(max(1, min(len(work) // 64, 256)))
-        fitted = materialize(tasks.mapInPandas(fit_specs, FULL_SCHEMA + ", scores array<double>"), "full")
+        by_group = None
+        if m.group:
+            within = materialize(groups.within_grams(rows, columns, m.group, needs, bits), "groups")
+            by_group = materialize(within.join(groups.dealt(within, m.kfold).drop("size"), ["need", "__group"]), "dealt")
+            grams = moments.add_up(by_group, ["need", "fold"], length)
+        elif len(needs) == 1:
+            cuts = patterns.cut_points(rows, n_all, sizes, m.kfold, bits)[needs[0]] if m.kfold else []
+            fold = sum(((F.col("rid") >= F.lit(int(c))).cast("int") for c in cuts), F.lit(0))
+            whole = rows.where(F.col("__pattern").bitwiseAND(F.lit(needs[0])) == 0).withColumn("fold", fold)
+            grams = moments.gram(whole, columns, ["fold"]).withColumn("need", F.lit(needs[0]).cast("long"))
+        else:
+            cuts = patterns.cut_points(rows, n_all, sizes, m.kfold, bits) if m.kfold else {n: np.zeros(0, np.int64) for n in needs}
+            grams = patterns.fold_grams(rows, columns, needs, bits, cuts)
+        grams = materialize(grams.select("need", F.col("fold").cast("int").alias("fold"), "gram"), "grams")
+        if m.multi_y:
+            most = max(needs, key=int.bit_count)
+            total = moments.unpack(np.array([r.gram for r in grams.where(F.col("need") == most).collect()], float), len(columns)).sum(0)
+            _, x_at, z_at = curve.places()
+            if pairs := ols.collinear_pairs(total, [*x_at, *z_at], [*curve.x, *curve.controls]):
+                warnings.warn(f"perfectly collinear columns: {pairs}", UserWarning, stacklevel=3)
+        labels = [",".join(space.from_mask(int(y[3:]), m.y)) if m.multi_y else y for y in curve.y]
+        fitted = materialize(lattice.full_fits(curve, grams, m.kfold, m.oos_metric, labels), "full")
         oos = fitted.select("spec_id", F.posexplode("scores").alias("fold", "metric"))
-        return fitted.drop("scores"), oos, self._boot(rows, columns, work, m, n, n_all, total, at)
+        return fitted.drop("scores"), oos, self._boot(rows, curve, m, mode, grams, sizes, n_all, by_group)
 
-    def _boot(self, rows: DataFrame, columns: list[str], work: list, m: ModelSpec, n: int, n_all: int, total: np.ndarray, at: dict) -> DataFrame:
-        spark, p = rows.sparkSession, len(columns)
+    def _boot(self, rows: DataFrame, curve: lattice.Space, m: ModelSpec, mode: str, grams: DataFrame, sizes: dict[int, int], n_all: int, by_group: DataFrame | None) -> DataFrame:
+        spark, columns, length = rows.sparkSession, curve.columns, moments.size(len(curve.columns))
         if not m.draws:
             return spark.createDataFrame([], BOOT_SCHEMA)
-        # Every draw's fits have an intercept: the trailing 1 of the Gram stands for it, and replaces a const.
-        fits = []
-        for sid, y, _, predictors in work:
-            cols = [at[c] for c in predictors]
-            slope = float(ols.fit(total[None], cols, at[y], full=False, p_of=1)["b"][0, 0])
-            fits.append((sid, at[y], [at[c] for c in predictors if c != "const"], slope))
-        if m.group:
-            sizes = rows.groupBy(F.col(f"`{m.group}`").alias("__group")).agg(F.count("*").alias("size"))
-            sizes = prepare.with_row_index(sizes, ["__group"], "g_idx")
-            by_group = moments.gram(rows.withColumn("__group", F.col(f"`{m.group}`")), columns, ["__group"]).join(sizes, "__group")
-            counts = moments.cluster_counts(sizes.select("g_idx", "size"), sizes.count(), n_all, m.draws, m.seed)
-            drawn = moments.cluster_grams(by_group, counts, max(5, len(m.x) + len(m.controls) + 2))
+        apart = mode == "independent"
+        units = [moments.Unit(n, n, n_all / sizes[n]) for n in sizes]
+        if apart:
+            y_at, x_at, z_at = curve.places()
+            units = []
+            for r in curve.blocks(spark, apart=True).select("unit", "need", F.get("ys", 0).alias("y"), F.get("masks", 0).alias("mask")).collect():  # a row per specification
+                used = (y_at[r.y], *x_at, *[c for i, c in enumerate(z_at) if r.mask >> i & 1])
+                units.append(moments.Unit(r.unit, r.need, n_all / sizes[r.need], r.unit + 1, used))
+        if by_group is not None:
+            sums = by_group.groupBy("need").agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.stddev_pop("size").alias("sd"), F.min("size").alias("least"))
+            stats = {r.need: r.asDict() for r in sums.collect()}
+            drawn = moments.cluster_grams(by_group, stats, units, n_all, m.draws, m.seed, max(5, len(curve.x) + len(curve.controls) + 2), length)
         elif m.rng == "hash":
-            drawn = moments.multinomial_grams(prepare.with_row_index(rows.drop("row_idx"), ["rid"]), columns, n, n_all, m.draws, m.seed)
+            drawn = moments.multinomial_grams(rows, columns, units, sizes, n_all, m.draws, m.seed)
         else:
-            drawn = moments.poisson_grams(rows, columns, "rid", m.draws, m.seed, n_all / n)
-
-        def fit_draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                g = moments.unpack(np.stack(pdf["gram"].to_numpy()), p)
-                draw = pdf["draw"].to_numpy(np.int32)
-                for sid, y, cols, slope in fits:
-                    own, null = (ols.fit(g, [*cols, p], y, full=False, y_star=s, p_of=1) for s in (None, (cols[0], slope)))
-                    yield pd.DataFrame({"spec_id": np.int64(sid), "draw": draw, "beta": own["b"][:, 0], "p": own["p"][:, 0], "r2": own["r2"], "beta_null": null["b"][:, 0], "p_null": null["p"][:, 0]})
-
-        # A given number of partitions, as AQE would join the few bytes of the Grams into one task.
-        tasks = max(1, min(m.draws // 16, spark.sparkContext.defaultParallelism))
-        return materialize(drawn.select("draw", "gram").repartition(tasks, "draw").mapInPandas(fit_draws, BOOT_SCHEMA), "boot")
+            drawn = moments.poisson_grams(rows, columns, units, m.draws, m.seed)
+        totals = moments.add_up(grams, ["need"], length)
+        return materialize(lattice.drawn_fits(curve, totals, drawn, m.draws, BOOT_SCHEMA, apart), "boot")
 
 
 class LRobust(Base):

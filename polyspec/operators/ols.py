@@ -43,15 +43,20 @@ def fit(g: np.ndarray, cols: list[int], y: int, full: bool = True, y_star: tuple
     inverse, singular = invert(a)
     b = np.einsum("bij,bj->bi", inverse, c)
     rss = np.clip(yy - 2 * np.einsum("bi,bi->b", b, c) + np.einsum("bi,bij,bj->b", b, a, b), 0, None)
+    out = finish(b, np.einsum("bii->bi", inverse), rss, (sy - np.einsum("bi,bi->b", b, s)) / n, n, yy, sy, k, full)
+    return out | {"p": t_two_sided(out["t"][:, :p_of], (n - k)[:, None]), "singular": singular}
+
+
+def finish(b: np.ndarray, inverse: np.ndarray, rss: np.ndarray, mean_e: np.ndarray, n: np.ndarray, yy: np.ndarray, sy: np.ndarray, k: int, full: bool = True) -> dict[str, np.ndarray]:
+    """Everything but p values of a batch of fits: b and the diagonal of the inverse (b, k), squared and mean error, rows, and
+    squares and sum of the outcome (b)."""
     with np.errstate(divide="ignore", invalid="ignore"):
         df = n - k
-        se = np.sqrt(np.clip(np.einsum("bii->bi", inverse), 0, None) * (rss / df)[:, None])
+        se = np.sqrt(np.clip(inverse, 0, None) * (rss / df)[:, None])
         t = np.where(se == 0, np.nan, b / np.where(se == 0, 1, se))
-        p = t_two_sided(t[:, :p_of], df[:, None])
-        mean_e = (sy - np.einsum("bi,bi->b", b, s)) / n
         var_y = yy / n - (sy / n) ** 2
         r2 = 1 - (rss / n - mean_e**2) / var_y
-        out = {"b": b, "se": se, "t": t, "p": p, "n": n, "r2": 1 - (1 - r2) * (n - 1) / df, "r2_raw": r2, "singular": singular}
+        out = {"b": b, "se": se, "t": t, "n": n, "r2": 1 - (1 - r2) * (n - 1) / df, "r2_raw": r2}
         if full:
             tiny = np.finfo(float).tiny
             ll = lambda v: -n / 2 * (np.log(2 * np.pi) + np.log(np.maximum(v, tiny)) + 1)
@@ -63,9 +68,13 @@ def fit(g: np.ndarray, cols: list[int], y: int, full: bool = True, y_star: tuple
 
 def fold_metric(total: np.ndarray, folds: np.ndarray, cols: list[int], y: int, metric: str) -> np.ndarray:
     """Out-of-sample metric of each fold: fitted to the other folds, scored on its own Gram."""
-    one = total.shape[0] - 1
     train = total[None] - folds
-    b = fit(train, cols, y, full=False, p_of=1)["b"]
+    return score_folds(train, folds, fit(train, cols, y, full=False, p_of=0)["b"], cols, y, metric)
+
+
+def score_folds(train: np.ndarray, folds: np.ndarray, b: np.ndarray, cols: list[int], y: int, metric: str) -> np.ndarray:
+    """Metric of coefficients b (fold, k), which were fitted to the Grams ``train``, on the Grams ``folds``."""
+    one = folds.shape[1] - 1
     n, yy, sy = folds[:, one, one], folds[:, y, y], folds[:, y, one]
     sse = yy - 2 * np.einsum("bi,bi->b", b, folds[:, cols, y]) + np.einsum("bi,bij,bj->b", b, folds[:, cols][:, :, cols], b)
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from polyspec.operators import groups
 from polyspec.plans.scratch import materialize
 
-#: Groups whose sizes the driver deals into folds greedily; more are dealt in a distributed snake order.
-MAX_DRIVER_GROUPS = 200_000
-
 
 def as_double(c: str, kind: T.DataType) -> Column:
     col = F.col(f"`{c}`")
@@ -100,11 +98,6 @@ def composites(df: DataFrame, y: list[str], masks: list[int]) -> tuple[DataFrame
     return scaled.drop(*[f"__z{i}" for i in range(len(y))]), names
 
 
-def null_mask(columns: list[str]) -> Column:
-    """Bit i is set where columns[i] is null."""
-    return sum((F.when(F.col(f"`{c}`").isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(columns)), F.lit(0).cast("long"))
-
-
 def numbered(dealt: DataFrame, name: str, order: list[str]) -> DataFrame:
     """``dealt`` (a written table with __m, increasing ids by part) with numbers from 0: the rows of a part and ``order``
     columns follow each other, and are shifted by the rows of all that come before, by ``order`` and part."""
@@ -144,22 +137,11 @@ def contiguous_fold(idx: Column, n: int, k: int) -> Column:
     return F.when(idx < r * (q + 1), F.floor(idx / (q + 1))).otherwise(r + F.floor((idx - r * (q + 1)) / max(q, 1))).cast("int")
 
 
-def group_folds(df: DataFrame, group: str, k: int, max_driver_groups: int = MAX_DRIVER_GROUPS) -> DataFrame:
-    """__group, fold: whole groups, largest first, each into the fold with the fewest rows so far (ties: the first)."""
-    sizes = df.groupBy(F.col(f"`{group}`").alias("__group")).agg(F.count("*").alias("n"))
-    n_groups = sizes.count()
-    if k > n_groups:
-        raise ValueError(f"kfold {k} is more than the {n_groups} groups")
-    if n_groups > max_driver_groups:
-        at = with_row_index(sizes, [F.col("n").desc(), F.col("__group")])
-        turn = F.pmod("row_idx", F.lit(2 * k))
-        return at.select("__group", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
-    load, rows = [0] * k, []
-    for r in sizes.orderBy(F.col("n").desc(), "__group").collect():
-        f = min(range(k), key=load.__getitem__)
-        load[f] += r.n
-        rows.append((r["__group"], f))
-    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("__group", df.schema[group].dataType), T.StructField("fold", T.IntegerType())]))
+def group_folds(df: DataFrame, group: str, k: int, max_driver_groups: int | None = None) -> DataFrame:
+    """__group, fold: whole groups, largest first, each into the fold with the fewest rows so far (ties: the first), at any
+    number of groups. ``max_driver_groups`` has no effect any more."""
+    sizes = df.groupBy(F.col(f"`{group}`").alias("__group")).agg(F.count("*").alias("size"))
+    return groups.dealt(sizes.withColumn("need", F.lit(0).cast("long")), k).select("__group", "fold")
 
 
 def stratified_fold(df: DataFrame, y: str, k: int, seed: int, key: str) -> DataFrame:
