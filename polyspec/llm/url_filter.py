@@ -43,10 +43,12 @@ def split_urls(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumns({"host": F.translate(F.regexp_extract(text, pattern, 1), UPPER, LOWER), "path": F.regexp_extract(text, pattern, 2)})
 
 
-def expressions(pairs: DataFrame, lengths: list[int]) -> DataFrame:
-    """host, path, expr: each host suffix at a label border with each path prefix of one of ``lengths``."""
-    labels = F.split("host", "[.]")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def expressions(pairs: DataFrame, lengths: list[int], labels: int) -> DataFrame:
+    """host, path, expr: each host suffix of at most ``labels`` labels with each path prefix of one of ``lengths``. A longer
+    suffix is longer than any rule, so a host's own length doesn't matter."""
+    most = F.lit(labels)
+    last = F.split(F.substring_index("host", ".", -labels), "[.]")
+    suffixes = F.transform(F.sequence(F.greatest(F.size(last) - most + 1, F.lit(1)), F.size(last)), lambda i: F.array_join(F.slice(last, i, most), "."))
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     rows = pairs.select("host", "path", F.explode(suffixes).alias("suffix"), cuts.alias("cuts"))
     rows = rows.select("host", "path", "suffix", F.explode("cuts").alias("cut"))
@@ -64,13 +66,14 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     keep = [c for c in df.columns if c not in {"host", "path", "rule", "verdict"}]
     pages = split_urls(df.select(*[F.col(f"`{c}`") for c in keep]), url)
     rules = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("host <> ''").distinct()
-    lengths = sorted(r.n for r in rules.select(F.length("path").alias("n")).distinct().collect())
+    kinds = rules.select(F.length("path").alias("n"), F.size(F.split("host", "[.]")).alias("labels")).distinct().collect()
+    lengths, labels = sorted({r.n for r in kinds}), max((r.labels for r in kinds), default=0)
     keyed = digests(rules.select("verdict", F.concat("host", "path").alias("rule"), F.concat("host", F.lit("\n"), "path").alias("expr")))
     keyed = keyed.select("short", F.col("digest").alias("full"), "rule", F.col("verdict").alias("said"))
     if not lengths:
         return pages.select(*[F.col(f"`{c}`") for c in keep], "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     pairs = pages.where("host <> ''").select("host", "path").distinct()
-    found = digests(expressions(pairs, lengths))
+    found = digests(expressions(pairs, lengths, labels))
     n = keyed.count()
     if n > broadcast_rules:
         keyed = keyed.join(found.select("short").distinct(), "short", "left_semi")

@@ -164,3 +164,9 @@ def test_many_templates(spark):
     for i, t in enumerate(texts):
         met = met_licenses(license_words(t), templates)
         assert got[i].labels == ",".join(sorted(met)) and got[i].score == pytest.approx(max(met.values(), default=0.0))
+
+
+def test_hosts_of_many_labels(spark):
+    rows = [(1, "http://" + "a." * 30_000 + "example.com/en/7x"), (2, "http://" + "b." * 30_000 + "x/en/"), (3, "http://..com/en/"), (4, "http://com./en/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rule_table(spark)).collect()}
+    assert got == {1: ("example.com/en/7", "allow"), 2: (None, "allow"), 3: ("com/en/", "block"), 4: (None, "allow")}
