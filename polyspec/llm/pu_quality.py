@@ -218,7 +218,8 @@ def class_prior(p: np.ndarray, u: np.ndarray, ridge: np.ndarray | float = RIDGE,
     share_p, share_u = (1 - np.searchsorted(s, cuts, "left") / len(s) for s in (sp, su))
     slack = np.sqrt(np.log(4 / confidence) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
     best = int(np.argmin((share_u + slack) / share_p))
-    return float(np.clip(share_u[best] / share_p[best], 0.05, 0.98))
+    least = 1 / (len(u) + 1)  # no sample tells a smaller share, or one as near to 1
+    return float(np.clip(share_u[best] / share_p[best], least, 1 - least))
 
 
 def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
@@ -236,9 +237,15 @@ def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) ->
     return of_positive + of_negative if negative >= 0 else -of_negative
 
 
+def in_order(rows: np.ndarray) -> np.ndarray:
+    """Rows sorted by their values, so that sums and halves of a sample don't depend on how its rows were dealt."""
+    return rows[np.lexsort(rows.T[::-1])] if len(rows) else rows
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 1) -> Model:
     """Fit on trusted positives (label 1) and on documents without a label, both outside the held-out fold, as samples of
-    about ``rows`` rows each."""
+    about ``rows`` rows each: those of least seeded hash of doc_id and text, however the rows are dealt. Rows that repeat one
+    id and text are in or out together; where they swell a sample beyond twice ``rows``, it is thinned at random."""
     scratch = Scratch(docs.sparkSession)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
     labels = scratch.write(labels.where(fold).groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good")), "labels")
@@ -246,21 +253,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
 
     def some(df: DataFrame, total: int) -> DataFrame:
         """About ``rows`` rows if ``df`` stands for ``total``."""
-        return df if total <= rows else df.sample(fraction=rows / total, seed=seed)
+        share = int(rows / max(total, 1) * (1 << 40))
+        at = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1 << 40))
+        return df if total <= rows else df.where(at < F.lit(share))
+
+    def written(df: DataFrame, tag: str) -> DataFrame:
+        out = scratch.write(df.select("t"), tag)
+        n = out.count()
+        return out if n <= 2 * rows else out.sample(fraction=rows / n, seed=seed)
 
     # Rows are counted by their ids alone, and sampled before they meet the labels, so that few texts are shuffled.
     ids = docs.select("doc_id").join(labels, "doc_id", "left").agg(F.count_if(F.col("good")).alias("good"), F.count_if(F.col("good").isNull()).alias("web")).first()
     known = labels.where("good").select("doc_id")
     n = known.count()
     chosen = docs.join(F.broadcast(some(known, n)), "doc_id", "left_semi")  # about ``rows`` ids
-    if ids.good > n:  # ids may repeat
-        chosen = chosen.sample(fraction=n / ids.good, seed=seed)
-    positive = scratch.write(chosen.select("t"), "positives")
+    positive = written(chosen, "positives")
     web = some(docs, ids.web).join(labels, "doc_id", "left_anti") if ids.web else some(docs, docs.count())
-    unlabelled = scratch.write(web.select("t"), "unlabelled")
+    unlabelled = written(web, "unlabelled")
     with small_batches(docs.sparkSession):
         buckets = chosen_buckets(moments(positive), moments(unlabelled))
-        model = fit(vectors(positive, buckets), vectors(unlabelled, buckets), buckets)
+        model = fit(in_order(vectors(positive, buckets)), in_order(vectors(unlabelled, buckets)), buckets)
     release()  # the driver's share of the sample
     scratch.drop()
     return model

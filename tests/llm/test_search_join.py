@@ -257,6 +257,21 @@ def test_features_against_plain_counts():
     assert got.words.tolist() == [x for a in alone for x in a.words.tolist()] and got.grams.tolist() == [x for a in alone for x in a.grams.tolist()]
 
 
+def test_the_same_model_however_rows_are_dealt(spark):
+    rnd = random.Random(3)
+    plain = lambda: " ".join(rnd.choice(["stone", "river", "lamp.", "over", "Kind", "and"]) for _ in range(rnd.randint(5, 30)))
+    docs = spark.createDataFrame([(i, plain() if i % 4 else plain().replace(" ", "### ")) for i in range(1200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 1200, 3)], "doc_id long, quality int")
+    one, two = (pu_quality.train(d, labels, rows=100) for d in (docs.coalesce(1), docs.repartition(7, "text")))
+    assert one.buckets == two.buckets and np.isclose(one.prior, two.prior) and np.allclose(one.weights, two.weights, atol=1e-6)
+
+
+def test_a_small_prior_is_learnt_as_such():
+    rng = np.random.default_rng(5)
+    p, u = np.c_[rng.normal(4, 1, (2000, 2)), np.ones(2000)], np.c_[np.concatenate([rng.normal(4, 1, (200, 2)), rng.normal(-4, 1, (19_800, 2))]), np.ones(20_000)]
+    assert 0.007 < pu_quality.class_prior(p, u) < 0.02
+
+
 def test_learning_without_ids_or_unlabelled_texts(spark):
     rnd = random.Random(4)
     plain = lambda: " ".join(rnd.choice(["stone", "river", "lamp.", "over", "Kind", "and"]) for _ in range(40))
