@@ -10,7 +10,7 @@ from polyspec.estimators import LRobust, MergedResult, OLSRobust, Result, concat
 from polyspec.functions.stats import imv
 from polyspec.operators import logit, moments, ols
 from polyspec.operators.inference import join_sig_test, stouffer_method
-from polyspec.operators.prepare import group_demean, rescale, with_row_index
+from polyspec.operators.prepare import group_demean, rescale
 from polyspec.plans.space import all_subsets, reservoir_sample, sample_y_masks, sample_z_masks, space_size
 from polyspec.plans.spec import MissingValueWarning
 from polyspec.sources.readers import panel_recipe as prepare_asc
@@ -46,10 +46,7 @@ def stripped_ols(df: DataFrame, y: str, x: list[str], add_const: bool = True) ->
 
 def logistic_regression_sm(df: DataFrame, y: str, x: list[str], add_const: bool = False) -> dict:
     """Maximum likelihood with Wald p values, McFadden R2 and information criteria."""
-    rows = with_row_index(df.na.drop(subset=[y, *x]).select(y, *x), [y, *x], "rid")
-    model = logit.LogitModel(0, x, intercept=add_const)
-    logit.newton(rows, y, [model])
-    return logit.summarise(model)
+    return logit.fit_one(df.na.drop(subset=[y, *x]), y, x, add_const)
 
 
 def pseudo_r2(df: DataFrame, y: str, predicted: str, train_mean: float) -> float:

@@ -193,23 +193,6 @@ class Base:
         return [space.from_mask(m, controls) for m in space.sample_z_masks(len(controls), n, seed)]
 
 
-def work_list(m: ModelSpec, y_names: list[str]) -> list[tuple[int, str, tuple[str, ...], list[str]]]:
-    """(spec_id, y column, controls, predictors) of every specification."""
-    specs = [space.from_mask(k, m.controls) for k in m.masks()]
-    return [(i * len(specs) + j, y, s, [*m.x, *s]) for i, y in enumerate(y_names) for j, s in enumerate(specs)]
-
-
-def valid_sets(df: DataFrame, columns: list[str], work: list, group: str | None) -> list[tuple[list[str], list]]:
-    """Specifications by the columns of theirs that have nulls anywhere: each set sees the same rows."""
-    r = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    holes = {c for i, c in enumerate(columns) if r[f"n{i}"]}
-    sets: dict[tuple[str, ...], list] = {}
-    for w in work:
-        need = holes & {w[1], *w[3], *([group] if group else [])}
-        sets.setdefault(tuple(sorted(need)), []).append(w)
-    return [(list(k), v) for k, v in sets.items()]
-
-
 class OLSRobust(Base):
     """Least squares over all specifications."""
 
@@ -317,7 +300,10 @@ class LRobust(Base):
     def multiple_y(self, *_, **__):
         raise NotImplementedError("the logistic model takes one outcome")
 
-    def fit(self, *, controls, group=None, draws=None, sample_size=None, kfold=None, oos_metric=None, n_cpu=None, seed=None, rescale_x=False, rescale_y=False, rescale_z=False, threshold=1_000_000, shap=True) -> LRobust:
+    def fit(self, *, controls, group=None, draws=None, sample_size=None, kfold=None, oos_metric=None, n_cpu=None, seed=None, rescale_x=False, rescale_y=False, rescale_z=False, threshold=1_000_000, mode=None, shap=True) -> LRobust:
+        """``mode``: "independent" draws (the default) are each specification's own, "shared" ones the same rows for all."""
+        if mode not in (None, "shared", "independent"):
+            raise ValueError("mode must be shared or independent")
         spec.string_list("controls", controls, empty=True)
         df, y, x, z = self.data, self.y, self.x, controls
         if len(y) > 1:
@@ -332,41 +318,69 @@ class LRobust(Base):
         columns = [*y, *x, *z]
         keep = df.select(*[f"`{c}`" for c in dict.fromkeys([*columns, *([group] if group else [])])])
         rows = prepare.with_row_index(keep, [F.col(f"`{c}`") for c in columns], "rid")
-        n_all = sample_size or rows.count()
-        full, oos, boot = [], [], []
-        spark = rows.sparkSession
-        for need, work in valid_sets(rows, columns, work_list(m, y), None):
-            data = rows.na.drop(subset=need) if need else rows
-            g = moments.gram(data, columns).first().gram
-            g = moments.unpack(np.array(g, float), len(columns))
-            for _, _, _, predictors in work:
-                if pairs := ols.collinear_pairs(g, [columns.index(c) for c in predictors], predictors):
-                    raise ValueError(f"perfectly collinear columns: {pairs}")
-            if m.kfold:
-                data = data.join(prepare.group_folds(data, group, m.kfold), F.col(f"`{group}`") == F.col("__group")).drop("__group") if group else prepare.stratified_fold(data, y[0], m.kfold, m.seed, "rid")
-            data = materialize(data, "logit")
-            n = data.count()
-            models = [logit.LogitModel(sid, predictors) for sid, _, _, predictors in work]
-            logit.newton(data, y[0], models)
-            for w, model in zip(work, models, strict=True):
-                r = logit.summarise(model)
-                full.append((w[0], y[0], list(w[2]), w[3], r["b"], r["se"], r["p"], r["nobs"], r["ncoef"], r["b"][0], r["p"][0], r["r2"], r["ll_raw"], r["ll_null"], r["ll_gain"], r["ll_gain_per_obs"], r["aic"], r["bic"], r["hqic"], False, r["converged"]))
-            if m.kfold:
-                held = [logit.LogitModel(sid, predictors, leave_fold=f) for sid, _, _, predictors in work for f in range(m.kfold)]
-                logit.newton(data, y[0], held)
-                oos += logit.fold_metrics(data, y[0], held, m.oos_metric)
-            if m.draws:
-                # With groups a draw weights whole groups, by the group's number instead of the row's.
-                unit = "rid"
-                if group:
-                    ids = prepare.with_row_index(data.select(F.col(f"`{group}`").alias("__group")).distinct(), ["__group"], "g_idx")
-                    data, unit = materialize(data.join(ids, F.col(f"`{group}`") == F.col("__group")).drop("__group"), "grouped"), "g_idx"
-                drawn = [logit.LogitModel(sid, [c for c in predictors if c != "const"], intercept=True, draw=d) for sid, _, _, predictors in work for d in range(m.draws)]
-                logit.newton(data, y[0], drawn, m.seed, n_all / n, unit)
-                for model in drawn:
-                    r = logit.summarise(model)
-                    boot.append((model.spec_id, model.draw, r["b"][0], r["p"][0], r["r2"], None, None))
-        tables = [materialize(spark.createDataFrame(rows_, schema), name) for rows_, schema, name in ((full, FULL_SCHEMA, "full"), (oos, "spec_id long, fold int, metric double", "oos"), (boot, BOOT_SCHEMA, "boot"))]
-        values = panels.logit_shap(rows, y[0], [c for c in [*x, *z] if c != "const"], m.seed) if shap else None
-        self.results = Result(m, *tables, values)
+        curve = lattice.Space(columns, y, x, z, patterns.holes_of(rows, columns), None)
+        self.results = Result(m, *self._fit_curve(rows, curve, m, mode != "shared"))
+        if shap:
+            self.results.shap = panels.logit_shap(rows, y[0], [c for c in [*x, *z] if c != "const"], m.seed)
         return self
+
+    def _fit_curve(self, rows: DataFrame, curve: lattice.Space, m: ModelSpec, apart: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """full, oos and boot. All needs (sets of complete rows), specifications, folds and draws go through the same steps."""
+        spark, bits, needs, y = rows.sparkSession, len(curve.holes), curve.needs(), m.y[0]
+        rows = rows.withColumn("__pattern", patterns.null_mask(curve.holes))
+        n_all = rows.count()
+        sizes = patterns.counts(rows, needs, bits) if bits else dict.fromkeys(needs, n_all)
+        if not all(sizes.values()):
+            raise ValueError("no complete rows")
+        grams = patterns.fold_grams(rows, curve.columns, needs, bits, {n: np.zeros(0, np.int64) for n in needs})
+        y_at, x_at, z_at = curve.places()
+        for r in grams.collect():  # a row per need
+            g = moments.unpack(np.array(r.gram, float), len(curve.columns))
+            able = [i for i, c in enumerate(curve.controls) if not patterns.need_of([c], curve.holes) & ~r.need]
+            if pairs := ols.collinear_pairs(g, [*x_at, *[z_at[i] for i in able]], [*curve.x, *[curve.controls[i] for i in able]]):
+                raise ValueError(f"perfectly collinear columns: {pairs}")
+        rows = materialize(self._with_folds(rows, m, needs), "logit")
+        columns = [*curve.x, *curve.controls]
+        place = {c: i for i, c in enumerate(columns)}
+        rate = {n: (m.sample_size or n_all) / sizes[n] for n in needs}
+        own = F.filter(F.array(*[F.when(F.getbit("mask", F.lit(i)) == 1, F.lit(place[c])) for i, c in enumerate(curve.controls)], F.lit(None).cast("int")), lambda c: c.isNotNull())
+        blocks = curve.blocks(spark).select("need", F.explode(F.arrays_zip("masks", "ids")).alias("s")).select("need", F.col("s.masks").alias("mask"), F.col("s.ids").alias("spec_id"))
+        specs = materialize(blocks.select("spec_id", "need", "mask", F.concat(F.array(*[F.lit(place[c]) for c in curve.x]), own).alias("cols")), "specs")
+        run = lambda models: logit.newton(rows, y, columns, models, len(columns) + 1, m.seed)
+        names = lambda mask: F.filter(F.array(*[F.when(F.getbit(mask, F.lit(i)) == 1, F.lit(c)) for i, c in enumerate(curve.controls)], F.lit(None).cast("string")), lambda c: c.isNotNull())
+        fitted = logit.summaries(run(logit.model_frame(specs, "full", 1, rate)))
+        full = fitted.join(specs.select("spec_id", names("mask").alias("controls")), "spec_id")
+        full = full.withColumns({"y": F.lit(y), "predictors": F.concat(F.array(*[F.lit(c) for c in curve.x]), "controls"), "beta": F.get("b", 0), "pval": F.get("p", 0), "is_singular": F.lit(False)})
+        full = materialize(full.select(*[c.split()[0] for c in FULL_SCHEMA.split(", ")]), "full")
+        oos = spark.createDataFrame([], "spec_id long, fold int, metric double")
+        if m.kfold:
+            held = run(logit.model_frame(specs, "leave", m.kfold, rate))
+            oos = materialize(logit.fold_metrics(rows, y, columns, held, m.oos_metric), "oos")
+        if not m.draws:
+            return full, oos, spark.createDataFrame([], BOOT_SCHEMA)
+        if m.group:  # a draw weights whole groups, by the group's number instead of the row's
+            ids = prepare.with_row_index(rows.select(F.col(f"`{m.group}`").alias("__group")).distinct(), ["__group"], "g_idx")
+            rows = materialize(rows.drop("unit").join(ids, F.col(f"`{m.group}`") == F.col("__group")).withColumnRenamed("g_idx", "unit").drop("__group"), "grouped")
+        bare = F.filter("cols", lambda c: ~c.isin([i for c, i in place.items() if c == "const"])) if "const" in place else F.col("cols")
+        drawn = logit.summaries(run(logit.model_frame(specs.withColumn("cols", bare), "draw", m.draws, rate, True, apart)))
+        none = F.lit(None).cast("double")
+        boot = drawn.select("spec_id", "draw", F.get("b", 0).alias("beta"), F.get("p", 0).alias("p"), "r2", none.alias("beta_null"), none.alias("p_null"))
+        return full, oos, materialize(boot, "boot")
+
+    def _with_folds(self, rows: DataFrame, m: ModelSpec, needs: list[int]) -> DataFrame:
+        """``rows`` with unit, and folds: for each need the row's fold among its complete rows (-1 elsewhere)."""
+        rows = rows.withColumn("unit", F.col("rid"))
+        if not m.kfold:
+            return rows
+        at = {n: i for i, n in enumerate(needs)}
+        served = F.filter(F.array(*[F.lit(n).cast("long") for n in needs]), lambda n: n.bitwiseAND(F.col("__pattern")) == 0)
+        by_need = lambda df, *keys: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("need", "fold"))).alias("__folds"))  # noqa: E731  an entry per need
+        if m.group:
+            sizes = rows.select(F.explode(served).alias("need"), F.col(f"`{m.group}`").alias("__group")).groupBy("need", "__group").agg(F.count("*").alias("size"))
+            folds = by_need(groups.dealt(sizes, m.kfold), "__group")
+            rows = rows.join(folds, F.col(f"`{m.group}`") == F.col("__group"), "left").drop("__group")
+        else:
+            many = rows.select("rid", F.col(f"`{m.y[0]}`").alias("__y"), F.explode(served).alias("need"))
+            rows = rows.join(by_need(prepare.stratified_folds(many, m.kfold, m.seed), "rid"), "rid", "left")
+        folds = F.array(*[F.coalesce(F.try_element_at("__folds", F.lit(n).cast("long")), F.lit(-1)) for n in at])
+        return rows.withColumn("folds", folds).drop("__folds")

@@ -144,17 +144,29 @@ def group_folds(df: DataFrame, group: str, k: int, max_driver_groups: int | None
     return groups.dealt(sizes.withColumn("need", F.lit(0).cast("long")), k).select("__group", "fold")
 
 
-def stratified_fold(df: DataFrame, y: str, k: int, seed: int, key: str) -> DataFrame:
-    """``df`` with fold: rows of each class dealt in turn, in order of a seeded digest of ``key``."""
-    classes = {r[0]: r[1] for r in df.groupBy(f"`{y}`").count().collect()}
-    if len(classes) < 2 or k > min(classes.values()):
+def stratified_folds(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """``df`` (rid, __y, need) with fold: within a need, rows of each class dealt in turn, in order of a seeded digest of rid."""
+    classes: dict[int, dict] = {}
+    for r in df.groupBy("need", "__y").agg(F.count("*").alias("n")).collect():  # two rows a need
+        classes.setdefault(r.need, {})[r["__y"]] = r.n
+    if any(len(c) < 2 or k > min(c.values()) for c in classes.values()):
         raise ValueError("stratified folds need two classes of at least kfold rows each")
-    before, shifts = 0, F.lit(0)
-    for c in sorted(classes):
-        shifts = F.when(F.col(f"`{y}`") == c, before).otherwise(shifts)
-        before += classes[c]
-    out = with_row_index(df, [F.col(f"`{y}`"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)])
-    return out.withColumn("fold", F.pmod(F.col("row_idx") - shifts, F.lit(k)).cast("int")).drop("row_idx")
+    rows, before = [], 0
+    for need in sorted(classes):
+        for y in sorted(classes[need]):
+            rows.append((need, y, before))
+            before += classes[need][y]
+    out = with_row_index(df, ["need", "__y", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rid").cast("string"))), "rid"])
+    kind = df.schema["__y"].dataType.simpleString()
+    first = df.sparkSession.createDataFrame(rows, f"need long, `__y` {kind}, first long")
+    out = out.join(F.broadcast(first), ["need", "__y"])
+    return out.withColumn("fold", F.pmod(F.col("row_idx") - F.col("first"), F.lit(k)).cast("int")).drop("row_idx", "first")
+
+
+def stratified_fold(df: DataFrame, y: str, k: int, seed: int, key: str) -> DataFrame:
+    """``df`` with fold: rows of each class dealt in turn, in order of a seeded digest of ``key`` (a number of its own)."""
+    folds = stratified_folds(df.select(F.col(key).alias("rid"), F.col(f"`{y}`").alias("__y"), F.lit(0).cast("long").alias("need")), k, seed)
+    return df.join(folds.select(F.col("rid").alias(key), "fold"), key)
 
 
 def one_hot(df: DataFrame, column: str, prefix: str | None = None, values: list | None = None) -> DataFrame:
