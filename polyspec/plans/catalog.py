@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyspec import estimators
-from polyspec.operators import inference, moments, ols, panels, prepare
+from polyspec.operators import inference, moments, ols, panels, patterns, prepare
 from polyspec.plans import space, sqlgen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,25 +135,38 @@ def ic_table(spark, sf):
     return rounded(flat(line_fit(spark, sf).full).select("spec", "aic", "bic", "hqic"), 3)
 
 
-SIX = ["a", "b", "c", "d", "e", "f"]
+SIX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey"]
 _BITS = " + ".join(f"(z_mask >> {i} & 1)" for i in range(6))
 _NAME = "concat_ws(',', " + ", ".join(f"CASE WHEN z_mask >> {i} & 1 = 1 THEN '{c}' END" for i, c in enumerate(SIX)) + ")"
+_MODULI = (2, 3, 5, 7, 11, 13)
+_HOLED = ", ".join(f"CASE WHEN (l_orderkey + l_partkey) % {m} <> 0 THEN {c} END AS {c}" for c, m in zip(SIX, _MODULI, strict=True))
+_ROWS = "(SELECT count(*) FROM holed WHERE " + " AND ".join(f"(z_mask >> {i} & 1 = 0 OR {c} IS NOT NULL)" for i, c in enumerate(SIX)) + ")"
 
 
-@register("spec_space", f"SELECT z_mask, {_NAME} AS spec, CAST({_BITS} AS INTEGER) AS n_controls, z_mask = 0 AS is_null, z_mask = 63 AS is_full, row_number() OVER (ORDER BY {_BITS}, list_filter([{', '.join(f'CASE WHEN z_mask >> {i} & 1 = 1 THEN {i} END' for i in range(6))}], lambda x: x IS NOT NULL)) - 1 AS spec_id FROM (SELECT range AS z_mask FROM range(0, 64))")
+def holed_items(spark, sf):
+    key = F.col("l_orderkey") + F.col("l_partkey")
+    return read(spark, sf, "lineitem").select(*[F.when(F.pmod(key, F.lit(m)) != 0, F.col(c)).alias(c) for c, m in zip(SIX, _MODULI, strict=True)])
+
+
+@register("spec_space", f"WITH holed AS (SELECT {_HOLED} FROM lineitem) SELECT z_mask, {_NAME} AS spec, CAST({_BITS} AS INTEGER) AS n_controls, z_mask = 0 AS is_null, z_mask = 63 AS is_full, row_number() OVER (ORDER BY {_BITS}, list_filter([{', '.join(f'CASE WHEN z_mask >> {i} & 1 = 1 THEN {i} END' for i in range(6))}], lambda x: x IS NOT NULL)) - 1 AS spec_id, {_ROWS} AS nobs FROM (SELECT range AS z_mask FROM range(0, 64))")
 def spec_space(spark, sf):
-    return space.specs_frame(spark, SIX).select("spec_id", "z_mask", F.array_join("controls", ",").alias("spec"), "n_controls", "is_null", "is_full")
+    """Every specification of six columns with nulls, and the rows that it has complete."""
+    rows = holed_items(spark, sf).withColumn("p", patterns.null_mask(SIX))
+    n = spark.createDataFrame(list(patterns.counts(rows, list(range(64)), 6, "p").items()), "z_mask long, nobs long")
+    return space.specs_frame(spark, SIX).join(n, "z_mask").select("spec_id", "z_mask", F.array_join("controls", ",").alias("spec"), "n_controls", "is_null", "is_full", "nobs")
 
 
-@register("spec_bitmask", f"SELECT z_mask, {_NAME} AS spec FROM (SELECT range AS z_mask FROM range(0, 64))")
+@register("spec_bitmask", f"{FULL} SELECT CAST({' + '.join(f'CASE WHEN list_contains(string_split(spec, chr(44)), {chr(39)}{c}{chr(39)}) THEN {1 << i} ELSE 0 END' for i, c in enumerate(Z))} AS BIGINT) AS z_mask, spec, n::BIGINT AS nobs FROM curve")
 def spec_bitmask(spark, sf):
-    s = space.specs_frame(spark, SIX)
-    return s.select(space.controls_mask(F.col("controls"), SIX).alias("z_mask"), F.array_join("controls", ",").alias("spec"))
+    f = line_fit(spark, sf).full
+    return f.select(space.controls_mask(F.col("controls"), Z).alias("z_mask"), F.array_join("controls", ",").alias("spec"), "nobs")
 
 
-@register("sample_specs", f"SELECT spec_id, z_mask, {_NAME} AS controls, CAST({_BITS} AS INTEGER) AS n_controls, z_mask = 0 AS is_null, z_mask = 63 AS is_full FROM (VALUES {', '.join(f'({i}, {m})' for i, m in enumerate(space.sample_z_masks(6, 16, SEED)))}) AS t(spec_id, z_mask)")
+@register("sample_specs", f"{FULL} SELECT count(*) AS n, count(DISTINCT spec) AS different, {r('sum(beta)', 'total', 5)} FROM curve")
 def sample_specs(spark, sf):
-    return space.specs_frame(spark, SIX, space.sample_z_masks(6, 16, SEED)).withColumn("controls", F.array_join("controls", ","))
+    """A sample as large as the space holds each specification once."""
+    f = flat(line_fit(spark, sf, z_specs_sample_size=8).full)
+    return rounded(f.agg(F.count("*").alias("n"), F.count_distinct("spec").alias("different"), F.sum("beta").alias("total")), 5)
 
 
 @register("rescale", f"WITH {LINES} SELECT {r('sum(a * a)', 'ss', 4)}, {r('sum(a * b)', 'ab', 4)}, {r('min(a)', 'lo')}, {r('max(b)', 'hi')} FROM (SELECT (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS a, (z3 - avg(z3) OVER ()) / stddev_pop(z3) OVER () AS b FROM lines)")
@@ -263,11 +276,86 @@ for _m in ("rmse", "pseudo-r2"):
 register("kfold_default_order", kfold_sql("pseudo-r2", ""))(partial(kfold, "pseudo-r2", order_by=None))
 
 
-@register("group_kfold")
+_GREEDY = f"""WITH RECURSIVE {LINES}, c AS (SELECT g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, g) AS i FROM lines GROUP BY g),
+w AS (SELECT 0::BIGINT AS i, [{', '.join(['0::BIGINT'] * FOLDS)}] AS loads, 0::BIGINT AS place
+      UNION ALL SELECT c.i, list_transform(w.loads, lambda v, j: v + CASE WHEN j = list_position(w.loads, list_min(w.loads)) THEN c.n ELSE 0 END), list_position(w.loads, list_min(w.loads))::BIGINT FROM w JOIN c ON c.i = w.i + 1)
+SELECT g, CAST(place - 1 AS INTEGER) AS fold FROM w JOIN c USING (i)"""
+
+
+@register("group_kfold", _GREEDY)
 def group_kfold(spark, sf):
     return prepare.group_folds(lines(spark, sf), "g", FOLDS).withColumnRenamed("__group", "g")
 
 
+# Four controls with nulls: every specification has complete rows of its own.
+HOLES = {"n1": (7, 0), "n2": (11, 3), "n3": (13, 5), "n4": (5, 1)}
+HOLED = "holed AS (SELECT c_custkey AS k, c_acctbal / 1000 AS y, c_nationkey::DOUBLE AS x, " + ", ".join(f"nullif((c_custkey % {m})::DOUBLE, {v}) AS {c}" for c, (m, v) in HOLES.items()) + " FROM customer)"
+
+
+def holed_fit(spark, sf, controls, **kw):
+    key = F.col("c_custkey").cast("double")
+    d = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 1000).alias("y"), F.col("c_nationkey").cast("double").alias("x"), *[F.nullif(F.pmod(key, F.lit(float(m))), F.lit(float(v))).alias(c) for c, (m, v) in HOLES.items()])
+    return estimators.OLSRobust(["y"], ["x"], d).fit(controls=controls, **({"draws": 0, "kfold": 0, "seed": SEED, "rng": "hash", "order_by": ["k"], "shap": False} | kw)).get_results()
+
+
+def null_patterns_sql() -> str:
+    ctes, out = [HOLED], []
+    q = f"(m // {FOLDS})"
+    fold = f"CASE WHEN idx < (m % {FOLDS}) * ({q} + 1) THEN idx // ({q} + 1) ELSE (m % {FOLDS}) + (idx - (m % {FOLDS}) * ({q} + 1)) // {q} END"
+    for i, s in specs(list(HOLES)):
+        cols = ["y", "x", "1.0", *s]
+        p, use = len(cols), list(range(1, len(cols)))
+        complete = " AND ".join(f"{c} IS NOT NULL" for c in s) or "true"
+        ctes.append(f"o{i} AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS idx, count(*) OVER () AS m FROM holed WHERE {complete})")
+        ctes.append(f"w{i} AS (SELECT *, {fold} AS fold FROM o{i})")
+        ctes += [f"g{i} AS ({sqlgen.grams(f'w{i}', cols)})", f"gf{i} AS ({sqlgen.grams(f'w{i}', cols, 'fold')})"]
+        names = [sqlgen.entry(a, b) for a in range(p + 1) for b in range(a, p + 1)]
+        ctes.append(f"gt{i} AS (SELECT fold, " + ", ".join(f"sum({c}) OVER () - {c} AS {c}" for c in names) + f" FROM gf{i})")
+        ctes += sqlgen.fit(f"g{i}", f"f{i}", p, use, 0) + sqlgen.fit(f"gt{i}", f"t{i}", p, use, 0, "fold")
+        e = lambda a, b: f"gf{i}.{sqlgen.entry(a, b)}"  # noqa: B023, E731
+        sse = f"{e(0, 0)} - 2 * (" + " + ".join(f"b{a} * {e(c, 0)}" for a, c in enumerate(use)) + ") + (" + " + ".join(f"b{a} * b{b} * {e(c, d)}" for a, c in enumerate(use) for b, d in enumerate(use)) + ")"
+        score = f"(SELECT avg(sqrt(({sse}) / {e(p, p)})) FROM t{i} JOIN gf{i} USING (fold))"
+        out.append(f"SELECT '{','.join(s)}' AS spec, n::BIGINT AS nobs, {r('b0', 'beta')}, {r('sqrt(v0 * rss / (n - k))', 'se')}, {r(score, 'metric')} FROM f{i}")
+    return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(out)
+
+
+@register("null_patterns", null_patterns_sql())
+def null_patterns(spark, sf):
+    res = holed_fit(spark, sf, list(HOLES), kfold=FOLDS, oos_metric="rmse")
+    avg = res.oos.groupBy("spec_id").agg(F.avg("metric").alias("metric"))
+    return rounded(flat(res.full).join(avg, "spec_id").select("spec", "nobs", "beta", F.get("se", 0).alias("se"), "metric"))
+
+
+def drawn_sql(table: str, cte: str, controls: list[str], salted: bool = False, holes: bool = False) -> str:
+    """Draws of each specification out of its own complete rows; salted: with picks of its own."""
+    ctes, out = [cte, f"total AS (SELECT count(*) AS m FROM {table})"], []
+    for i, s in specs(controls):
+        cols = ["y", "x", *s]
+        complete = " AND ".join(f"{c} IS NOT NULL" for c in s) if holes and s else "true"
+        ctes.append(f"o{i} AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS idx, count(*) OVER () AS own FROM {table} WHERE {complete})")
+        parts = ("d.i", "p.i", f"'{i + 1}'") if salted else ("d.i", "p.i")
+        ctes.append(f"p{i} AS (SELECT d.i AS draw, {sqlgen.hash_index(SEED, f'(SELECT count(*) FROM o{i})', *parts)} AS idx FROM range(0, {DRAWS}) AS d(i), (SELECT unnest(range(0, m)) AS i FROM total) AS p)")
+        ctes.append(f"r{i} AS (SELECT draw, o.* FROM p{i} JOIN o{i} AS o USING (idx))")
+        ctes.append(f"g{i} AS ({sqlgen.grams(f'r{i}', cols, 'draw')})")
+        ctes += sqlgen.fit(f"g{i}", f"f{i}", len(cols), [*range(1, len(cols)), len(cols)], 0, "draw")
+        out.append(f"SELECT '{','.join(s)}' AS spec, draw::INTEGER AS draw, {r('b0', 'beta')}, {r(sqlgen.adjusted_r2(), 'r2')} FROM f{i}")
+    return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(out)
+
+
+def drawn(res):
+    return rounded(res.boot.join(flat(res.full).select("spec_id", "spec"), "spec_id").select("spec", "draw", "beta", "r2"))
+
+
+@register("null_pattern_draws", drawn_sql("holed", HOLED, ["n1", "n2"], holes=True))
+def null_pattern_draws(spark, sf):
+    return drawn(holed_fit(spark, sf, ["n1", "n2"], draws=DRAWS))
+
+
+@register("independent_draws", drawn_sql("people", PEOPLE, ["z1", "z2"], salted=True))
+def independent_draws(spark, sf):
+    return drawn(people_fit(spark, sf, mode="independent"))
+
+
 @register("stratified_fold_counts", f"WITH {LINES}, c AS (SELECT (l_returnflag = 'R')::INTEGER AS y, count(*) AS n FROM lines GROUP BY 1) SELECT y, f::INTEGER AS fold, (n // {FOLDS} + (f < n % {FOLDS})::INTEGER)::BIGINT AS n FROM c, range(0, {FOLDS}) AS r(f)")
 def stratified_fold_counts(spark, sf):
     d = prepare.with_row_index(lines(spark, sf).select((F.col("l_returnflag") == "R").cast("int").alias("y"), "x"), ["y", "x"], "rid")
@@ -294,9 +382,25 @@ def boot_poisson(spark, sf):
     return inference.boot_summary(line_fit(spark, sf, draws=100, rng="poisson").boot)
 
 
-@register("cluster_boot")
+def cluster_sql(draws: int = 20) -> str:
+    cols, w = ["y", "x", *Z], "OVER (PARTITION BY g)"
+    ctes = [LINES, "dm AS (SELECT g, " + ", ".join(f"{c} - avg({c}) {w} AS {c}" for c in cols) + " FROM lines)"]
+    ctes.append("sizes AS (SELECT g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, g) - 1 AS idx FROM lines GROUP BY g)")
+    ctes.append(f"picks AS (SELECT d.i AS draw, p.i AS pos, {sqlgen.hash_index(SEED, '(SELECT count(*) FROM sizes)', 'd.i', 'p.i')} AS idx FROM range(0, {draws}) AS d(i), (SELECT unnest(range(0, 10 * count(*))) AS i FROM sizes) AS p)")
+    ctes.append("upto AS (SELECT draw, g, n, coalesce(sum(n) OVER (PARTITION BY draw ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM picks JOIN sizes USING (idx))")
+    ctes.append("used AS (SELECT draw, g, count(*)::DOUBLE AS times FROM upto WHERE before < (SELECT count(*) FROM lines) GROUP BY draw, g, n HAVING count(*) * n > 1)")
+    ctes += ["rows_ AS (SELECT draw, times, dm.* FROM dm JOIN used USING (g))", f"gd AS ({sqlgen.grams('rows_', cols, 'draw', 'times')})"]
+    out = []
+    for i, s in specs(Z):
+        ctes += sqlgen.fit("gd", f"f{i}", len(cols), [1, *[cols.index(c) for c in s], len(cols)], 0, "draw")
+        out.append(f"SELECT {i}::BIGINT AS spec_id, b0 AS beta FROM f{i}")
+    ctes.append("b AS (" + " UNION ALL ".join(out) + ")")
+    return "WITH " + ",\n".join(ctes) + f" SELECT spec_id, {r('median(beta)', 'median')}, {r('max(beta)', 'max')}, {r('min(beta)', 'min')}, {r(sqlgen.nearest('beta', 0.975), 'ci_up')}, {r(sqlgen.nearest('beta', 0.025), 'ci_down')} FROM b GROUP BY spec_id"
+
+
+@register("cluster_boot", cluster_sql())
 def cluster_boot(spark, sf):
-    return inference.boot_summary(line_fit(spark, sf, draws=20, group="g").boot)
+    return rounded(inference.boot_summary(line_fit(spark, sf, draws=20, group="g").boot))
 
 
 @register("composite_y", f"WITH {LINES}, s AS (SELECT (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS a, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS b FROM lines) SELECT {r('sum((a + b) / 2 * a)', 'total', 3)}, {r('max((a + b) / 2)', 'hi')} FROM s")
@@ -373,13 +477,24 @@ def logit_cv_sql(metric: str) -> str:
             ctes.append(f"n{i}_{step + 1} AS (SELECT f, " + ", ".join(f"b{k} AS c{k}" for k in range(len(cols))) + f" FROM s{i}_{step})")
         ctes.append(f"t{i} AS (SELECT f, y, 1 / (1 + exp(-({eta}))) AS p, (SELECT avg(y) FROM d AS o WHERE o.fold <> f) AS q FROM d JOIN n{i}_7 ON fold = f)")
         ll = lambda p: f"sum(y * ln({p}) + (1 - y) * ln(1 - {p}))"
+        if metric == "imv":
+            # The coin whose certainty gives the mean log-likelihood, by halving [0.5, 0.999].
+            clip = lambda e: f"least(greatest({e}, 1e-4), 1 - 1e-4)"
+            ctes.append(f"a{i} AS (SELECT f, {ll(clip('p'))} / count(*) AS own, any_value(m) AS q FROM t{i} JOIN (SELECT f, avg(y) AS m FROM t{i} GROUP BY f) USING (f) GROUP BY f)")
+            ctes.append(f"e{i} AS (SELECT f, 0 AS kind, own AS a FROM a{i} UNION ALL SELECT f, 1, {clip('q')} * ln({clip('q')}) + (1 - {clip('q')}) * ln(1 - {clip('q')}) FROM a{i})")
+            mid = "((lo + hi) / 2)"
+            less = f"({mid} * ln({mid}) + (1 - {mid}) * ln(1 - {mid}) < a)"
+            ctes.append(f"h{i} AS (SELECT f, kind, a, 0.5::DOUBLE AS lo, 0.999::DOUBLE AS hi, 0 AS s FROM e{i} UNION ALL SELECT f, kind, a, CASE WHEN {less} THEN {mid} ELSE lo END, CASE WHEN {less} THEN hi ELSE {mid} END, s + 1 FROM h{i} WHERE s < 60)")
+            ctes.append(f"c{i} AS (SELECT f, max(CASE WHEN kind = 0 THEN lo END) AS w, max(CASE WHEN kind = 1 THEN lo END) AS w0 FROM h{i} WHERE s = 60 GROUP BY f)")
+            out.append(f"SELECT '{','.join(controls)}' AS spec, {r('avg((w - w0) / w0)', 'metric')} FROM c{i}")
+            continue
         value = {"mcfaddens-r2": f"1 - {ll('p')} / {ll('q')}", "cross-entropy": f"-{ll('p')} / count(*)", "rmse": "sqrt(avg(pow(y - p, 2)))", "pseudo-r2": "1 - sum(pow(y - p, 2)) / sum(pow(y - q, 2))"}[metric]
         out.append(f"SELECT '{','.join(controls)}' AS spec, {r('avg(m)', 'metric')} FROM (SELECT f, {value} AS m FROM t{i} GROUP BY f)")
-    return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(out)
+    return ("WITH RECURSIVE " if metric == "imv" else "WITH ") + ",\n".join(ctes) + " " + " UNION ALL ".join(out)
 
 
 for _m, _n in (("mcfaddens-r2", "mcfadden"), ("cross-entropy", "xent"), ("imv", "imv"), ("pseudo-r2", "pseudo_r2"), ("rmse", "rmse")):
-    register(f"logit_{_n}", None if _m == "imv" else logit_cv_sql(_m))(lambda spark, sf, _m=_m: rounded(logit_metric(_m, spark, sf)))
+    register(f"logit_{_n}", logit_cv_sql(_m))(lambda spark, sf, _m=_m: rounded(logit_metric(_m, spark, sf)))
 
 
 @register("logit_boot")
@@ -418,10 +533,21 @@ def empirical_p(spark, sf):
     return rounded(people_fit(spark, sf).inference.select("pos_p", "sig_p"))
 
 
-@register("stouffer")
+def stouffer_sql() -> str:
+    z = lambda b, p: f"sign({b}) * {sqlgen.upper_normal(f'least(greatest({p}, 1e-300), 1 - 1e-16) / 2')}"
+    ctes = [BOOT, f"z AS (SELECT spec_id, draw, {z('beta_null', 'p_null')} AS z FROM boot)", "per AS (SELECT spec_id, avg(z) AS mu, stddev_samp(z) AS sd FROM z GROUP BY spec_id)"]
+    ctes.append(f"o AS (SELECT spec_id, {z('beta', 'pval')} AS z FROM full_)")
+    ctes.append("w AS (SELECT draw, sum((z - mu) / sd) AS w, sum(z) AS s FROM z JOIN per USING (spec_id) GROUP BY draw)")
+    ctes.append("k AS (SELECT count(*) AS kept, sum(z) AS total, (SELECT var_samp(w) FROM w) AS v FROM o)")
+    ctes.append("b AS (SELECT *, sqrt(v + kept * 1e-12) AS denom FROM k)")
+    hits = "(SELECT count(*) FILTER (WHERE abs(s / denom) >= abs(total / denom)) + 1 FROM w)"
+    return ",\n".join(ctes) + f" SELECT {r('total / denom', 'stouffer_z', 4)}, {r(f'{hits} / ({DRAWS} + 1)', 'stouffer_p', 4)}, kept AS stouffer_kept, {r('(v - kept) / (kept * (kept - 1))', 'mean_correlation', 4)} FROM b"
+
+
+@register("stouffer", stouffer_sql())
 def stouffer(spark, sf):
     res = people_fit(spark, sf)
-    return inference.stouffer(res.full, res.boot)
+    return rounded(inference.stouffer(res.full, res.boot), 4)
 
 
 @register("join_sig", f"{BOOT}, s AS (SELECT spec_id, {sqlgen.nearest('beta', 0.025)} AS lo FROM boot GROUP BY spec_id), d AS (SELECT draw, count(*) FILTER (WHERE beta > 0 AND p < 0.05) AS n FROM boot GROUP BY draw) SELECT {r('avg((n >= (SELECT count(*) FROM s WHERE lo > 0))::INTEGER)', 'p')} FROM d")
