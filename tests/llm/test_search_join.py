@@ -148,6 +148,35 @@ def test_top_k_against_brute_force(spark, lists):
     assert len(few) == 6
 
 
+def test_whole_scores_only_where_a_list_passes(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(3000, 16))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    q = v[:40] + rng.integers(-3, 4, (40, 16))  # each has a near one
+    resolved = []
+    monkeypatch.setattr(topk_search, "resolve", lambda a, b, i, j: resolved.append(len(i)) or np.einsum("ij,ij->i", a[i], b[j]))
+    multiplied = []
+    plain = topk_search.product
+    monkeypatch.setattr(topk_search, "product", lambda a, b: multiplied.append(len(a) * len(b)) or plain(a, b))
+
+    def cell(low, peaks):
+        side = pd.DataFrame({"side": [0] * 40 + [1] * 3000, "id": [*range(40), *range(3000)], "key": [*q, *v], "vb": 0})
+        return topk_search.cell_entries(side.assign(low=[*low, *[0] * 3000], peaks=[*peaks, *[None] * 3000]), 16, 2, 1, cut=peaks[0] is not None)
+
+    first = cell([0] * 40, [None] * 40)
+    assert sum(resolved) <= 40 * 2 and sum(multiplied) == 2 * 40 * 3000
+    low, peaks = first.groupby("q")["score"].max(), first.groupby("q")["peaks"].first()
+    resolved.clear(), multiplied.clear()
+    second = cell(low.tolist(), peaks.tolist())
+    assert sum(resolved) < 0.15 * 40 * 3000
+    assert second.groupby("q")["score"].max().tolist() == (q @ v.T).max(1).tolist()
+    # A cell whose peaks don't reach the share isn't multiplied at all.
+    multiplied.clear()
+    assert len(cell([70_000] * 40, [np.array([34_000, 34_999])] * 40)) == 0 and not multiplied
+
+
 def best_cost(roles):
     """Least cost by trying every state after each message."""
     known = [r if r in chat_format.ROLES else None for r in roles]
