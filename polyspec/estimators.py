@@ -346,26 +346,24 @@ class LRobust(Base):
         own = F.filter(F.array(*[F.when(F.getbit("mask", F.lit(i)) == 1, F.lit(place[c])) for i, c in enumerate(curve.controls)], F.lit(None).cast("int")), lambda c: c.isNotNull())
         blocks = curve.blocks(spark).select("need", F.explode(F.arrays_zip("masks", "ids")).alias("s")).select("need", F.col("s.masks").alias("mask"), F.col("s.ids").alias("spec_id"))
         specs = materialize(blocks.select("spec_id", "need", "mask", F.concat(F.array(*[F.lit(place[c]) for c in curve.x]), own).alias("cols")), "specs")
-        run = lambda models: logit.newton(rows, y, columns, models, len(columns) + 1, m.seed)
-        names = lambda mask: F.filter(F.array(*[F.when(F.getbit(mask, F.lit(i)) == 1, F.lit(c)) for i, c in enumerate(curve.controls)], F.lit(None).cast("string")), lambda c: c.isNotNull())
-        fitted = logit.summaries(run(logit.model_frame(specs, "full", 1, rate)))
-        full = fitted.join(specs.select("spec_id", names("mask").alias("controls")), "spec_id")
+        if m.group and m.draws:  # a draw weights whole groups, by the group's number instead of the row's
+            ids = prepare.with_row_index(rows.select(F.col(f"`{m.group}`").alias("__group")).distinct(), ["__group"], "g_idx")
+            rows = materialize(rows.drop("unit").join(ids, F.col(f"`{m.group}`").eqNullSafe(F.col("__group"))).withColumnRenamed("g_idx", "unit").drop("__group"), "grouped")
+        bare = F.filter("cols", lambda c: ~c.isin([i for c, i in place.items() if c == "const"])) if "const" in place else F.col("cols")
+        models = logit.model_frame(specs.withColumn("bare", bare), rate, True, m.kfold, m.draws, apart=apart)
+        fitted = logit.newton(rows, y, columns, models, len(columns) + 1, m.seed)
+        names = F.filter(F.array(*[F.when(F.getbit("mask", F.lit(i)) == 1, F.lit(c)) for i, c in enumerate(curve.controls)], F.lit(None).cast("string")), lambda c: c.isNotNull())
+        full = logit.summaries(fitted.where("leave < 0 AND draw < 0")).join(specs.select("spec_id", names.alias("controls")), "spec_id")
         full = full.withColumns({"y": F.lit(y), "predictors": F.concat(F.array(*[F.lit(c) for c in curve.x]), "controls"), "beta": F.get("b", 0), "pval": F.get("p", 0), "is_singular": F.lit(False)})
         full = materialize(full.select(*[c.split()[0] for c in FULL_SCHEMA.split(", ")]), "full")
-        oos = spark.createDataFrame([], "spec_id long, fold int, metric double")
+        oos, boot = spark.createDataFrame([], "spec_id long, fold int, metric double"), spark.createDataFrame([], BOOT_SCHEMA)
         if m.kfold:
-            held = run(logit.model_frame(specs, "leave", m.kfold, rate))
-            oos = materialize(logit.fold_metrics(rows, y, columns, held, m.oos_metric), "oos")
-        if not m.draws:
-            return full, oos, spark.createDataFrame([], BOOT_SCHEMA)
-        if m.group:  # a draw weights whole groups, by the group's number instead of the row's
-            ids = prepare.with_row_index(rows.select(F.col(f"`{m.group}`").alias("__group")).distinct(), ["__group"], "g_idx")
-            rows = materialize(rows.drop("unit").join(ids, F.col(f"`{m.group}`") == F.col("__group")).withColumnRenamed("g_idx", "unit").drop("__group"), "grouped")
-        bare = F.filter("cols", lambda c: ~c.isin([i for c, i in place.items() if c == "const"])) if "const" in place else F.col("cols")
-        drawn = logit.summaries(run(logit.model_frame(specs.withColumn("cols", bare), "draw", m.draws, rate, True, apart)))
-        none = F.lit(None).cast("double")
-        boot = drawn.select("spec_id", "draw", F.get("b", 0).alias("beta"), F.get("p", 0).alias("p"), "r2", none.alias("beta_null"), none.alias("p_null"))
-        return full, oos, materialize(boot, "boot")
+            oos = materialize(logit.fold_metrics(rows, y, columns, fitted.where("leave >= 0"), m.oos_metric), "oos")
+        if m.draws:
+            none = F.lit(None).cast("double")
+            drawn = logit.summaries(fitted.where("draw >= 0"))
+            boot = materialize(drawn.select("spec_id", "draw", F.get("b", 0).alias("beta"), F.get("p", 0).alias("p"), "r2", none.alias("beta_null"), none.alias("p_null")), "boot")
+        return full, oos, boot
 
     def _with_folds(self, rows: DataFrame, m: ModelSpec, needs: list[int]) -> DataFrame:
         """``rows`` with unit, and folds: for each need the row's fold among its complete rows (-1 elsewhere)."""

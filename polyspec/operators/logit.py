@@ -29,23 +29,26 @@ STATE = "model long, spec_id long, cols array<int>, intercept boolean, leave int
 NAMES = [c.split()[0] for c in STATE.split(", ")]
 
 
-def model_frame(specs: DataFrame, kind: str, times: int, needs: dict[int, float], intercept: bool = False, apart: bool = False) -> DataFrame:
-    """Open states of each specification (spec_id, need, cols) ``times`` times: kind "full" (once), "leave" (a fold each) or
-    "draw". needs: the rate of draws by need."""
+def model_frame(specs: DataFrame, needs: dict[int, float], full: bool = False, kfold: int = 0, draws: int = 0, intercept: bool = False, apart: bool = False) -> DataFrame:
+    """Open states of each specification (spec_id, need, cols, and bare, the columns beside the intercept of draws): of the
+    full fit, of each fold left out, of each draw. needs: the rate of draws by need."""
     spark = specs.sparkSession
     order = {n: i for i, n in enumerate(needs)}
     known = spark.createDataFrame([(n, order[n], float(rate)) for n, rate in needs.items()], "need long, need_at int, rate double")
-    of = spark.range(times).select(F.col("id").cast("int").alias("i"))
+    n = full + kfold + draws
+    of = spark.range(n).select(F.col("id").cast("int").alias("i"))
     m = specs.join(F.broadcast(known), "need").crossJoin(of)  # the models asked for
-    none = F.lit(-1)
-    made = m.select(
-        (F.col("spec_id") * times + F.col("i")).alias("model"), "spec_id", "cols", F.lit(intercept).alias("intercept"),
-        (F.col("i") if kind == "leave" else none).alias("leave"), (F.col("i") if kind == "draw" else none).alias("draw"),
+    leave, draw = F.col("i") - int(full), F.col("i") - int(full) - kfold
+    drawn = draw >= 0
+    cols = F.when(drawn, F.col("bare")).otherwise(F.col("cols")) if "bare" in specs.columns else F.col("cols")
+    m = m.withColumns({"cols": cols, "intercept": drawn | F.lit(intercept)})
+    return m.select(
+        (F.col("spec_id") * n + F.col("i")).alias("model"), "spec_id", "cols", "intercept",
+        F.when((leave >= 0) & ~drawn, leave).otherwise(-1).alias("leave"), F.when(drawn, draw).otherwise(-1).alias("draw"),
         "need", "need_at", "rate", (F.col("spec_id") + 1 if apart else F.lit(0)).cast("long").alias("salt"),
-        F.transform(F.sequence(F.lit(1), F.size("cols") + int(intercept)), lambda _: F.lit(0.0)).alias("beta"),
+        F.transform(F.sequence(F.lit(1), F.size("cols") + F.col("intercept").cast("int")), lambda _: F.lit(0.0)).alias("beta"),
         F.lit(False).alias("done"), F.lit(0).alias("steps"), *[F.lit(None).cast("double").alias(c) for c in ("ll", "n", "n_pos")], F.lit(None).cast("array<double>").alias("info"),
     )
-    return made
 
 
 class Rows:
@@ -59,8 +62,8 @@ class Rows:
 
 
 def grouped(models: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Models of one specification, so many at once."""
-    for _, part in models.groupby("spec_id", sort=False):
+    """Models of one specification and kind, so many at once."""
+    for _, part in models.groupby([models["spec_id"], models["draw"] >= 0, models["leave"] >= 0], sort=False):
         for s in range(0, len(part), AT_ONCE):
             yield part.iloc[s : s + AT_ONCE]
 
@@ -117,6 +120,42 @@ def solve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pdf.assign(**{c: [] for c in NAMES if c not in pdf})[NAMES]
 
 
+def padded(v: np.ndarray, length: int) -> np.ndarray:
+    return np.pad(v, ((0, 0), (0, length - v.shape[1])))
+
+
+def near(rows: DataFrame, y: str, columns: list[str], own: pd.DataFrame, length: int, seed: int) -> DataFrame:
+    """model, gram: partial sums of one block of models, which travels to the rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for s in range(0, len(pdf), SLICE):
+                for m, v in step_sums(Rows(pdf.iloc[s : s + SLICE], y, columns), own, seed):
+                    for a, row in zip(m.tolist(), padded(v, length), strict=True):
+                        total[a] = total[a] + row if a in total else row
+        if total:
+            yield pd.DataFrame({"model": list(total), "gram": list(total.values())})
+
+    return rows.mapInPandas(run, "model long, gram array<double>")
+
+
+def one_block(rows: DataFrame, y: str, columns: list[str], own: pd.DataFrame, length: int, seed: int) -> DataFrame:
+    """States of at most a block of models, few enough for the driver to hold them between steps."""
+    stopped = []
+    for _ in range(MAX_STEPS):
+        if not len(own):
+            break
+        sums = add_up(near(rows, y, columns, own, length, seed), ["model"], length).withColumnRenamed("gram", "v").toPandas()
+        own = solve(own.merge(sums, on="model"))
+        stopped.append(own[own["done"]])
+        own = own[~own["done"]]
+    out = pd.concat([*stopped, own])
+    for c in ("cols", "beta", "info"):
+        out[c] = [None if v is None else np.asarray(v).tolist() for v in out[c]]
+    return Scratch(rows.sparkSession).write(rows.sparkSession.createDataFrame([tuple(r) for r in out[NAMES].astype(object).itertuples(index=False)], STATE), "fitted")
+
+
 def newton(rows: DataFrame, y: str, columns: list[str], models: DataFrame, width: int, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """States of all models when they stop. rows: unit, __pattern, y, columns, and folds (an array by need) where models leave
     one out; a written table. ``width``: coefficients of the largest model."""
@@ -124,16 +163,16 @@ def newton(rows: DataFrame, y: str, columns: list[str], models: DataFrame, width
     length = 3 + width + width * (width + 1) // 2
     used = [c for c in rows.columns if c in {"unit", "__pattern", "folds", y, *columns}]
     rows = rows.select(*[f"`{c}`" for c in used])
+    few = models.limit(block + 1).toPandas()
+    if len(few) <= block:
+        return one_block(rows, y, columns, few, length, seed)
     state = scratch.write(models.repartition(spark.sparkContext.defaultParallelism, "model"), "states")
     n_rows, stopped = rows.count(), []
     slices = max(1, -(-n_rows // SLICE))
 
-    def pad(v: np.ndarray) -> np.ndarray:
-        return np.pad(v, ((0, 0), (0, length - v.shape[1])))
-
     def meet(given: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         got = list(step_sums(Rows(given, y, columns), own, seed)) if len(given) and len(own) else []
-        return pd.DataFrame({"model": np.concatenate([m for m, _ in got]) if got else [], "gram": [r for _, v in got for r in pad(v)]})
+        return pd.DataFrame({"model": np.concatenate([m for m, _ in got]) if got else [], "gram": [r for _, v in got for r in padded(v, length)]})
 
     for step in range(MAX_STEPS):
         open_ = state.where("NOT done")
@@ -142,18 +181,7 @@ def newton(rows: DataFrame, y: str, columns: list[str], models: DataFrame, width
             break
         if len(ids) == 1:
             own = open_.toPandas()  # a block at most
-
-            def near(batches: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
-                total: dict[int, np.ndarray] = {}
-                for pdf in batches:
-                    for s in range(0, len(pdf), SLICE):
-                        for m, v in step_sums(Rows(pdf.iloc[s : s + SLICE], y, columns), own, seed):
-                            for a, row in zip(m.tolist(), pad(v), strict=True):
-                                total[a] = total[a] + row if a in total else row
-                if total:
-                    yield pd.DataFrame({"model": list(total), "gram": list(total.values())})
-
-            parts = rows.mapInPandas(near, "model long, gram array<double>")
+            parts = near(rows, y, columns, own, length, seed)
         else:
             tasks = int(np.clip(slices * len(ids), spark.sparkContext.defaultParallelism, 10_000))
             left = rows.withColumn("slice", F.pmod("unit", F.lit(slices))).withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in ids])))
@@ -262,5 +290,5 @@ def fit_one(rows: DataFrame, y: str, x: list[str], intercept: bool = False) -> d
     data = rows.select(F.monotonically_increasing_id().alias("unit"), F.lit(0).cast("long").alias("__pattern"), y, *x)
     spec = rows.sparkSession.createDataFrame([(0, 0, list(range(len(x))))], "spec_id long, need long, cols array<int>")
     data = Scratch(rows.sparkSession).write(data, "logit")
-    fitted = newton(data, y, x, model_frame(spec, "full", 1, {0: 1.0}, intercept), len(x) + intercept)
+    fitted = newton(data, y, x, model_frame(spec, {0: 1.0}, True, intercept=intercept), len(x) + intercept)
     return summaries(fitted).first().asDict()

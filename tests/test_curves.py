@@ -161,7 +161,7 @@ def test_blocks_of_models_meet_slices_of_rows(spark, holed, monkeypatch):
     monkeypatch.setattr(logit, "SLICE", 64)
     rows = spark.createDataFrame(holed[["z", "x", "e"]].assign(unit=np.arange(400), pattern=0)).withColumnRenamed("pattern", "__pattern").cache()
     specs = spark.createDataFrame([(0, 0, [0]), (1, 0, [0, 1])], "spec_id long, need long, cols array<int>")
-    models = logit.model_frame(specs, "draw", 5, {0: 1.3}, True, True)
+    models = logit.model_frame(specs, {0: 1.3}, draws=5, apart=True)
     near, far = ({(r.spec_id, r.draw): (r.beta, r.done) for r in logit.newton(rows, "z", ["x", "e"], models, 3, 7, block).collect()} for block in (1024, 2))
     assert len(near) == 10 and near.keys() == far.keys()
     for k, (beta, done) in near.items():
