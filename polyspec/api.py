@@ -10,6 +10,7 @@ from polyspec.estimators import LRobust, MergedResult, OLSRobust, Result, concat
 from polyspec.functions.stats import imv
 from polyspec.operators import logit, moments, ols
 from polyspec.operators.inference import join_sig_test, stouffer_method
+from polyspec.operators.robust import hc1_curve
 from polyspec.operators.prepare import group_demean, rescale
 from polyspec.plans.space import all_subsets, reservoir_sample, sample_y_masks, sample_z_masks, space_size
 from polyspec.plans.spec import MissingValueWarning
@@ -18,7 +19,7 @@ from polyspec.sources.readers import union_recipe as prepare_union
 
 __all__ = [
     "LRobust", "MergedResult", "MissingValueWarning", "OLSRobust", "Result", "all_subsets", "calculate_imv_score", "concat_results",
-    "group_demean", "join_sig_test", "logistic_regression_sm", "mcfadden_r2", "prepare_asc", "prepare_union", "pseudo_r2", "rescale",
+    "group_demean", "hc1_curve", "join_sig_test", "logistic_regression_sm", "mcfadden_r2", "prepare_asc", "prepare_union", "pseudo_r2", "rescale",
     "reservoir_sample", "sample_y_masks", "sample_z_masks", "simple_ols", "space_size", "stouffer_method", "stripped_ols",
 ]
 

@@ -47,12 +47,27 @@ class Result:
         ll = "ll_gain_per_obs" if self.model.family is Family.OLS else "ll_raw"
         f = self.full.select("spec_id", "beta", "pval", "r2", F.col(ll).alias("ll"), "aic", "bic", "hqic", "ll_raw", "ll_null", "ll_gain", "ll_gain_per_obs", "nobs", F.array_sort("controls").alias("spec_name"), "y")
         folds = self.oos.groupBy("spec_id").agg(F.avg("metric").alias("av_k_metric"))
-        return f.join(inference.boot_summary(self.boot), "spec_id", "left").join(folds, "spec_id", "left")
+        return f.join(inference.boot_summary(self.boot, draws=self.model.draws), "spec_id", "left").join(folds, "spec_id", "left")
 
     @cached_property
     def inference(self) -> DataFrame:
         return inference.curve_inference(self.full, self.boot, self.model.multi_y)
 
+    @cached_property
+    def stouffer_keep_mask(self) -> DataFrame:
+        """spec_id, kept: whether the specification's null z enter the combined test."""
+        return inference.keep_mask(self.boot).select("spec_id", "kept")
+
+    @cached_property
+    def correlation_matrix(self) -> DataFrame:
+        """a, b, r: correlations of null z of the kept specifications."""
+        return inference.null_correlation(self.boot)
+
+    @cached_property
+    def sigma_hat(self) -> DataFrame:
+        """a, b, r: the matrix that weights the combined test: unit diagonal and a ridge of 1e-12."""
+        return inference.null_correlation(self.boot, 1e-12)
+
     def compute_bma(self) -> DataFrame:
         return inference.bma(self.full, self.controls)
 

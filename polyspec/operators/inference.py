@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyspec.functions.stats import norm_sf, psd_unit, signed_z
+from polyspec.plans.scratch import materialize
 
 ALPHA = 0.05
+#: Specifications of a tile of the null correlations; draws of a specification that are sorted in one task.
+TILE, SORTED_DRAWS = 256, 1 << 17
 
 
 def with_z(df: DataFrame, p: str, beta: str, out: str) -> DataFrame:
@@ -28,12 +31,31 @@ def nearest(x: str, q: float) -> Column:
     return F.get(s, F.rint((F.size(s) - 1) * F.lit(q)).cast("int"))
 
 
-def boot_summary(boot: DataFrame, lower: float = 0.025, upper: float = 0.975) -> DataFrame:
-    """spec_id, median, max, min, ci_up, ci_down over the draws."""
-    b = boot.where("beta IS NOT NULL AND NOT isnan(beta)").groupBy("spec_id")
+def boot_summary(boot: DataFrame, lower: float = 0.025, upper: float = 0.975, draws: int = 0) -> DataFrame:
+    """spec_id, median, max, min, ci_up, ci_down over the draws; of more than SORTED_DRAWS ``draws`` by ``order_statistics``,
+    with the same values."""
+    b = boot.where("beta IS NOT NULL AND NOT isnan(beta)")
+    if draws > SORTED_DRAWS:
+        return order_statistics(b, lower, upper)
+    b = b.groupBy("spec_id")
     return b.agg(F.median("beta").alias("median"), F.max("beta").alias("max"), F.min("beta").alias("min"), nearest("beta", upper).alias("ci_up"), nearest("beta", lower).alias("ci_down"))
 
 
+def order_statistics(b: DataFrame, lower: float, upper: float) -> DataFrame:
+    """``boot_summary`` without gathering a specification's draws: all are numbered by one range sort, and those of the wanted
+    ranks are picked."""
+    from polyspec.operators.prepare import with_row_index
+
+    at = with_row_index(b.select("spec_id", "beta"), ["spec_id", "beta"], "at")
+    ends = at.groupBy("spec_id").agg(F.min("at").alias("first"), (F.count("*") - 1).alias("last"))
+    rank = lambda q: F.col("first") + F.rint(F.col("last") * F.lit(q)).cast("long")
+    half = lambda f: F.col("first") + f(F.col("last") / 2).cast("long")
+    wanted = {"min": F.col("first"), "max": F.col("first") + F.col("last"), "ci_up": rank(upper), "ci_down": rank(lower), "m1": half(F.floor), "m2": half(F.ceil)}
+    picks = ends.select("spec_id", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("at")) for k, v in wanted.items()])).alias("p")).select("p.name", "p.at")
+    got = at.join(picks, "at").groupBy("spec_id").agg(*[F.max(F.when(F.col("name") == k, F.col("beta"))).alias(k) for k in wanted])
+    return got.select("spec_id", ((F.col("m1") + F.col("m2")) / 2).alias("median"), "max", "min", "ci_up", "ci_down")
+
+
 def ic_average(full: DataFrame, ic: str) -> Column:
     """Average of beta with weights exp(-(ic - least ic) / 2), as an aggregate over rows with the least in ``least_{ic}``."""
     w = F.exp(-0.5 * (F.col(ic) - F.col(f"least_{ic}")))
@@ -87,29 +109,80 @@ def curve_inference(full: DataFrame, boot: DataFrame, multi_y: bool = False, com
     return both.crossJoin(F.broadcast(tests)).crossJoin(F.broadcast(stouffer(full, boot)))
 
 
+def null_z(boot: DataFrame) -> DataFrame:
+    """spec_id, draw, z: the null draws' signed z, null where there is none."""
+    z = with_z(boot.select("spec_id", "draw", "beta_null", "p_null"), "p_null", "beta_null", "z")
+    return z.select("spec_id", "draw", F.when(~F.isnan("z") & F.col("beta_null").isNotNull(), F.col("z")).alias("z"))
+
+
+def keep_mask(boot: DataFrame) -> DataFrame:
+    """spec_id, mu, sd, n, kept: specifications whose null z are there in every draw and vary."""
+    per = null_z(boot).groupBy("spec_id").agg(F.avg("z").alias("mu"), F.stddev_samp("z").alias("sd"), F.count("*").alias("n"), F.count("z").alias("there"))
+    return per.select("spec_id", "mu", "sd", "n", F.coalesce((F.col("there") == F.col("n")) & (F.col("sd") > 1e-14), F.lit(False)).alias("kept"), (F.col("there") > 0).alias("drawn"))
+
+
 def stouffer(full: DataFrame, boot: DataFrame) -> DataFrame:
     """stouffer_z, stouffer_p, stouffer_kept, mean_correlation: the summed signed z of the curve over its null standard
-    deviation. The sum of the null correlations of all pairs is the variance of row sums of standardised null z, so no
-    matrix of specifications is built."""
-    z = with_z(boot.where("beta_null IS NOT NULL AND p_null IS NOT NULL").select("spec_id", "draw", "beta_null", "p_null"), "p_null", "beta_null", "z").where("NOT isnan(z)")
-    per = z.groupBy("spec_id").agg(F.avg("z").alias("mu"), F.stddev_samp("z").alias("sd")).where("sd > 1e-14")
-    observed = with_z(full.select("spec_id", "beta", "pval"), "pval", "beta", "z_obs").where("NOT isnan(z_obs)").select("spec_id", "z_obs")
-    kept = per.join(observed, "spec_id")
-    rows = z.join(kept, "spec_id").groupBy("draw").agg(F.sum((F.col("z") - F.col("mu")) / F.col("sd")).alias("w"), F.sum("z").alias("zsum"))
-    var = rows.agg(F.var_samp("w").alias("v"), F.count("*").alias("d"))
-    n = kept.agg(F.count("*").alias("kept"), F.sum("z_obs").alias("total"))
-    base = n.crossJoin(F.broadcast(var)).withColumn("denom", F.sqrt(F.coalesce("v", F.col("kept").cast("double")) + F.col("kept") * 1e-12))
+    deviation, and the share of null draws that reach it. The sum of the null correlations of all pairs is the variance of
+    row sums of standardised null z, so no matrix of specifications is built. Where a kept specification lacks an observed
+    z, or fewer than two are kept, the tests count as independent; without null draws p is the normal tail."""
+    per = keep_mask(boot)
+    z = null_z(boot)
+    observed = with_z(full.select("spec_id", "beta", "pval"), "pval", "beta", "z_obs").where("NOT isnan(z_obs) AND beta IS NOT NULL AND NOT isnan(beta) AND pval BETWEEN 0 AND 1").select("spec_id", "z_obs")
+    drawn = per.agg(F.coalesce(F.max("drawn"), F.lit(False)).alias("any_null"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.count_if("kept").alias("null_kept"))
+    use = ~F.col("any_null") | (F.col("most") < 2) | F.coalesce("kept", F.lit(False))
+    kept = observed.join(per, "spec_id", "left").crossJoin(F.broadcast(drawn)).where(use)
+    n = kept.agg(F.count("*").alias("m"), F.sum("z_obs").alias("total"), F.count_if("kept").alias("both"))
+    own = z.join(per.where("kept"), "spec_id").groupBy("draw").agg(F.sum((F.col("z") - F.col("mu")) / F.col("sd")).alias("w"))
+    spread = own.agg(F.var_samp("w").alias("v"))
+    rows = z.where("z IS NOT NULL").join(kept.select("spec_id"), "spec_id").groupBy("draw").agg(F.sum("z").alias("zsum"))
+    base = n.crossJoin(F.broadcast(drawn)).crossJoin(F.broadcast(spread))  # single rows
+    alike = (F.col("null_kept") >= 2) & (F.col("m") == F.col("null_kept")) & (F.col("both") == F.col("m"))
+    m = F.col("m").cast("double")
+    base = base.withColumn("denom", F.sqrt(F.when(alike & F.col("v").isNotNull(), F.col("v") + m * 1e-12).otherwise(m)))
     base = base.withColumn("stouffer_z", F.try_divide("total", "denom"))
-    hits = rows.crossJoin(F.broadcast(base)).agg(F.count_if(F.abs(F.try_divide("zsum", "denom")) >= F.abs("stouffer_z")).alias("hits"))
-    pairs = F.col("kept") * (F.col("kept") - 1)
+    hits = rows.crossJoin(F.broadcast(base)).agg(F.count_if(F.abs(F.try_divide("zsum", "denom")) >= F.abs("stouffer_z")).alias("hits"), F.count("*").alias("d"))
+
+    @F.pandas_udf("double")
+    def tail(z: pd.Series) -> pd.Series:
+        return pd.Series(2 * norm_sf(np.abs(z.to_numpy(float))))
+
+    pairs = F.col("null_kept") * (F.col("null_kept") - 1)
+    p = F.when(F.col("any_null"), (F.col("hits") + 1) / (F.col("d") + 1)).otherwise(tail("stouffer_z"))
     return base.crossJoin(F.broadcast(hits)).select(
         "stouffer_z",
-        F.when(F.col("stouffer_z").isNotNull(), (F.col("hits") + 1) / (F.col("d") + 1)).alias("stouffer_p"),
-        F.col("kept").alias("stouffer_kept"),
-        F.try_divide(F.col("v") - F.col("kept"), pairs).alias("mean_correlation"),
+        F.when(F.col("stouffer_z").isNotNull(), p).alias("stouffer_p"),
+        F.col("m").alias("stouffer_kept"),
+        F.when(F.col("any_null"), F.try_divide(F.col("v") - F.col("null_kept"), pairs)).alias("mean_correlation"),
     )
 
 
+def null_correlation(boot: DataFrame, ridge: float = 0.0, tile: int = TILE) -> DataFrame:
+    """a, b, r: correlations of null z over draws for every pair of kept specifications, both ways; with ``ridge`` the matrix
+    that combines them, of a diagonal of 1 and the ridge. It is a product of the standardised z with themselves, so it has no
+    negative eigenvalue to cut off. Tiles of ``tile`` specifications meet in pairs, each multiplied in one task."""
+    per = keep_mask(boot).where("kept")
+    z = null_z(boot).join(per, "spec_id").select("spec_id", "draw", ((F.col("z") - F.col("mu")) / F.col("sd") / F.sqrt(F.col("n") - 1)).alias("z"))
+    rows = z.groupBy("spec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "z"))), lambda s: s["z"]).alias("z"))  # a value per draw
+    block = F.pmod(F.xxhash64("spec_id"), F.greatest(F.ceil(F.lit(per.count()) / tile), F.lit(1)))
+    rows = materialize(rows.withColumn("block", block), "null_z")
+    others = rows.select(F.col("block").alias("other")).distinct()
+    again = boot.sparkSession.read.parquet(rows._polyspec_path)  # a frame of its own for the other side
+    left = rows.join(F.broadcast(others), F.col("block") <= F.col("other")).select(F.col("block").alias("i"), F.col("other").alias("j"), "spec_id", "z")
+    right = again.join(F.broadcast(again.select(F.col("block").alias("other")).distinct()), F.col("other") <= F.col("block")).select(F.col("other").alias("i"), F.col("block").alias("j"), "spec_id", "z")
+
+    def product(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": [], "r": []})
+        a, b = one["spec_id"].to_numpy(), two["spec_id"].to_numpy()
+        r = np.clip(np.stack(one["z"].to_numpy()) @ np.stack(two["z"].to_numpy()).T, -1, 1)
+        r = np.where(a[:, None] == b[None, :], 1.0 + ridge, r)
+        out = pd.DataFrame({"a": np.repeat(a, len(b)), "b": np.tile(b, len(a)), "r": r.ravel()})
+        return out if one["i"].iloc[0] == one["j"].iloc[0] else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})])
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(product, "a long, b long, r double")
+
+
 def stouffer_method(p_values, *, two_sided: bool = True, betas=None, p_values_ystar=None, betas_ystar=None, weights=None, clip_floor: float = 1e-300, na_action: str = "omit", warn: bool = True) -> tuple[float, float]:
     """Combine p values of correlated tests: (Z, p). Null draws (specifications x draws, or transposed) give the
     correlation and a two-sided Monte-Carlo p; without them the tests count as independent."""
@@ -161,13 +234,6 @@ def stouffer_method(p_values, *, two_sided: bool = True, betas=None, p_values_ys
     return total, float(2 * norm_sf(abs(total)) if two_sided else norm_sf(total))
 
 
-def null_correlation(boot: DataFrame) -> DataFrame:
-    """a, b, r: correlations of null z over draws, for every pair of specifications (on request only)."""
-    z = with_z(boot.where("p_null IS NOT NULL").select("spec_id", "draw", "beta_null", "p_null"), "p_null", "beta_null", "z").select("spec_id", "draw", "z")
-    a, b = z.select(F.col("spec_id").alias("a"), "draw", F.col("z").alias("za")), z.select(F.col("spec_id").alias("b"), "draw", F.col("z").alias("zb"))
-    return a.join(b, "draw").groupBy("a", "b").agg(F.corr("za", "zb").alias("r"))
-
-
 def join_sig_test(target_full: DataFrame, target_summary: DataFrame, shuffled_boot: DataFrame, sig_level: float, positive: bool) -> DataFrame:
     """p: share of shuffled draws with at least as many significant effects of the sign as the target has specifications
     with an interval beyond 0."""

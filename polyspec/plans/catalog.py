@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyspec import estimators
-from polyspec.operators import inference, moments, ols, panels, patterns, prepare
+from polyspec.operators import inference, moments, ols, panels, patterns, prepare, robust
 from polyspec.plans import space, sqlgen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -752,6 +752,27 @@ def hc1_ols(spark, sf):
     return spark.createDataFrame([(round(b[0], 6), round(se[0], 6))], "beta double, se double")
 
 
+def hc1_sql() -> str:
+    controls, cols = ["z1", "z2"], ["y", "x", "1.0", "z1", "z2"]
+    ctes, out = [PEOPLE, f"g0 AS ({sqlgen.grams('people', cols)})"], []
+    for i, s in specs(controls):
+        use = [1, 2, *[cols.index(c) for c in s]]
+        ctes += sqlgen.fit("g0", f"f{i}", 5, use, 0)
+        line = " - ".join(["y", *[f"b{a} * {cols[c]}" for a, c in enumerate(use)]])
+        ctes.append(f"e{i} AS (SELECT people.*, pow({line}, 2) AS e2 FROM people, f{i})")
+        ctes.append(f"m{i} AS ({sqlgen.grams(f'e{i}', [cols[c] for c in use], weight='e2')})")
+        k = len(use)
+        meat = " + ".join(f"s.a_0_{a} * m.{sqlgen.entry(a, b)} * s.a_0_{b}" for a in range(k) for b in range(k))
+        out.append(f"SELECT '{','.join(s)}' AS spec, {r('b0', 'beta')}, {r(f'sqrt((SELECT {meat} FROM f{i}_s{k} AS s, m{i} AS m) * n / (n - k))', 'se')} FROM f{i}")
+    return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(out)
+
+
+@register("hc1_curve", hc1_sql())
+def hc1_curve(spark, sf):
+    f = robust.hc1_curve(people(spark, sf), "y", ["x"], ["z1", "z2"])
+    return rounded(f.select(F.array_join("controls", ",").alias("spec"), F.get("b", 0).alias("beta"), F.get("se", 0).alias("se")))
+
+
 def robust_errors(df: DataFrame, y: str, x: list[str]):
     """Coefficients (x, intercept) and HC1 errors: a second scan adds up e^2 x x'."""
     np = moments.np

@@ -113,6 +113,25 @@ def regression_data(spark: SparkSession, n: int = 10_000, controls: int = 7, see
     return raw.select("id", y.alias("y1"), "x1", *z)
 
 
+def binary_data(spark: SparkSession, n: int = 10_000, controls: int = 7, seed: int = 192735) -> DataFrame:
+    """y1 (1 where a latent linear outcome is over its median, else 0), x1, z1 ...: regressors of two common factors."""
+    rng = np.random.default_rng(seed)
+    load, slope = rng.uniform(-0.8, 0.8, (controls + 1, 2)), rng.uniform(-0.6, 0.6, controls + 1)
+    base = spark.range(n).select("id", *[F.randn(seed + j).alias(f"f{j}") for j in range(2)], *[F.randn(seed + 2 + j).alias(f"u{j}") for j in range(controls + 1)], F.randn(seed + 99).alias("e"))
+    names = ["x1", *[f"z{i + 1}" for i in range(controls)]]
+    raw = base.select("id", "e", *[(F.col("f0") * float(load[i, 0]) + F.col("f1") * float(load[i, 1]) + F.col(f"u{i}") * 0.3**0.5).alias(c) for i, c in enumerate(names)])
+    latent = raw.withColumn("latent", F.col("e") + sum((F.col(c) * float(slope[i]) for i, c in enumerate(names)), F.lit(0.05)))
+    return prepare.median_binarise(latent, "latent", "y1").select("id", "y1", *names)
+
+
+def multi_outcome_data(spark: SparkSession, n: int = 1000, outcomes: int = 4, regressors: int = 5, controls: int = 4, seed: int = 192735) -> DataFrame:
+    """x1 ..., y1 ..., z1 ...: outcomes that share regressors and an error, and controls that have no part in them."""
+    slope = np.random.default_rng(seed).uniform(-0.5, 0.6, (outcomes, regressors))
+    base = spark.range(n).select("id", *[F.randn(seed + j).alias(f"x{j + 1}") for j in range(regressors)], F.randn(seed + 99).alias("e"), *[F.randn(seed + 100 + j).alias(f"z{j + 1}") for j in range(controls)])
+    y = [(F.col("e") + sum((F.col(f"x{j + 1}") * float(slope[i, j]) for j in range(regressors)), F.lit(0.0))).alias(f"y{i + 1}") for i in range(outcomes)]
+    return base.select("id", *[f"x{j + 1}" for j in range(regressors)], *y, *[f"z{j + 1}" for j in range(controls)])
+
+
 def panel_data(spark: SparkSession, groups: int, periods: int, seed: int = 1) -> DataFrame:
     """group, period, y, x, z with a slope of its own for each group."""
     slope = (F.xxhash64(F.lit(seed), "group") % 1000) / 1000.0

@@ -283,3 +283,65 @@ def test_long_draws_are_summed_up_by_runs(spark, monkeypatch):
     whole = made()
     monkeypatch.setattr(moments, "PICKS", 7)
     assert made() == whole and all(sum(n * t for _, d, _, _, n, t in whole if d == k) >= 230 for k in range(5))
+
+
+def test_hc1_of_the_whole_curve(spark, holed):
+    from polyspec.operators.robust import hc1_curve
+
+    d = holed.assign(y=holed["y"] + holed["x"] ** 2)
+    rows = hc1_curve(spark.createDataFrame(d), "y", ["x"], ["a", "e"]).collect()
+    assert len(rows) == 4
+    for r in rows:
+        own = d.dropna(subset=list(r.controls))
+        x, y = np.c_[own["x"], np.ones(len(own)), own[list(r.controls)]], own["y"].to_numpy()
+        b = np.linalg.lstsq(x, y, rcond=None)[0]
+        e, inverse = y - x @ b, np.linalg.inv(x.T @ x)
+        want = inverse @ ((x * (e**2)[:, None]).T @ x) @ inverse * len(x) / (len(x) - x.shape[1])
+        assert r.nobs == len(x) and np.allclose(r.b, b) and np.allclose(r.se, np.sqrt(np.diag(want)))
+
+
+def test_order_statistics_by_sorting(spark):
+    from polyspec.operators import inference
+
+    rng = np.random.default_rng(4)
+    rows = [(s, d, float(v)) for s, n in ((0, 1), (3, 2), (5, 101), (9, 40)) for d, v in enumerate(rng.normal(size=n).round(1))]
+    boot = spark.createDataFrame([*rows, (5, 200, None), (5, 201, float("nan"))], "spec_id long, draw int, beta double")
+    one, two = (sorted(map(tuple, inference.boot_summary(boot, draws=n).collect())) for n in (0, 1 << 30))
+    assert len(one) == 4 and np.allclose(np.array(one, float), np.array(two, float), rtol=1e-15)
+
+
+def test_null_correlations_by_tiles(spark):
+    from polyspec.operators import inference
+
+    rng = np.random.default_rng(6)
+    p, b = rng.uniform(0.01, 1, (7, 30)), rng.normal(size=(7, 30))
+    p[2] = 0.5
+    b[2] = 1.0  # it doesn't vary
+    boot = spark.createDataFrame([(s, d, float(b[s, d]), float(p[s, d]) if (s, d) != (4, 3) else None) for s in range(7) for d in range(30)], "spec_id long, draw int, beta_null double, p_null double")
+    kept = [0, 1, 3, 5, 6]
+    assert {r.spec_id for r in inference.keep_mask(boot).where("kept").collect()} == set(kept)
+    z = inference.signed_z(p, b)[kept]
+    want = np.corrcoef(z)
+    for tile in (2, 256):
+        got = {(r.a, r.b): r.r for r in inference.null_correlation(boot, 1e-12, tile).collect()}
+        assert len(got) == 25 and all(np.isclose(got[x, y], want[i, j], atol=1e-9) for i, x in enumerate(kept) for j, y in enumerate(kept))
+    full = spark.createDataFrame([(s, 0.5, 0.02) for s in range(7)], "spec_id long, beta double, pval double")
+    r = inference.stouffer(full, boot).first()
+    own = [s for s in kept]
+    z1, p1 = inference.stouffer_method([0.02] * 5, betas=[0.5] * 5, p_values_ystar=p[own], betas_ystar=b[own])
+    assert r.stouffer_kept == 5 and np.isclose(r.stouffer_z, z1) and np.isclose(r.stouffer_p, p1)
+    assert np.isclose(r.mean_correlation, (want.sum() - 5) / 20)
+    none = inference.stouffer(full, boot.withColumn("p_null", F.lit(None).cast("double"))).first()
+    assert np.isclose(none.stouffer_z, inference.stouffer_method([0.02] * 7, betas=[0.5] * 7)[0]) and none.mean_correlation is None
+    assert np.isclose(none.stouffer_p, inference.stouffer_method([0.02] * 7, betas=[0.5] * 7)[1])
+    odd = inference.stouffer(full.withColumn("pval", F.when(F.col("spec_id") != 3, F.col("pval"))), boot).first()
+    assert odd.stouffer_kept == 4 and np.isclose(odd.stouffer_z, 4 * z1 * np.sqrt(want.sum()) / 5 / 2)
+
+
+def test_generators(spark):
+    from polyspec.sources import readers
+
+    d = readers.binary_data(spark, 501, 3)
+    assert d.columns == ["id", "y1", "x1", "z1", "z2", "z3"] and d.agg(F.sum("y1")).first()[0] == 250
+    m = readers.multi_outcome_data(spark, 50)
+    assert m.count() == 50 and {"y4", "x5", "z4"} <= set(m.columns)
