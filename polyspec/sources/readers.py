@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from polyspec.operators import prepare
+from polyspec.sources.stata import RECORDS, StataSource
 
 
 def read_text(spark: SparkSession, path: str, sep: str = ",", header: bool = True, skip: int = 0) -> DataFrame:
@@ -34,7 +35,7 @@ class FramePartition(InputPartition):
 
 
 class FrameReader(DataSourceReader):
-    """Row ranges of a Stata (dta) or Excel file, through pandas."""
+    """Row ranges of an Excel file, through pandas."""
 
     def __init__(self, options: dict, schema: T.StructType):
         self.options, self.columns = options, schema.names
@@ -52,12 +53,11 @@ class FrameReader(DataSourceReader):
 def load_frame(options: dict):
     import pandas as pd
 
-    path = options["path"]
-    return pd.read_excel(path) if path.endswith(("xls", "xlsx")) else pd.read_stata(path, convert_categoricals=options.get("categoricals", "false") == "true")
+    return pd.read_excel(options["path"])
 
 
 class FrameSource(DataSource):
-    """``spark.read.format("frame_file").load(path)`` for a dta, xls or xlsx file that executors can open."""
+    """``spark.read.format("frame_file").load(path)`` for an xls or xlsx file that executors can open."""
 
     @classmethod
     def name(cls) -> str:
@@ -71,7 +71,14 @@ class FrameSource(DataSource):
         return FrameReader(self.options, schema)
 
 
-def read_stata(spark: SparkSession, path: str) -> DataFrame:
+def read_stata(spark: SparkSession, path: str, records: int = RECORDS) -> DataFrame:
+    """A Stata file, ``records`` of it per partition."""
+    spark.dataSource.register(StataSource)
+    return spark.read.format("dta").option("records", records).load(path)
+
+
+def read_excel(spark: SparkSession, path: str) -> DataFrame:
+    """An Excel sheet, of at most about a million rows by its format, which each task loads."""
     spark.dataSource.register(FrameSource)
     return spark.read.format("frame_file").load(path)
 
