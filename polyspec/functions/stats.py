@@ -103,18 +103,20 @@ def kde(x: np.ndarray, grid: np.ndarray, adjust: float = 1.0) -> np.ndarray:
     return np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).mean(1) / (h * np.sqrt(2 * np.pi))
 
 
-def lowess(x: np.ndarray, y: np.ndarray, frac: float) -> np.ndarray:
-    """Locally weighted line through (x, y) at each x, tricube weights, no robustness rounds."""
+def lowess(x: np.ndarray, y: np.ndarray, frac: float, at: np.ndarray | None = None, k: int | None = None) -> np.ndarray:
+    """Locally weighted line through (x, y) at each x (or only at the places ``at`` of it), tricube weights, no robustness
+    rounds. ``k``: neighbours of a point, if not a share of the given ones."""
     n = len(x)
-    k = min(n, max(2, int(np.ceil(frac * n))))
-    out = np.empty(n)
-    for i in range(n):
+    k = min(n, max(2, int(np.ceil(frac * n)))) if k is None else min(n, k)
+    at = np.arange(n) if at is None else at
+    out = np.empty(len(at))
+    for o, i in enumerate(at):
         d = np.abs(x - x[i])
         h = np.partition(d, k - 1)[k - 1] or 1.0
         w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
         mx, my = np.average(x, weights=w), np.average(y, weights=w)
         sxx = np.sum(w * (x - mx) ** 2)
-        out[i] = my + (np.sum(w * (x - mx) * (y - my)) / sxx * (x[i] - mx) if sxx > 1e-300 else 0)
+        out[o] = my + (np.sum(w * (x - mx) * (y - my)) / sxx * (x[i] - mx) if sxx > 1e-300 else 0)
     return out
 
 

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from polyspec.functions.stats import kde, lowess
 from polyspec.operators import inference, moments, ols
+from polyspec.operators.prepare import with_row_index
 from polyspec.plans import space
 
 GRID, HEAT_BINS, HIST_BINS, MAX_SELECTED = 20, 128, 30, 3
+#: Positions of the curve smoothed in one task, and grid points of a binned density.
+SMOOTH_BLOCK, CELLS = 4096, 1024
 
 
 def hexbin(df: DataFrame, x: str, y: str, grid: int = GRID) -> DataFrame:
@@ -42,8 +45,29 @@ def histogram(df: DataFrame, column: str, bins: int = HIST_BINS) -> DataFrame:
 
 
 def curve_order(summary: DataFrame) -> DataFrame:
-    """``summary`` with position (from 1) by median, ties by spec_id. A row per specification: one window holds them."""
-    return summary.withColumn("position", F.row_number().over(Window.orderBy("median", "spec_id")))
+    """``summary`` with position (from 1) by median, ties by spec_id; numbered by a range sort."""
+    return with_row_index(summary, ["median", "spec_id"], "__at").withColumn("position", (F.col("__at") + 1).cast("int")).drop("__at")
+
+
+def smoothed(curve: DataFrame, columns: list[str], block: int = SMOOTH_BLOCK) -> DataFrame:
+    """``curve`` with smooth_{column}: a local line over the nearest 30 % of the curve. Blocks of positions are smoothed apart,
+    each with a halo of as many positions as a point has neighbours."""
+    n = curve.count()
+    k = min(n, max(2, int(np.ceil(max(2 / max(n, 1), 0.3) * n))))
+    last = max(0, (n - 1) // block)
+    # The blocks whose positions, with k more on either side, hold this one.
+    first = F.greatest(F.lit(0), F.floor((F.col("position") - 1 - k) / block))
+    final = F.least(F.lit(last), F.floor((F.col("position") - 1 + k) / block))
+    dealt = curve.withColumn("__block", F.explode(F.sequence(first.cast("int"), final.cast("int"))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        x, own = pdf["position"].to_numpy(float), ((pdf["position"] - 1) // block == pdf["__block"]).to_numpy()
+        at = np.flatnonzero(own)
+        return pdf[own].assign(**{f"smooth_{c}": lowess(x, pdf[c].to_numpy(float), 0.3, at, k) for c in columns}).drop(columns="__block")
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in curve.schema.fields) + "".join(f", smooth_{c} double" for c in columns)
+    return dealt.groupBy("__block").applyInPandas(run, schema)
 
 
 def spec_curve(boot: DataFrame, full: DataFrame, n_controls: int, ci: float = 1.0, selected: list | None = None, smooth: bool = True) -> DataFrame:
@@ -51,16 +75,7 @@ def spec_curve(boot: DataFrame, full: DataFrame, n_controls: int, ci: float = 1.
     a = (1 - ci) / 2
     s = boot.where("beta IS NOT NULL").groupBy("spec_id").agg(F.median("beta").alias("median"), inference.nearest("beta", a).alias("lo"), inference.nearest("beta", 1 - a).alias("hi"))
     s = curve_order(s).join(full.select("spec_id", "controls"), "spec_id").withColumn("kind", kind_of("controls", n_controls, selected)).drop("controls")
-    if not smooth:
-        return s
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        x, frac = pdf["position"].to_numpy(float), max(2 / len(pdf), 0.3)
-        return pdf.assign(**{f"smooth_{c}": lowess(x, pdf[c].to_numpy(float), frac) for c in ("lo", "hi")}).drop(columns="one")
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema.fields) + ", smooth_lo double, smooth_hi double"
-    return s.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, schema)  # a row per specification
+    return smoothed(s, ["lo", "hi"]) if smooth else s
 
 
 def kind_of(controls: str, n_controls: int, selected: list | None) -> Column:
@@ -72,7 +87,11 @@ def kind_of(controls: str, n_controls: int, selected: list | None) -> Column:
 
 def spec_matrix(curve: DataFrame, full: DataFrame, controls: list[str], bins: int = HEAT_BINS) -> DataFrame:
     """bin, control, share: inclusion of each control along the curve, averaged within at most ``bins`` bins."""
-    c = curve.select("spec_id", F.ntile(bins).over(Window.orderBy("position")).alias("bin")).join(full.select("spec_id", "controls"), "spec_id")
+    n = curve.count()
+    q, r = divmod(n, bins)  # the first r bins hold one more
+    at = F.col("position") - 1
+    bin_ = F.when(at < r * (q + 1), F.floor(at / (q + 1))).otherwise(r + F.floor((at - r * (q + 1)) / max(q, 1))) + 1
+    c = curve.select("spec_id", bin_.cast("int").alias("bin")).join(full.select("spec_id", "controls"), "spec_id")
     all_ = F.explode(F.array(*[F.lit(k) for k in controls]) if controls else F.array().cast("array<string>")).alias("control")
     return c.select("bin", "controls", all_).groupBy("bin", "control").agg(F.avg(F.array_contains("controls", F.col("control")).cast("double")).alias("share"))
 
@@ -81,7 +100,43 @@ def ic_curve(full: DataFrame, ic: str, n_controls: int, selected: list | None =
     """spec_id, value, position, kind: specifications by an information criterion."""
     if ic not in ("aic", "bic", "hqic"):
         raise ValueError("ic must be aic, bic or hqic")
-    return full.select("spec_id", F.col(ic).alias("value"), F.row_number().over(Window.orderBy(ic, "spec_id")).alias("position"), kind_of("controls", n_controls, selected).alias("kind"))
+    c = with_row_index(full.select("spec_id", F.col(ic).alias("value"), kind_of("controls", n_controls, selected).alias("kind")), ["value", "spec_id"], "__at")
+    return c.select("spec_id", "value", (F.col("__at") + 1).cast("int").alias("position"), "kind")
+
+
+def binned_density(df: DataFrame, value: str, key: str | None = None, points: int = 100, adjust: float = 1.0, cells: int = CELLS) -> DataFrame:
+    """key (if given), x, density: a Gaussian kernel density. Values are shared out linearly between the two nearest of
+    ``cells`` grid points by one aggregation, and the few grid counts are convolved, so no task holds the values."""
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select((F.col(key) if key else F.lit("")).alias("key"), F.col(value).alias("v"))
+    per = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.stddev_samp("v").alias("sd"))
+    h = F.coalesce("sd", F.lit(0.0)) * adjust * F.pow("n", F.lit(-0.2))
+    per = per.withColumn("h", h).where("h > 0").withColumns({"left": F.col("lo") - 3 * F.col("h"), "step": (F.col("hi") - F.col("lo") + 6 * F.col("h")) / (cells - 1)})
+    at = (F.col("v") - F.col("left")) / F.col("step")
+    placed = rows.join(F.broadcast(per), "key").withColumn("at", at).withColumn("i", F.floor("at").cast("int"))  # a row per key
+    two = F.explode(F.array(F.struct(F.col("i").alias("cell"), (1 + F.col("i") - F.col("at")).alias("w")), F.struct((F.col("i") + 1).alias("cell"), (F.col("at") - F.col("i")).alias("w")))).alias("c")
+    sums = placed.select("key", "left", "step", "h", "n", two).groupBy("key", "left", "step", "h", "n", "c.cell").agg(F.sum("c.w").alias("w"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, step, width, n = (float(pdf[c].iloc[0]) for c in ("left", "step", "h", "n"))
+        grid = left + step * np.arange(cells)
+        x = np.linspace(grid[0], grid[-1], points)
+        centre, w = left + step * pdf["cell"].to_numpy(float), pdf["w"].to_numpy(float)
+        density = np.exp(-0.5 * ((x[:, None] - centre[None, :]) / width) ** 2) @ w / (n * width * np.sqrt(2 * np.pi))
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "x": x, "density": density})
+
+    out = sums.groupBy("key").applyInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, x double, density double")
+    return out.withColumnRenamed("key", key) if key else out.drop("key")
+
+
+def bma_in_order(bma: DataFrame, shap: DataFrame | None) -> DataFrame:
+    """``bma`` with position: controls by their attribution, the largest first, as in the panel beside it; without
+    attributions by probability."""
+    if shap is None:
+        total = bma.withColumn("total", F.col("probs"))
+    else:
+        total = bma.join(shap_order(shap).select(F.col("feature").alias("control_var"), "total"), "control_var", "left")
+    w = Window.partitionBy(F.lit(0)).orderBy(F.col("total").desc_nulls_last(), "control_var")  # a row per control
+    return total.withColumn("position", F.row_number().over(w)).drop("total")
 
 
 def boot_density(boot: DataFrame, full: DataFrame, n_controls: int, selected: list | None = None, points: int = 100) -> DataFrame:
@@ -199,9 +254,10 @@ def all_panels(result, specs=None, ic: str = "aic", ci: float = 1.0, loess: bool
     if not m.multi_y:
         ll = "ll_raw" if logistic else "ll_gain_per_obs"
         scores = result.oos.groupBy("spec_id").agg(F.avg("metric").alias("av_k_metric"))
-        out |= {"hexbin_ll": hexbin(full, "beta", ll), "oos": histogram(scores, "av_k_metric"), "ic": ic_curve(full, ic, n, chosen), "bma": result.compute_bma()}
+        out |= {"hexbin_ll": hexbin(full, "beta", ll), "oos": histogram(scores, "av_k_metric"), "oos_density": binned_density(scores, "av_k_metric"), "ic": ic_curve(full, ic, n, chosen), "bma": bma_in_order(result.compute_bma(), result.shap)}
         if result.shap is not None:
-            out["shap"] = shap_violin(result.shap)
+            few = result.shap.join(F.broadcast(shap_order(result.shap, 10).select("feature")), "feature")
+            out |= {"shap": shap_violin(result.shap), "shap_density": binned_density(few, "phi", "feature"), "shap_points": smoothed_values(few)}
     return out
 
 

@@ -345,3 +345,25 @@ def test_generators(spark):
     assert d.columns == ["id", "y1", "x1", "z1", "z2", "z3"] and d.agg(F.sum("y1")).first()[0] == 250
     m = readers.multi_outcome_data(spark, 50)
     assert m.count() == 50 and {"y4", "x5", "z4"} <= set(m.columns)
+
+
+def test_smoothing_by_blocks_and_density_by_bins(spark):
+    from polyspec.functions import stats
+    from polyspec.operators import panels
+
+    rng = np.random.default_rng(2)
+    y = np.sin(np.arange(1, 151) / 20) + rng.normal(size=150) / 5
+    curve = spark.createDataFrame([(i, int(i), float(v)) for i, v in enumerate(y, 1)], "spec_id long, position int, lo double").repartition(4)
+    want = stats.lowess(np.arange(1.0, 151), y, 0.3)
+    for block in (16, 4096):
+        got = {r.position: r.smooth_lo for r in panels.smoothed(curve, ["lo"], block).collect()}
+        assert len(got) == 150 and np.allclose([got[i] for i in range(1, 151)], want)
+    v = rng.normal(size=500)
+    df = spark.createDataFrame([("a", float(x)) for x in v] + [("b", float(3 * x)) for x in v[:200]] + [("c", 1.0), ("a", None)], "f string, v double")
+    got = panels.binned_density(df, "v", "f").toPandas()
+    assert set(got["f"]) == {"a", "b"}
+    for f, x in (("a", v), ("b", 3 * v[:200])):
+        own = got[got["f"] == f].sort_values("x")
+        assert np.allclose(own["density"], stats.kde(x, own["x"].to_numpy()), atol=2e-4)
+    order = panels.curve_order(spark.createDataFrame([(4, 1.0), (2, 1.0), (7, -1.0)], "spec_id long, median double"))
+    assert {r.spec_id: r.position for r in order.collect()} == {7: 1, 2: 2, 4: 3}

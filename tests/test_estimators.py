@@ -90,7 +90,8 @@ def test_report_round_trip_and_merge(spark, fitted, tmp_path):
 
 def test_panels(fitted):
     tables = fitted.plot_data(specs=[["control1"]], ci=0.9)
-    assert {"hexbin_r2", "hexbin_ll", "bma", "shap", "oos", "curve", "matrix", "ic", "bdist"} == set(tables)
+    assert {"hexbin_r2", "hexbin_ll", "bma", "shap", "shap_density", "shap_points", "oos", "oos_density", "curve", "matrix", "ic", "bdist"} == set(tables)
+    assert tables["shap_density"].select("feature").distinct().count() == 3 and sorted(r.position for r in tables["bma"].collect()) == [1, 2]
     assert tables["hexbin_r2"].agg(F.sum("n")).first()[0] == 80
     assert {r.kind for r in tables["curve"].collect()} == {"null", "full", "selected", "other"}
     assert tables["bdist"].select("spec_id").distinct().count() == 3
