@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyspec import estimators
-from polyspec.operators import inference, moments, ols, panels, patterns, prepare, robust
+from polyspec.operators import inference, moments, ols, panels, patterns, prepare, robust, sequences, tables
 from polyspec.plans import space, sqlgen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,9 +143,13 @@ _HOLED = ", ".join(f"CASE WHEN (l_orderkey + l_partkey) % {m} <> 0 THEN {c} END
 _ROWS = "(SELECT count(*) FROM holed WHERE " + " AND ".join(f"(z_mask >> {i} & 1 = 0 OR {c} IS NOT NULL)" for i, c in enumerate(SIX)) + ")"
 
 
-def holed_items(spark, sf):
+def holed_columns() -> list[Column]:
     key = F.col("l_orderkey") + F.col("l_partkey")
-    return read(spark, sf, "lineitem").select(*[F.when(F.pmod(key, F.lit(m)) != 0, F.col(c)).alias(c) for c, m in zip(SIX, _MODULI, strict=True)])
+    return [F.when(F.pmod(key, F.lit(m)) != 0, F.col(c)).alias(c) for c, m in zip(SIX, _MODULI, strict=True)]
+
+
+def holed_items(spark, sf):
+    return read(spark, sf, "lineitem").select(*holed_columns())
 
 
 @register("spec_space", f"WITH holed AS (SELECT {_HOLED} FROM lineitem) SELECT z_mask, {_NAME} AS spec, CAST({_BITS} AS INTEGER) AS n_controls, z_mask = 0 AS is_null, z_mask = 63 AS is_full, row_number() OVER (ORDER BY {_BITS}, list_filter([{', '.join(f'CASE WHEN z_mask >> {i} & 1 = 1 THEN {i} END' for i in range(6))}], lambda x: x IS NOT NULL)) - 1 AS spec_id, {_ROWS} AS nobs FROM (SELECT range AS z_mask FROM range(0, 64))")
@@ -671,15 +675,42 @@ def odds_ratio(spark, sf):
 
 @register("lag_lead_growth", "SELECT o_custkey, o_orderkey, round(o_totalprice - lag(o_totalprice) OVER w, 2) + 0.0 AS diff, round(lead(o_totalprice) OVER w, 2) + 0.0 AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def lag_lead_growth(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = read(spark, sf, "orders")
-    return o.select("o_custkey", "o_orderkey", (F.round(F.col("o_totalprice") - F.lag("o_totalprice").over(w), 2) + 0.0).alias("diff"), (F.round(F.lead("o_totalprice").over(w), 2) + 0.0).alias("next"))
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    o = sequences.neighbours(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], {"before": ("o_totalprice", -1), "next": ("o_totalprice", 1)})
+    return o.select("o_custkey", "o_orderkey", (F.round(F.col("o_totalprice") - F.col("before"), 2) + 0.0).alias("diff"), (F.round("next", 2) + 0.0).alias("next"))
+
+
+NATIONS = "months AS (SELECT c_nationkey AS nation, year(o_orderdate) * 12 + month(o_orderdate) AS month, count(*) AS orders, sum(o_totalprice) AS price FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)"
+
+
+def months(spark, sf):
+    """A panel of nations by month, with gaps."""
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    o = read(spark, sf, "orders").where("o_orderkey % 3 = 0").join(c, "o_custkey")
+    return o.groupBy("nation", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("month")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("price"))
+
+
+@register("panel_growth", f"WITH {NATIONS} SELECT nation, month::BIGINT AS month, {r('CASE WHEN lag(month) OVER w = month - 1 THEN ln(price) - ln(lag(price) OVER w) END', 'growth')}, CASE WHEN lead(month, 12) OVER w = month + 12 THEN lead(orders, 12) OVER w END AS next_year FROM months WINDOW w AS (PARTITION BY nation ORDER BY month)")
+def panel_growth(spark, sf):
+    """Growth since the month before, where there is one, and the orders of the 12th month on, where none of the 12 is missing."""
+    m = sequences.differences(months(spark, sf), ["nation"], ["month"], ["price"], step=1, logs=True)
+    m = sequences.neighbours(m, ["nation"], ["month"], {"next_year": ("orders", 12)}, step=1)
+    return rounded(m.select("nation", F.col("month").cast("long").alias("month"), F.col("price_diff").alias("growth"), "next_year"))
 
 
 @register("running_sum", "SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 2) + 0.0 AS total FROM orders")
 def running_sum(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-19, 0)
-    return read(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.round(F.sum("o_totalprice").over(w), 2) + 0.0).alias("total"))
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    o = sequences.trailing(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], {"total": ("o_totalprice", "sum")}, 20)
+    return rounded(o.select("o_custkey", "o_orderkey", "total"), 2)
+
+
+@register("trailing_stats", f"SELECT event_id, {r('CASE WHEN count(value) OVER w >= 5 THEN avg(value) OVER w END', 'mean', 9)}, {r('CASE WHEN count(value) OVER w >= 5 THEN min(value) OVER w END', 'lo', 9)}, count(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
+def trailing_stats(spark, sf):
+    """Five units of a fifth of all rows each."""
+    e = read(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    e = sequences.trailing(e, ["event_type"], ["ts", "event_id"], {"mean": ("value", "avg"), "lo": ("value", "min"), "n": ("value", "count")}, 50, 5)
+    return rounded(e.select("event_id", "mean", "lo", "n"), 9)
 
 
 @register("one_hot", "SELECT sum((l_returnflag = 'A')::INTEGER)::BIGINT AS a, sum((l_returnflag = 'N')::INTEGER)::BIGINT AS n, sum((l_returnflag = 'R')::INTEGER)::BIGINT AS r FROM lineitem")
@@ -701,20 +732,29 @@ def safe_log_avg(spark, sf):
 
 @register("group_avg_join", "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) + 0.0 AS gap FROM customer")
 def group_avg_join(spark, sf):
-    c = read(spark, sf, "customer")
-    avg = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"))
-    return c.join(avg, "c_nationkey", "left").select("c_custkey", (F.round(F.col("c_acctbal") - F.col("m"), 4) + 0.0).alias("gap"))
+    c = tables.group_join(read(spark, sf, "customer"), ["c_nationkey"], {"m": F.avg("c_acctbal")})
+    return c.select("c_custkey", (F.round(F.col("c_acctbal") - F.col("m"), 4) + 0.0).alias("gap"))
+
+
+@register("group_joins", f"WITH a AS (SELECT *, avg(l_quantity) OVER (PARTITION BY l_suppkey) AS m FROM lineitem), b AS (SELECT *, l_quantity > m AS above FROM a), c AS (SELECT *, count(*) OVER (PARTITION BY l_returnflag, above) AS flagged, max(l_tax) OVER (PARTITION BY l_shipdate) AS most FROM b) SELECT l_orderkey, l_linenumber, {r('l_quantity - m', 'gap', 9)}, flagged, {r('most - l_tax', 'room', 9)} FROM c")
+def group_joins(spark, sf):
+    """Figures of three groupings of all lines; the second groups by what the first found, into few hot groups."""
+    d = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_shipdate", "l_quantity", "l_tax")
+    d = tables.group_join(d, ["l_suppkey"], {"m": F.avg("l_quantity")}).withColumn("above", F.col("l_quantity") > F.col("m"))
+    d = tables.group_joins(d, [(["l_returnflag", "above"], {"flagged": F.count("*")}), (["l_shipdate"], {"most": F.max("l_tax")})])
+    gap, room = F.col("l_quantity") - F.col("m"), F.col("most") - F.col("l_tax")
+    return rounded(d.select("l_orderkey", "l_linenumber", gap.alias("gap"), "flagged", room.alias("room")), 9)
 
 
 @register("group_size_share", "SELECT DISTINCT c_nationkey, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer")
 def group_size_share(spark, sf):
-    return read(spark, sf, "customer").select("c_nationkey", F.count("*").over(Window.partitionBy("c_nationkey")).alias("n")).distinct()
+    return tables.group_size(read(spark, sf, "customer").select("c_nationkey"), ["c_nationkey"], "n").distinct()
 
 
 @register("left_index_join", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def left_index_join(spark, sf):
     c = read(spark, sf, "customer").select("c_custkey", "c_name")
-    return read(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
+    return tables.index_join(read(spark, sf, "orders"), c, {"o_custkey": "c_custkey"}).select("o_orderkey", "c_name")
 
 
 @register("median_binarise", "SELECT sum((o_totalprice > m)::INTEGER)::BIGINT AS n FROM orders, (SELECT median(o_totalprice) AS m FROM orders)")
@@ -724,8 +764,20 @@ def median_binarise(spark, sf):
 
 @register("corr_matrix", "SELECT round(corr(l_quantity, l_extendedprice), 6) + 0.0 AS a, round(corr(l_quantity, l_discount), 6) + 0.0 AS b, round(corr(l_discount, l_tax), 6) + 0.0 AS c FROM lineitem")
 def corr_matrix(spark, sf):
-    k = lambda a, b: F.round(F.corr(a, b), 6) + 0.0
-    return read(spark, sf, "lineitem").agg(k("l_quantity", "l_extendedprice").alias("a"), k("l_quantity", "l_discount").alias("b"), k("l_discount", "l_tax").alias("c"))
+    c = tables.correlations(read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    k = lambda a, b: F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.round("r", 6) + 0.0))
+    return c.agg(k("l_quantity", "l_extendedprice").alias("a"), k("l_quantity", "l_discount").alias("b"), k("l_discount", "l_tax").alias("c"))
+
+
+def pairwise_sql() -> str:
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, {r(f'corr({a}, {b})', 'r')} FROM holed" for a in SIX for b in SIX)
+    return f"WITH holed AS (SELECT {_HOLED} FROM lineitem) {pairs}"
+
+
+@register("corr_pairwise", pairwise_sql())
+def corr_pairwise(spark, sf):
+    """All pairs of six columns, each over the rows that have both."""
+    return rounded(tables.correlations(holed_items(spark, sf), SIX))
 
 
 @register("anti_join_resume", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -737,7 +789,24 @@ def anti_join_resume(spark, sf):
 
 @register("group_stats", "SELECT event_type, round(avg(value), 6) + 0.0 AS mean, round(median(value), 6) + 0.0 AS median, round(min(value), 6) + 0.0 AS lo, round(max(value), 6) + 0.0 AS hi, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def group_stats(spark, sf):
-    return rounded(read(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_distinct("user_id").alias("users")))
+    p = tables.profile(read(spark, sf, "events"), ["event_type"], ["value", "user_id"])
+    of = lambda column, figure: F.max(F.when(F.col("column") == column, F.col(figure)))
+    return rounded(p.groupBy("event_type").agg(*[of("value", c).alias(c) for c in ("mean", "median", "lo", "hi")], of("user_id", "n_distinct").alias("users")))
+
+
+def profile_sql() -> str:
+    number = lambda c: f"SELECT l_returnflag, '{c}' AS \"column\", count({c}) AS n, count(DISTINCT {c}) AS n_distinct, {r(f'avg({c})', 'mean')}, {r(f'median({c})', 'median')}, {r(f'min({c})', 'lo')}, {r(f'max({c})', 'hi')} FROM lineitem GROUP BY l_returnflag"
+    text = "SELECT l_returnflag, 'l_shipdate', count(l_shipdate), count(DISTINCT l_shipdate), NULL, NULL, NULL, NULL FROM lineitem GROUP BY l_returnflag"
+    return " UNION ALL ".join([*[number(c) for c in PROFILED], text])
+
+
+PROFILED = ["l_quantity", "l_extendedprice", "l_partkey"]
+
+
+@register("profile", profile_sql())
+def profile(spark, sf):
+    """Three hot groups of all lines, with exact medians and distinct values."""
+    return rounded(tables.profile(read(spark, sf, "lineitem"), ["l_returnflag"], [*PROFILED, "l_shipdate"]))
 
 
 @register("reservoir_sample")
@@ -795,24 +864,48 @@ def string_cleanup(spark, sf):
 
 @register("coerced_range_filter", "SELECT count(*) AS n, sum(v)::BIGINT AS total FROM (SELECT try_cast(substr(c_name, 10) AS INTEGER) AS v FROM customer) WHERE v BETWEEN 10 AND 900")
 def coerced_range_filter(spark, sf):
-    v = read(spark, sf, "customer").select(F.expr("try_cast(substr(c_name, 10) as int)").alias("v")).where("v BETWEEN 10 AND 900")
-    return v.agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    v = tables.coerce(read(spark, sf, "customer").select(F.substr("c_name", F.lit(10)).alias("v")), ["v"])
+    return tables.in_ranges(v, {"v": (10, 900)}).agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"))
+
+
+@register("recoded_ranges", f"WITH d AS (SELECT c_custkey, CASE WHEN c_acctbal BETWEEN 0 AND 9000 THEN c_acctbal END AS balance, TRY_CAST(substr(c_name, 8 + (c_custkey % 3)::INTEGER) AS DOUBLE) AS number, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS code FROM customer) SELECT c_custkey, {r('balance', 'balance', 2)}, number, code FROM d")
+def recoded_ranges(spark, sf):
+    """Balances out of range blanked, texts that are no numbers coerced to null, segments recoded."""
+    cut = F.substr("c_name", (8 + F.col("c_custkey") % 3).cast("int"))
+    d = tables.coerce(read(spark, sf, "customer").withColumn("number", cut), ["c_acctbal", "number"])
+    d = tables.in_ranges(d, {"c_acctbal": (0, 9000)}, nulls=True, blank=True)
+    code = tables.recode(F.col("c_mktsegment"), {"BUILDING": 1, "MACHINERY": 2}, F.lit(0))
+    return d.select("c_custkey", (F.round("c_acctbal", 2) + 0.0).alias("balance"), "number", code.alias("code"))
 
 
 @register("set_difference", "SELECT DISTINCT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_difference(spark, sf):
-    return read(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).distinct().exceptAll(read(spark, sf, "supplier").where("s_acctbal > 5000").select("s_nationkey").distinct())
+    s = read(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    return tables.difference(read(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), s, ["k"])
 
 
 @register("distinct_keep_first", "SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY o_custkey")
 def distinct_keep_first(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return read(spark, sf, "orders").withColumn("n", F.row_number().over(w)).where("n = 1").select("o_custkey", F.col("o_orderkey").alias("first"))
+    return tables.keep_first(read(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"]).select("o_custkey", F.col("o_orderkey").alias("first"))
+
+
+@register("keep_last_rows", "SELECT o_orderstatus, o_orderpriority, o_orderkey, o_custkey, round(o_totalprice, 2) + 0.0 AS o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def keep_last_rows(spark, sf):
+    """The last whole order of few hot groups."""
+    o = tables.keep_first(read(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], ["o_orderdate", "o_orderkey"], last=True)
+    return rounded(o.select("o_orderstatus", "o_orderpriority", "o_orderkey", "o_custkey", "o_totalprice"), 2)
 
 
 @register("unpivot_stats", "SELECT 'hi' AS k, max(c_acctbal) AS v FROM customer UNION ALL SELECT 'lo', min(c_acctbal) FROM customer")
 def unpivot_stats(spark, sf):
-    return read(spark, sf, "customer").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi")).unpivot([], ["lo", "hi"], "k", "v")
+    return tables.melt(read(spark, sf, "customer").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi")), [], ["lo", "hi"], "k", "v")
+
+
+@register("long_lines", f"WITH holed AS (SELECT l_orderkey AS o, l_linenumber AS i, {_HOLED} FROM lineitem), long AS ({' UNION ALL '.join(f'SELECT o, i, {chr(39)}{c}{chr(39)} AS variable, {c}::DOUBLE AS value FROM holed' for c in SIX)}) SELECT o, i, variable, round(value, 2) + 0.0 AS value FROM long")
+def long_lines(spark, sf):
+    """A row for each of six columns of each line."""
+    key = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("i"), *holed_columns())
+    return rounded(tables.melt(key, ["o", "i"]), 2)
 
 
 @register("arg_extremes", f"{FULL} SELECT arg_min(spec, aic) AS least_aic, arg_max(spec, ll) AS most_ll FROM curve")
