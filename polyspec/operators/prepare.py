@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 import warnings
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,7 +200,16 @@ def finite(column: Column) -> Column:
     return F.when(F.isnan(column) | (F.abs(column) == float("inf")), None).otherwise(column)
 
 
+@cache
+def accented() -> tuple[str, str]:
+    """Lower-case letters of the Latin blocks and the plain ones that they decompose to."""
+    blocks = (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00))
+    plain = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in blocks if chr(c) == chr(c).lower()}
+    folded = {c: p for c, p in plain.items() if len(p) == 1}
+    return "".join(folded), "".join(folded.values())
+
+
 def clean_name(column: Column) -> Column:
-    """Lower-case, trimmed, without accents and apostrophes."""
-    plain = F.translate(F.lower(F.trim(column)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ'’", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_replace(plain, "[^\\x00-\\x7F]", "")
+    """Lower-case, trimmed, without apostrophes; accented letters become plain ones, combining marks and what else isn't ASCII go."""
+    letters, plain = accented()
+    return F.regexp_replace(F.translate(F.lower(F.trim(column)), f"{letters}'", plain), "[^\\x00-\\x7F]", "")

@@ -386,6 +386,19 @@ def boot_poisson(spark, sf):
     return inference.boot_summary(line_fit(spark, sf, draws=100, rng="poisson").boot)
 
 
+@register("boot_lines")
+def boot_lines(spark, sf):
+    """The default 1,000 draws of every specification of all order lines."""
+    s = line_fit(spark, sf, draws=1000).summary_df
+    return s.select("spec_id", F.array_join("spec_name", ",").alias("spec"), "median", "max", "min", "ci_up", "ci_down")
+
+
+@register("boot_lines_inference")
+def boot_lines_inference(spark, sf):
+    """Joint inference from the default 1,000 draws of all order lines."""
+    return line_fit(spark, sf, draws=1000).inference
+
+
 def cluster_sql(draws: int = 20) -> str:
     cols, w = ["y", "x", *Z], "OVER (PARTITION BY g)"
     ctes = [LINES, "dm AS (SELECT g, " + ", ".join(f"{c} - avg({c}) {w} AS {c}" for c in cols) + " FROM lines)"]
@@ -862,6 +875,12 @@ def string_cleanup(spark, sf):
     return read(spark, sf, "part").groupBy(prepare.clean_name(F.regexp_replace("p_brand", "#", " no ")).alias("name")).agg(F.count("*").alias("n"))
 
 
+@register("text_cleanup", "SELECT doc_id, md5(regexp_replace(replace(strip_accents(lower(trim(text, ' '))), chr(39), ''), '[^\\x00-\\x7F]', '', 'g')) AS cleaned FROM documents")
+def text_cleanup(spark, sf):
+    """Whole texts of four languages without accents."""
+    return read(spark, sf, "documents").select("doc_id", F.md5(prepare.clean_name(F.col("text"))).alias("cleaned"))
+
+
 @register("coerced_range_filter", "SELECT count(*) AS n, sum(v)::BIGINT AS total FROM (SELECT try_cast(substr(c_name, 10) AS INTEGER) AS v FROM customer) WHERE v BETWEEN 10 AND 900")
 def coerced_range_filter(spark, sf):
     v = tables.coerce(read(spark, sf, "customer").select(F.substr("c_name", F.lit(10)).alias("v")), ["v"])

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written in each scope that is open in this thread.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where that is unset, a session whose tasks run in the driver's own process
@@ -45,6 +51,8 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append(path)
+        for paths in _scopes.get():
+            paths.append(path)
         out._polyspec_path = path
         return out
 
@@ -56,6 +64,20 @@ class Scratch:
         self.paths = [p for p in self.paths if p not in gone]
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all scratch tables that this thread wrote inside it, after errors too. Frames that read them are of no
+    use then: save results inside (``Result.save``), and load them again after it. Scopes can be nested."""
+    paths: list[str] = []
+    before = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(before)
+        for path in paths:
+            remove(spark, path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a scratch table, which stays until the folder is emptied."""
+    """``df`` as a scratch table, which stays until its ``scope`` ends or, without one, until the folder is emptied."""
     return Scratch(df.sparkSession).write(df, tag)

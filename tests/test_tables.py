@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from polyspec.operators import sequences, tables
+from polyspec.estimators import OLSRobust, Result
+from polyspec.operators import prepare, sequences, tables
+from polyspec.plans import scratch
 
 
 @pytest.fixture(scope="module")
@@ -178,3 +180,29 @@ def test_correlations_over_the_rows_of_each_pair(spark, p):
         assert r.n == (there[:, i] & there[:, j]).sum()
         assert r.r is None if p - 1 in (i, j) else np.isclose(r.r, want.iloc[i, j], atol=1e-9)
     assert all(r.n == 0 and r.r is None for r in tables.correlations(df.where(F.lit(False)), names).collect())
+
+
+def test_names_lose_accents(spark):
+    names = ["  Côte d'Ivoire ", "SÃO TOMÉ", "Łódź", "e\u0301te\u0301", "Đuro ő ą ș ẽ", "’quoted’", "日本 x", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select(prepare.clean_name(F.col("n")), "i").orderBy("i").collect()]
+    assert got == ["cote divoire", "sao tome", "odz", "ete", "uro o a s e", "quoted", " x", "", None]
+
+
+def tables_left(spark):
+    from pathlib import Path
+
+    return {p.name for p in Path(scratch.scratch_dir(spark).removeprefix("file://")).glob("*-*") if any(p.glob("*.parquet"))}
+
+
+def test_a_scope_deletes_what_was_written_in_it(spark, panel, tmp_path):
+    before = tables_left(spark)
+    rows = panel.where("v IS NOT NULL AND NOT isnan(v)").withColumns({"x": F.col("year") + 0.5 * F.col("v"), "z": F.col("id") % 7})
+    with scratch.scope(spark):
+        r = OLSRobust(["v"], ["x"], rows).fit(controls=["z"], draws=5, kfold=2, seed=3).get_results()
+        r.save(str(tmp_path / "r"))
+        assert tables_left(spark) > before
+        with pytest.raises(ZeroDivisionError), scratch.scope(spark):
+            sequences.trailing(panel, ["unit"], ["year"], {"s": ("v", "sum")}, 3).count()
+            1 / 0
+    assert tables_left(spark) == before
+    assert Result.load(spark, str(tmp_path / "r")).summary_df.count() == 2
