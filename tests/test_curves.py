@@ -367,3 +367,30 @@ def test_smoothing_by_blocks_and_density_by_bins(spark):
         assert np.allclose(own["density"], stats.kde(x, own["x"].to_numpy()), atol=2e-4)
     order = panels.curve_order(spark.createDataFrame([(4, 1.0), (2, 1.0), (7, -1.0)], "spec_id long, median double"))
     assert {r.spec_id: r.position for r in order.collect()} == {7: 1, 2: 2, 4: 3}
+
+
+def test_default_draws_of_all_lines_agree_with_a_plain_bootstrap(spark):
+    """The rows' numbers aren't fixed after a join, so the quantiles are held against those of other draws."""
+    from polyspec.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    d = catalog.lines(spark, sf).select("y", "x", *catalog.Z).toPandas().to_numpy(float)
+    rng = np.random.default_rng(2)
+    got = {r.spec: r for r in catalog.boot_lines(spark, sf).collect()}
+    assert len(got) == 8
+    drawn = []
+    for name, r in got.items():
+        use = [1, *[2 + catalog.Z.index(c) for c in name.split(",") if c]]
+        v = np.c_[d[:, use], np.ones(len(d))]
+        b = []
+        for _ in range(400):
+            at = rng.integers(0, len(d), len(d))
+            b.append(np.linalg.lstsq(v[at], d[at, 0], rcond=None)[0][0])
+        drawn += b
+        spread = np.std(b)
+        assert abs(r.median - np.median(b)) < 0.3 * spread
+        assert abs(r.ci_down - np.quantile(b, 0.025)) < 0.5 * spread and abs(r.ci_up - np.quantile(b, 0.975)) < 0.5 * spread
+        assert r.min < r.ci_down < r.median < r.ci_up < r.max
+    i = catalog.boot_lines_inference(spark, sf).first()
+    assert abs(i["median"] - np.median(drawn)) < 0.3 * np.std(drawn)
+    assert abs(i["pos_prop"] - np.mean(np.array(drawn) > 0)) < 0.05 and abs(i["pos_prop"] + i["neg_prop"] - 1) < 1e-9
