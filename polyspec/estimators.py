@@ -22,6 +22,8 @@ FULL_SCHEMA = (
     "spec_id long, y string, controls array<string>, predictors array<string>, b array<double>, se array<double>, p array<double>, nobs long, ncoef int, "
     "beta double, pval double, r2 double, ll_raw double, ll_null double, ll_gain double, ll_gain_per_obs double, aic double, bic double, hqic double, is_singular boolean, converged boolean"
 )
+#: Equal rows of a logistic model are joined if at most one in this many then stays.
+SPARED = 2
 BOOT_SCHEMA = "spec_id long, draw int, beta double, p double, r2 double, beta_null double, p_null double"
 
 
@@ -343,18 +345,25 @@ class LRobust(Base):
         """full, oos and boot. All needs (sets of complete rows), specifications, folds and draws go through the same steps."""
         spark, bits, needs, y = rows.sparkSession, len(curve.holes), curve.needs(), m.y[0]
         rows = rows.withColumn("__pattern", patterns.null_mask(curve.holes))
-        n_all = rows.count()
+        known = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("__pattern", *[f"`{c}`" for c in curve.columns]))).first()
+        n_all, kinds = known[0], known[1] * max(1, m.kfold) ** len(needs)
         sizes = patterns.counts(rows, needs, bits) if bits else dict.fromkeys(needs, n_all)
         if not all(sizes.values()):
             raise ValueError("no complete rows")
-        grams = patterns.fold_grams(rows, curve.columns, needs, bits, {n: np.zeros(0, np.int64) for n in needs})
+        if len(needs) == 1:
+            grams = moments.gram(rows.where(F.col("__pattern").bitwiseAND(F.lit(needs[0])) == 0), curve.columns).withColumn("need", F.lit(needs[0]).cast("long"))
+        else:
+            grams = patterns.fold_grams(rows, curve.columns, needs, bits, {n: np.zeros(0, np.int64) for n in needs})
         y_at, x_at, z_at = curve.places()
         for r in grams.collect():  # a row per need
             g = moments.unpack(np.array(r.gram, float), len(curve.columns))
             able = [i for i, c in enumerate(curve.controls) if not patterns.need_of([c], curve.holes) & ~r.need]
             if pairs := ols.collinear_pairs(g, [*x_at, *[z_at[i] for i in able]], [*curve.x, *[curve.controls[i] for i in able]]):
                 raise ValueError(f"perfectly collinear columns: {pairs}")
-        rows = materialize(self._with_folds(rows, m, needs), "logit")
+        rows = self._with_folds(rows, m, needs)
+        if not m.draws and kinds * SPARED <= n_all:
+            rows = logit.equal_rows(rows, curve.columns)
+        rows = materialize(rows, "logit")
         columns = [*curve.x, *curve.controls]
         place = {c: i for i, c in enumerate(columns)}
         rate = {n: (m.sample_size or n_all) / sizes[n] for n in needs}
@@ -392,6 +401,9 @@ class LRobust(Base):
             sizes = rows.select(F.explode(served).alias("need"), F.col(f"`{m.group}`").alias("__group")).groupBy("need", "__group").agg(F.count("*").alias("size"))
             folds = by_need(groups.dealt(sizes, m.kfold), "__group")
             rows = rows.join(folds, F.col(f"`{m.group}`") == F.col("__group"), "left").drop("__group")
+        elif len(needs) == 1:  # rows that lack a column are in no model
+            whole = rows.where(F.col("__pattern").bitwiseAND(F.lit(needs[0])) == 0).withColumns({"__y": F.col(f"`{m.y[0]}`"), "need": F.lit(needs[0]).cast("long")})
+            return prepare.stratified_folds(whole, m.kfold, m.seed).withColumn("folds", F.array("fold")).drop("__y", "need", "fold")
         else:
             many = rows.select("rid", F.col(f"`{m.y[0]}`").alias("__y"), F.explode(served).alias("need"))
             rows = rows.join(by_need(prepare.stratified_folds(many, m.kfold, m.seed), "rid"), "rid", "left")

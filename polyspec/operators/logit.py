@@ -6,7 +6,8 @@ over the rows, by partial sums of row slices, and solves for the next coefficien
 has converged stays behind in its step's table. Blocks of models meet slices of rows by shuffle; where one block holds all
 open models, they travel to the rows instead, which then stay where they are. The driver knows how many models are open.
 
-Weights of a draw are Poisson numbers of a counter-based hash, so any task can make them again.
+Weights of a draw are Poisson numbers of a counter-based hash, so any task can make them again. Without draws, rows that are
+equal in all that models read count as one row, as often as they occur (``equal_rows``).
 """
 
 from __future__ import annotations
@@ -58,7 +59,14 @@ class Rows:
         self.v = np.nan_to_num(pdf[columns].to_numpy(float, na_value=np.nan).reshape(len(pdf), len(columns)))
         self.y = np.nan_to_num(pdf[y].to_numpy(float, na_value=np.nan))
         self.unit, self.pattern = pdf["unit"].to_numpy(np.int64), pdf["__pattern"].to_numpy(np.int64)
-        self.folds = np.stack(pdf["folds"].to_numpy()) if "folds" in pdf else None
+        self.folds = np.concatenate(pdf["folds"].to_list()).reshape(len(pdf), -1) if "folds" in pdf else None
+        self.times = pdf["__times"].to_numpy(float) if "__times" in pdf else np.ones(len(pdf))
+
+
+def equal_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with those alike in pattern, columns and folds as one, and how often each occurs; of no use to draws."""
+    keys = [c for c in ("__pattern", "folds") if c in rows.columns]
+    return rows.groupBy(*keys, *[f"`{c}`" for c in columns]).agg(F.min("unit").alias("unit"), F.count("*").cast("double").alias("__times"))
 
 
 def grouped(models: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -83,7 +91,7 @@ def step_sums(rows: Rows, models: pd.DataFrame, seed: int) -> Iterator[tuple[np.
         if not len(x):
             continue
         beta = np.stack(part["beta"].to_numpy())
-        w = np.ones((len(x), len(part)))
+        w = np.repeat(rows.times[ok][:, None], len(part), axis=1)
         draw, leave = part["draw"].to_numpy(), part["leave"].to_numpy()
         if draw[0] >= 0:
             w = poisson(uniform(seed, rows.unit[ok], draw, int(part["salt"].iloc[0])), float(part["rate"].iloc[0]))
@@ -158,10 +166,10 @@ def one_block(rows: DataFrame, y: str, columns: list[str], own: pd.DataFrame, le
 
 def newton(rows: DataFrame, y: str, columns: list[str], models: DataFrame, width: int, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """States of all models when they stop. rows: unit, __pattern, y, columns, and folds (an array by need) where models leave
-    one out; a written table. ``width``: coefficients of the largest model."""
+    one out, and __times where rows stand for several; a written table. ``width``: coefficients of the largest model."""
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     length = 3 + width + width * (width + 1) // 2
-    used = [c for c in rows.columns if c in {"unit", "__pattern", "folds", y, *columns}]
+    used = [c for c in rows.columns if c in {"unit", "__pattern", "folds", "__times", y, *columns}]
     rows = rows.select(*[f"`{c}`" for c in used])
     few = models.limit(block + 1).toPandas()
     if len(few) <= block:
@@ -247,15 +255,15 @@ def fold_metrics(rows: DataFrame, y: str, columns: list[str], fitted: DataFrame,
                 here = fold == r.leave
                 if not here.any():
                     continue
-                e, s, share = x[here] @ np.asarray(r.beta), t[here], r.n_pos / r.n
+                e, s, share, times = x[here] @ np.asarray(r.beta), t[here], r.n_pos / r.n, data.times[ok][here]
                 p = 1 / (1 + np.exp(-np.clip(e, -700, 700)))
-                loglik = lambda q, c: np.sum(s * np.log(np.clip(q, c, 1 - c)) + (1 - s) * np.log(np.clip(1 - q, c, 1 - c)))  # noqa: B023, E731
-                out.append((r.spec_id, r.leave, len(s), s.sum(), np.sum((s - p) ** 2), np.sum((s - share) ** 2), loglik(p, 1e-15), loglik(np.full(len(s), share), 1e-15), loglik(p, 1e-4)))
+                loglik = lambda q, c: times @ (s * np.log(np.clip(q, c, 1 - c)) + (1 - s) * np.log(np.clip(1 - q, c, 1 - c)))  # noqa: B023, E731
+                out.append((r.spec_id, r.leave, times.sum(), times @ s, times @ (s - p) ** 2, times @ (s - share) ** 2, loglik(p, 1e-15), loglik(np.full(len(s), share), 1e-15), loglik(p, 1e-4)))
         return pd.DataFrame(out, columns=["spec_id", "fold", *SCORES])
 
     ids = [r[0] for r in fitted.select((F.col("model") / block).cast("long").alias("b")).distinct().collect()]
     tasks = int(np.clip(slices * len(ids), spark.sparkContext.defaultParallelism, 10_000))
-    used = rows.select(*[f"`{c}`" for c in rows.columns if c in {"unit", "__pattern", "folds", y, *columns}])
+    used = rows.select(*[f"`{c}`" for c in rows.columns if c in {"unit", "__pattern", "folds", "__times", y, *columns}])
     if len(ids) == 1:
         own = fitted.toPandas()  # a block at most
         parts = used.mapInPandas(lambda it: (meet(pdf, own) for pdf in it if len(pdf)), schema)

@@ -116,11 +116,11 @@ def numbered(dealt: DataFrame, name: str, order: list[str]) -> DataFrame:
     return dealt.select("*", part).join(F.broadcast(shift), keys).withColumn(name, F.col("__m") + F.col("__shift")).drop("__m", "__shift", *keys)
 
 
-def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> DataFrame:
+def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx", ranges: int | None = None) -> DataFrame:
     """Consecutive numbers from 0 in the given order without a global window: a range sort is written once, and
-    each part's rows are shifted by the sizes of the parts before it."""
+    each part's rows are shifted by the sizes of the parts before it. ``ranges``: how many of the first keys parts are cut by."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+    dealt = df.repartitionByRange(n, *order_by[:ranges]).sortWithinPartitions(*order_by)
     return numbered(materialize(dealt.withColumn("__m", F.monotonically_increasing_id()), "sorted"), name, [])
 
 
@@ -156,13 +156,16 @@ def stratified_folds(df: DataFrame, k: int, seed: int) -> DataFrame:
     rows, before = [], 0
     for need in sorted(classes):
         for y in sorted(classes[need]):
-            rows.append((need, y, before))
+            rows.append((need, y, len(rows), before))
             before += classes[need][y]
-    out = with_row_index(df, ["need", "__y", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rid").cast("string"))), "rid"])
     kind = df.schema["__y"].dataType.simpleString()
-    first = df.sparkSession.createDataFrame(rows, f"need long, `__y` {kind}, first long")
-    out = out.join(F.broadcast(first), ["need", "__y"])
-    return out.withColumn("fold", F.pmod(F.col("row_idx") - F.col("first"), F.lit(k)).cast("int")).drop("row_idx", "first")
+    place = df.sparkSession.createDataFrame(rows, f"need long, `__y` {kind}, __class long, first long")
+    # Class and first digits of the digest as one number, which the sort compares; the digest is only made again on ties.
+    digest, digits = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rid").cast("string"))), min(15, (62 - len(rows).bit_length()) // 4)
+    key = F.col("__class") * F.lit(16**digits) + F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+    keyed = df.join(F.broadcast(place), ["need", "__y"]).withColumn("__key", key)
+    out = with_row_index(keyed, [F.col("__key"), digest, F.col("rid")], ranges=1)
+    return out.withColumn("fold", F.pmod(F.col("row_idx") - F.col("first"), F.lit(k)).cast("int")).drop("row_idx", "first", "__class", "__key")
 
 
 def stratified_fold(df: DataFrame, y: str, k: int, seed: int, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from polyspec import estimators
 from polyspec.operators import inference, moments, ols, panels, patterns, prepare, robust, sequences, tables
 from polyspec.plans import space, sqlgen
+from polyspec.plans.scratch import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -460,7 +461,8 @@ def logit_sql() -> str:
 
 
 def logit_fit(spark, sf, controls, **kw):
-    return estimators.LRobust(["y"], ["x"], logit_data(spark, sf)).fit(controls=controls, **({"draws": 0, "kfold": 0, "seed": SEED, "shap": False} | kw)).get_results()
+    rows = materialize(logit_data(spark, sf), "lines")  # a fit reads its rows several times: one join
+    return estimators.LRobust(["y"], ["x"], rows).fit(controls=controls, **({"draws": 0, "kfold": 0, "seed": SEED, "shap": False} | kw)).get_results()
 
 
 @register("logit_full", logit_sql())

@@ -1,5 +1,6 @@
 """Curves against plain fits: null patterns, lattices, folds, draws."""
 
+import hashlib
 import warnings
 
 import numpy as np
@@ -394,3 +395,66 @@ def test_default_draws_of_all_lines_agree_with_a_plain_bootstrap(spark):
     i = catalog.boot_lines_inference(spark, sf).first()
     assert abs(i["median"] - np.median(drawn)) < 0.3 * np.std(drawn)
     assert abs(i["pos_prop"] - np.mean(np.array(drawn) > 0)) < 0.05 and abs(i["pos_prop"] + i["neg_prop"] - 1) < 1e-9
+
+
+def plain_metric(metric, y, p, share):
+    """A held-out metric from outcomes, probabilities and the other folds' share of 1s."""
+    from polyspec.functions import stats
+
+    ll = lambda q, c=1e-15: np.sum(y * np.log(np.clip(q, c, 1 - c)) + (1 - y) * np.log(np.clip(1 - q, c, 1 - c)))
+    if metric == "imv":
+        q = y.mean()
+        return stats.imv(ll(p, 1e-4) / len(y), q * np.log(q) + (1 - q) * np.log(1 - q))
+    null = np.full(len(y), share)
+    return {"rmse": np.sqrt(np.mean((y - p) ** 2)), "pseudo-r2": 1 - np.sum((y - p) ** 2) / np.sum((y - null) ** 2), "mcfaddens-r2": 1 - ll(p) / ll(null), "cross-entropy": -ll(p) / len(y)}[metric]
+
+
+@pytest.mark.parametrize("holes", [False, True])
+@pytest.mark.parametrize("metric", ["imv"])
+def test_equal_rows_count_as_one_in_logistic_steps(spark, monkeypatch, metric, holes):
+    """Folds by the plain rule, and held-out metrics from whole rows; the steps read each kind of row once."""
+    rng = np.random.default_rng(8)
+    d = pd.DataFrame({"x": rng.integers(0, 3, 700) / 2, "z": rng.integers(0, 2, 700).astype(float)})
+    d["y"] = (rng.uniform(size=700) < 1 / (1 + np.exp(1 - 2 * d["x"] + d["z"]))).astype(float)
+    if holes:
+        d.loc[::9, "x"] = np.nan
+    read = []
+    newton = logit.newton
+    monkeypatch.setattr(logit, "newton", lambda rows, *a, **kw: (read.append(rows.count()), newton(rows, *a, **kw))[1])
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        r = LRobust(["y"], ["x"], spark.createDataFrame(d)).fit(controls=["z"], draws=0, kfold=3, seed=7, oos_metric=metric, shap=False).get_results()
+    assert len(read) == 1 and read[0] <= 2 * 3 * 2 * 3  # outcomes, x, z and folds
+    d = d.sort_values(["y", "x", "z"], na_position="first").reset_index(drop=True)
+    d["rid"] = np.arange(len(d))
+    d = d.dropna()
+    d["key"] = [hashlib.md5(f"7|{i}".encode()).hexdigest() for i in d["rid"]]
+    d["fold"] = d.sort_values(["key", "rid"]).groupby("y").cumcount() % 3
+    got = {(tuple(s.controls), o.fold): o.metric for s in r.full.collect() for o in r.oos.where(F.col("spec_id") == s.spec_id).collect()}
+    assert len(got) == 6 and {s.nobs for s in r.full.collect()} == {len(d)}
+    for (controls, fold), value in got.items():
+        v = np.c_[d[["x", *controls]], np.ones(len(d))]
+        train, b = (d["fold"] != fold).to_numpy(), np.zeros(v.shape[1])
+        for _ in range(20):
+            p = 1 / (1 + np.exp(-v[train] @ b))
+            b += np.linalg.solve((v[train] * (p * (1 - p))[:, None]).T @ v[train], v[train].T @ (d["y"][train] - p))
+        y = d["y"].to_numpy()
+        assert np.isclose(value, plain_metric(metric, y[~train], 1 / (1 + np.exp(-v[~train] @ b)), y[train].mean()), atol=1e-8)
+
+
+def test_rows_of_many_kinds_are_left_apart(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    d = pd.DataFrame({"x": rng.normal(size=300), "y": rng.integers(0, 2, 300).astype(float)})
+    monkeypatch.setattr(logit, "equal_rows", lambda *_: pytest.fail("no two rows are equal"))
+    r = LRobust(["y"], ["x"], spark.createDataFrame(d)).fit(controls=[], draws=0, kfold=3, shap=False).get_results()
+    assert r.full.first().nobs == 300 and r.oos.count() == 3
+
+
+def test_rows_without_draws_or_folds_are_joined_by_kind(spark):
+    rng = np.random.default_rng(10)
+    d = pd.DataFrame({"x": rng.integers(0, 4, 500).astype(float), "y": rng.integers(0, 2, 500).astype(float)})
+    one = LRobust(["y"], ["x"], spark.createDataFrame(d)).fit(controls=[], draws=0, kfold=0, shap=False).get_results().full.first()
+    x = np.c_[d["x"], np.ones(500)]
+    p = 1 / (1 + np.exp(-x @ np.array(one.b)))
+    assert one.nobs == 500 and np.abs(x.T @ (d["y"] - p)).max() < 1e-6
+    assert np.allclose(one.se, np.sqrt(np.diag(np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x))))
