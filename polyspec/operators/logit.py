@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyspec.functions.stats import imv, norm_sf
-from polyspec.operators.moments import add_up, poisson, uniform
+from polyspec.operators.moments import add_up, mixed, poisson_of
 from polyspec.plans.scratch import Scratch
 
 MAX_STEPS, TOLERANCE = 35, 1e-8
@@ -94,7 +94,7 @@ def step_sums(rows: Rows, models: pd.DataFrame, seed: int) -> Iterator[tuple[np.
         w = np.repeat(rows.times[ok][:, None], len(part), axis=1)
         draw, leave = part["draw"].to_numpy(), part["leave"].to_numpy()
         if draw[0] >= 0:
-            w = poisson(uniform(seed, rows.unit[ok], draw, int(part["salt"].iloc[0])), float(part["rate"].iloc[0]))
+            w = poisson_of(mixed(seed, rows.unit[ok], draw, int(part["salt"].iloc[0])), float(part["rate"].iloc[0]))
         if leave[0] >= 0:
             w = w * (rows.folds[ok][:, int(part["need_at"].iloc[0])][:, None] != leave[None, :])
         eta = x @ beta.T

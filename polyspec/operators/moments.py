@@ -9,6 +9,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,10 @@ from polyspec.plans.scratch import materialize
 
 #: Widest Gram that goes through generated code; a wider one is summed by numpy per Arrow batch.
 NATIVE_COLUMNS = 12
-DRAWS_AT_ONCE = 256
+#: Draws and rows whose counts are made at once: their arrays stay in a core's cache.
+DRAWS_AT_ONCE, ROWS_AT_ONCE = 256, 512
+#: Leading bits that a table of Poisson counts is read by, its largest rate, and its mark where these bits don't tell the count.
+TABLE_BITS, TABLE_RATE, UNTOLD = 16, 64.0, 255
 #: Bytes of Grams that a task holds at most, and further tries of a draw of groups.
 HELD_BYTES, RETRIES = 1 << 26, 8
 #: Picks of groups in a run of one draw.
@@ -93,14 +97,22 @@ def add_up(parts: DataFrame, keys: list[str], length: int, times: str | None = N
     return out.drop("__all")
 
 
-def uniform(seed: int, row: np.ndarray, draw: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Counter-based uniforms: a pure function of seed, row, draw and salt, the same on any executor and attempt."""
+def mixed(seed: int, row: np.ndarray, draw: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Counter-based 64-bit numbers: a pure function of seed, row, draw and salt, the same on any executor and attempt."""
     with np.errstate(over="ignore"):
-        x = row.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + draw.astype(np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
-        x += np.uint64(salt) * np.uint64(0xA24BAED4963EE407)
+        by_draw = draw.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed) + np.uint64(salt) * np.uint64(0xA24BAED4963EE407)
+        x = np.add.outer(row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), by_draw)
+        spare = np.empty_like(x)
         for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
-        return (x ^ (x >> np.uint64(31))) * 2.0**-64
+            x ^= np.right_shift(x, np.uint64(shift), out=spare)
+            x *= np.uint64(times)
+        x ^= np.right_shift(x, np.uint64(31), out=spare)
+        return x
+
+
+def uniform(seed: int, row: np.ndarray, draw: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Counter-based uniforms, of ``mixed`` numbers."""
+    return mixed(seed, row, draw, salt) * 2.0**-64
 
 
 def poisson(u: np.ndarray, rate: float) -> np.ndarray:
@@ -122,6 +134,25 @@ def poisson(u: np.ndarray, rate: float) -> np.ndarray:
     return out
 
 
+@cache
+def count_table(rate: float) -> np.ndarray:
+    """Poisson counts by the leading bits of a number, UNTOLD where a change of the count lies within them."""
+    at = poisson(np.arange((1 << TABLE_BITS) + 1) * 2.0**-TABLE_BITS, rate)
+    return np.where(at[:-1] == at[1:], at[:-1], UNTOLD).astype(np.uint8)
+
+
+def poisson_of(x: np.ndarray, rate: float) -> np.ndarray:
+    """``poisson`` of the uniforms of ``mixed`` numbers, read from a table by their leading bits; the few numbers whose leading
+    bits don't tell the count are inverted."""
+    if not 0 <= rate <= TABLE_RATE:
+        return poisson(x * 2.0**-64, rate)
+    count = count_table(rate).take((x >> np.uint64(64 - TABLE_BITS)).view(np.int64), mode="clip")
+    out = count.astype(float)
+    untold = np.flatnonzero(count == UNTOLD)
+    out.reshape(-1)[untold] = poisson(x.reshape(-1)[untold] * 2.0**-64, rate)
+    return out
+
+
 @dataclass(frozen=True)
 class Unit:
     """What is drawn together: the rows complete for ``need``, each a Poisson number of times of mean ``rate``, by counters
@@ -151,28 +182,31 @@ def poisson_grams(df: DataFrame, columns: list[str], units: list[Unit], draws: i
 
     def add(total: dict[int, np.ndarray], block: int, pdf: pd.DataFrame) -> None:
         own, lo, hi = blocks[block]
-        v = np.c_[np.nan_to_num(pdf[columns].to_numpy(float, na_value=np.nan)), np.ones(len(pdf))]
-        rows, holes = pdf[row_id].to_numpy(np.int64), pdf[pattern].to_numpy(np.int64)
-        for s in range(lo, hi, DRAWS_AT_ONCE):
-            d = np.arange(s, min(hi, s + DRAWS_AT_ONCE))
-            at = slice(s - lo, s - lo + len(d))
-            weights: dict[tuple, np.ndarray] = {}
-            u, salt = None, None
-            for unit in own:
-                if unit.salt != salt or u is None:
-                    u, salt = uniform(seed, rows, d, unit.salt), unit.salt
-                    weights.clear()
-                if unit.rate not in weights:
-                    weights[unit.rate] = poisson(u, unit.rate)
-                w, x = weights[unit.rate], v
-                complete = (holes & unit.need) == 0
-                if not complete.all():
-                    w, x = w[complete], v[complete]
-                if not len(x):
-                    continue
-                some = entries.get(unit.columns, slice(None))
-                sums = total.setdefault(unit.key, np.zeros((hi - lo, len(i))))
-                sums[at, some] += w.T @ (x[:, i[some]] * x[:, j[some]])
+        values = np.c_[np.nan_to_num(pdf[columns].to_numpy(float, na_value=np.nan)), np.ones(len(pdf))]
+        numbers, patterns = pdf[row_id].to_numpy(np.int64), pdf[pattern].to_numpy(np.int64)
+        for r in range(0, len(pdf), ROWS_AT_ONCE):
+            v, rows, holes = (a[r : r + ROWS_AT_ONCE] for a in (values, numbers, patterns))
+            products = v[:, i] * v[:, j]
+            for s in range(lo, hi, DRAWS_AT_ONCE):
+                d = np.arange(s, min(hi, s + DRAWS_AT_ONCE))
+                at = slice(s - lo, s - lo + len(d))
+                weights: dict[tuple, np.ndarray] = {}
+                u, salt = None, None
+                for unit in own:
+                    if unit.salt != salt or u is None:
+                        u, salt = mixed(seed, rows, d, unit.salt), unit.salt
+                        weights.clear()
+                    if unit.rate not in weights:
+                        weights[unit.rate] = poisson_of(u, unit.rate)
+                    w, x = weights[unit.rate], products
+                    complete = (holes & unit.need) == 0
+                    if not complete.all():
+                        w, x = w[complete], x[complete]
+                    if not len(x):
+                        continue
+                    some = entries.get(unit.columns, slice(None))
+                    sums = total.setdefault(unit.key, np.zeros((hi - lo, len(i))))
+                    sums[at, some] += w.T @ x[:, some]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}

@@ -458,3 +458,29 @@ def test_rows_without_draws_or_folds_are_joined_by_kind(spark):
     p = 1 / (1 + np.exp(-x @ np.array(one.b)))
     assert one.nobs == 500 and np.abs(x.T @ (d["y"] - p)).max() < 1e-6
     assert np.allclose(one.se, np.sqrt(np.diag(np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x))))
+
+
+@pytest.mark.parametrize("rate", [0, 0.3, 1.0, 1.4, 7.5, 64, 65, 1000])
+def test_counts_by_leading_bits_are_those_of_whole_numbers(rate):
+    x = moments.mixed(3, np.arange(3000), np.arange(40), 2)
+    assert (x * 2.0**-64 == moments.uniform(3, np.arange(3000), np.arange(40), 2)).all()
+    assert (moments.poisson_of(x, rate) == moments.poisson(x * 2.0**-64, rate)).all()
+    ends = np.arange(1 << moments.TABLE_BITS, dtype=np.uint64) << np.uint64(64 - moments.TABLE_BITS)
+    ends = np.stack([ends, ends + np.uint64((1 << 64 - moments.TABLE_BITS) - 1)])
+    assert (moments.poisson_of(ends, rate) == moments.poisson(ends * 2.0**-64, rate)).all()
+    if rate == 1:
+        assert (moments.count_table(rate) == moments.UNTOLD).sum() < 20
+
+
+def test_draws_are_made_in_blocks_of_rows_and_draws(spark, monkeypatch):
+    df = spark.range(700, numPartitions=1).select(F.col("id").alias("rid"), F.lit(0).cast("long").alias("__pattern"), (F.col("id") % 5).cast("double").alias("y"))
+    units = [moments.Unit(0, 0, 1.0)]
+    made = lambda: {r.draw: r.gram for r in moments.poisson_grams(df, ["y"], units, 40, 3).collect()}
+    whole = made()
+    monkeypatch.setattr(moments, "ROWS_AT_ONCE", 64)
+    monkeypatch.setattr(moments, "DRAWS_AT_ONCE", 16)
+    parts = made()
+    w = moments.poisson(moments.uniform(3, np.arange(700), np.arange(40)), 1.0)
+    y = np.arange(700) % 5.0
+    for d in range(40):
+        assert np.allclose(whole[d], [w[:, d] @ y**2, w[:, d] @ y, w[:, d].sum()]) and np.allclose(whole[d], parts[d])
