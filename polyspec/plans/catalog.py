@@ -64,7 +64,8 @@ def specs(controls: list[str]) -> list[tuple[int, tuple[str, ...]]]:
 
 
 def line_fit(spark, sf, **kw) -> estimators.Result:
-    return estimators.OLSRobust(["y"], ["x"], lines(spark, sf)).fit(controls=Z, **({"draws": 0, "kfold": 0, "seed": SEED, "shap": False} | kw)).get_results()
+    rows = materialize(lines(spark, sf).select("y", "x", *Z, "g"), "lines")  # a fit reads its rows several times: one join
+    return estimators.OLSRobust(["y"], ["x"], rows).fit(controls=Z, **({"draws": 0, "kfold": 0, "seed": SEED, "shap": False} | kw)).get_results()
 
 
 def people_fit(spark, sf, **kw) -> estimators.Result:
@@ -461,7 +462,7 @@ def logit_sql() -> str:
 
 
 def logit_fit(spark, sf, controls, **kw):
-    rows = materialize(logit_data(spark, sf), "lines")  # a fit reads its rows several times: one join
+    rows = materialize(logit_data(spark, sf), "lines")
     return estimators.LRobust(["y"], ["x"], rows).fit(controls=controls, **({"draws": 0, "kfold": 0, "seed": SEED, "shap": False} | kw)).get_results()
 
 

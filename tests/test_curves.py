@@ -484,3 +484,19 @@ def test_draws_are_made_in_blocks_of_rows_and_draws(spark, monkeypatch):
     y = np.arange(700) % 5.0
     for d in range(40):
         assert np.allclose(whole[d], [w[:, d] @ y**2, w[:, d] @ y, w[:, d].sum()]) and np.allclose(whole[d], parts[d])
+
+
+def test_fits_of_joined_lines_read_them_from_one_written_table(spark, monkeypatch):
+    from polyspec import estimators
+    from polyspec.plans import catalog
+
+    sf, read = "/root/testdata/sf0.001", []
+
+    def seen(data, columns):
+        read.append({f.rsplit("/", 2)[-2].split("-")[0] for f in data.inputFiles()})
+
+    monkeypatch.setattr(estimators.spec, "warn_missing", seen)
+    i = catalog.boot_lines_inference(spark, sf).first()
+    assert read == [{"lines"}] and i["median"] is not None
+    catalog.queries()["logit_rmse"](spark, sf)
+    assert read == [{"lines"}] * 2
