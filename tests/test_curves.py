@@ -410,7 +410,7 @@ def plain_metric(metric, y, p, share):
 
 
 @pytest.mark.parametrize("holes", [False, True])
-@pytest.mark.parametrize("metric", ["imv", "cross-entropy", "pseudo-r2", "rmse"])
+@pytest.mark.parametrize("metric", ["imv", "cross-entropy", "pseudo-r2", "rmse", "mcfaddens-r2"])
 def test_equal_rows_count_as_one_in_logistic_steps(spark, monkeypatch, metric, holes):
     """Folds by the plain rule, and held-out metrics from whole rows; the steps read each kind of row once."""
     rng = np.random.default_rng(8)
