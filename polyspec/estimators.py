@@ -317,41 +317,64 @@ class LRobust(Base):
     def multiple_y(self, *_, **__):
         raise NotImplementedError("the logistic model takes one outcome")
 
-    def fit(self, *, controls, group=None, draws=None, sample_size=None, kfold=None, oos_metric=None, n_cpu=None, seed=None, rescale_x=False, rescale_y=False, rescale_z=False, threshold=1_000_000, mode=None, shap=True) -> LRobust:
-        """``mode``: "independent" draws (the default) are each specification's own, "shared" ones the same rows for all."""
+    def fit(self, *, controls, group=None, draws=None, sample_size=None, kfold=None, oos_metric=None, n_cpu=None, seed=None, rescale_x=False, rescale_y=False, rescale_z=False, threshold=1_000_000, mode=None, shap=True, times=None) -> LRobust:
+        """``mode``: "independent" draws (the default) are each specification's own, "shared" ones the same rows for all.
+        ``times``: a column with whole numbers, of how many equal rows each row stands for."""
         if mode not in (None, "shared", "independent"):
             raise ValueError("mode must be shared or independent")
         spec.string_list("controls", controls, empty=True)
         df, y, x, z = self.data, self.y, self.x, controls
         if len(y) > 1:
             raise NotImplementedError("the logistic model takes one outcome")
-        m = spec.resolve(Family.LOGIT, df, df.count(), y, x, controls=z, group=group, draws=draws, kfold=kfold, oos_metric=oos_metric, n_cpu=n_cpu, seed=seed, sample_size=sample_size, threshold=threshold)
+        if times and (times in {*y, *x, *z, group} or times not in df.columns):
+            raise ValueError("times must be a column of the data beside those of the model")
+        if times:
+            df = df.where(F.col(f"`{times}`") > 0)
+        n_rows = df.agg(F.coalesce(F.sum(f"`{times}`"), F.lit(0)).cast("long")).first()[0] if times else df.count()
+        m = spec.resolve(Family.LOGIT, df, n_rows, y, x, controls=z, group=group, draws=draws, kfold=kfold, oos_metric=oos_metric, n_cpu=n_cpu, seed=seed, sample_size=sample_size, threshold=threshold)
         if group:
             warnings.warn("group only shapes the folds and the bootstrap of a logistic model", UserWarning, stacklevel=2)
         df = prepare.doubles(df, [*dict.fromkeys([*y, *x, *z])])
-        df = prepare.rescale(df, [*(y if rescale_y else []), *(x if rescale_x else []), *(z if rescale_z else [])])
+        scaled = [*(y if rescale_y else []), *(x if rescale_x else []), *(z if rescale_z else [])]
+        if times and scaled:
+            df, times = prepare.unfolded(df, times), None
+        df = prepare.rescale(df, scaled)
+        joined = None if group or m.draws or shap else self._joined(df, [*dict.fromkeys([*y, *x, *z])], z, m.kfold, times)
+        df = joined if joined is not None else prepare.unfolded(df, times) if times else df
         df, y, x, z = prepare.single_constant(df, y, x, z)
         m = ModelSpec(Family.LOGIT, y, x, z, group, m.draws, m.kfold, m.oos_metric, m.seed, sample_size)
         columns = [*y, *x, *z]
-        keep = df.select(*[f"`{c}`" for c in dict.fromkeys([*columns, *([group] if group else [])])])
-        rows = prepare.with_row_index(keep, [F.col(f"`{c}`") for c in columns], "rid")
+        keep = df.select(*[f"`{c}`" for c in dict.fromkeys([*columns, *([group] if group else []), *([] if joined is None else ["__times"])])])
+        order = [F.col(f"`{c}`") for c in columns]
+        rows = prepare.with_row_index(keep, order, "rid") if joined is None else prepare.first_rows(keep, order, "__times", "rid")
         curve = lattice.Space(columns, y, x, z, patterns.holes_of(rows, columns), None)
         self.results = Result(m, *self._fit_curve(rows, curve, m, mode != "shared"))
         if shap:
             self.results.shap = panels.logit_shap(rows, y[0], [c for c in [*x, *z] if c != "const"], m.seed)
         return self
 
+    def _joined(self, df: DataFrame, columns: list[str], controls: list[str], kfold: int, times: str | None) -> DataFrame | None:
+        """``df`` with equal rows as one, so that nothing but their folds is ever done row by row: where they are few or were
+        joined before, and all specifications have the same complete rows. Else None."""
+        if not times:
+            known = df.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*[F.coalesce(f"`{c}`", F.lit(float("nan"))) for c in columns]))).first()
+            if known[1] * max(1, kfold) * SPARED > known[0]:
+                return None
+        kinds = materialize(logit.equal_rows(df, columns, times), "joined")
+        return None if controls and patterns.holes_of(kinds, controls) else kinds
+
     def _fit_curve(self, rows: DataFrame, curve: lattice.Space, m: ModelSpec, apart: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
         """full, oos and boot. All needs (sets of complete rows), specifications, folds and draws go through the same steps."""
         spark, bits, needs, y = rows.sparkSession, len(curve.holes), curve.needs(), m.y[0]
         rows = rows.withColumn("__pattern", patterns.null_mask(curve.holes))
-        known = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("__pattern", *[f"`{c}`" for c in curve.columns]))).first()
+        times = "__times" if "__times" in rows.columns else None
+        known = rows.agg(F.sum(times).cast("long") if times else F.count("*"), F.approx_count_distinct(F.xxhash64("__pattern", *[f"`{c}`" for c in curve.columns]))).first()
         n_all, kinds = known[0], known[1] * max(1, m.kfold) ** len(needs)
-        sizes = patterns.counts(rows, needs, bits) if bits else dict.fromkeys(needs, n_all)
+        sizes = patterns.counts(rows, needs, bits, times=times) if bits else dict.fromkeys(needs, n_all)
         if not all(sizes.values()):
             raise ValueError("no complete rows")
         if len(needs) == 1:
-            grams = moments.gram(rows.where(F.col("__pattern").bitwiseAND(F.lit(needs[0])) == 0), curve.columns).withColumn("need", F.lit(needs[0]).cast("long"))
+            grams = moments.gram(rows.where(F.col("__pattern").bitwiseAND(F.lit(needs[0])) == 0), curve.columns, weight=times).withColumn("need", F.lit(needs[0]).cast("long"))
         else:
             grams = patterns.fold_grams(rows, curve.columns, needs, bits, {n: np.zeros(0, np.int64) for n in needs})
         y_at, x_at, z_at = curve.places()
@@ -361,7 +384,7 @@ class LRobust(Base):
             if pairs := ols.collinear_pairs(g, [*x_at, *[z_at[i] for i in able]], [*curve.x, *[curve.controls[i] for i in able]]):
                 raise ValueError(f"perfectly collinear columns: {pairs}")
         rows = self._with_folds(rows, m, needs)
-        if not m.draws and kinds * SPARED <= n_all:
+        if not times and not m.draws and kinds * SPARED <= n_all:
             rows = logit.equal_rows(rows, curve.columns)
         rows = materialize(rows, "logit")
         columns = [*curve.x, *curve.controls]
@@ -403,7 +426,8 @@ class LRobust(Base):
             rows = rows.join(folds, F.col(f"`{m.group}`") == F.col("__group"), "left").drop("__group")
         elif len(needs) == 1:  # rows that lack a column are in no model
             whole = rows.where(F.col("__pattern").bitwiseAND(F.lit(needs[0])) == 0).withColumns({"__y": F.col(f"`{m.y[0]}`"), "need": F.lit(needs[0]).cast("long")})
-            return prepare.stratified_folds(whole, m.kfold, m.seed).withColumn("folds", F.array("fold")).drop("__y", "need", "fold")
+            dealt = prepare.stratified_kinds if "__times" in rows.columns else prepare.stratified_folds
+            return dealt(whole, m.kfold, m.seed).withColumn("folds", F.array("fold")).drop("__y", "need", "fold")
         else:
             many = rows.select("rid", F.col(f"`{m.y[0]}`").alias("__y"), F.explode(served).alias("need"))
             rows = rows.join(by_need(prepare.stratified_folds(many, m.kfold, m.seed), "rid"), "rid", "left")

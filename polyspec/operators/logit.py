@@ -63,10 +63,13 @@ class Rows:
         self.times = pdf["__times"].to_numpy(float) if "__times" in pdf else np.ones(len(pdf))
 
 
-def equal_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with those alike in pattern, columns and folds as one, and how often each occurs; of no use to draws."""
+def equal_rows(rows: DataFrame, columns: list[str], times: str | None = None) -> DataFrame:
+    """``rows`` with those alike in columns (and pattern and folds, if known) as one, and how often each occurs (a row counts
+    ``times`` if given); of no use to draws."""
     keys = [c for c in ("__pattern", "folds") if c in rows.columns]
-    return rows.groupBy(*keys, *[f"`{c}`" for c in columns]).agg(F.min("unit").alias("unit"), F.count("*").cast("double").alias("__times"))
+    unit = [F.min("unit").alias("unit")] if "unit" in rows.columns else []
+    n = F.sum(f"`{times}`") if times else F.count("*")
+    return rows.groupBy(*keys, *[f"`{c}`" for c in columns]).agg(*unit, n.cast("double").alias("__times"))
 
 
 def grouped(models: pd.DataFrame) -> Iterator[pd.DataFrame]:

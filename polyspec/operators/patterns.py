@@ -56,9 +56,10 @@ def complete_sums(patterns: np.ndarray, values: np.ndarray, needs: np.ndarray, b
     return dense[~needs & ((1 << bits) - 1)]
 
 
-def counts(df: DataFrame, needs: list[int], bits: int, pattern: str = "__pattern") -> dict[int, int]:
-    """Complete rows of each need."""
-    got = df.groupBy(pattern).agg(F.count("*").alias("n")).collect() if bits else [(0, df.count())]  # a row per pattern
+def counts(df: DataFrame, needs: list[int], bits: int, pattern: str = "__pattern", times: str | None = None) -> dict[int, int]:
+    """Complete rows of each need; each row counts ``times`` if given."""
+    n = F.sum(times).cast("long") if times else F.count("*")
+    got = df.groupBy(pattern).agg(n.alias("n")).collect() if bits else [(0, df.agg(n).first()[0])]  # a row per pattern
     n = complete_sums(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64), np.array(needs), bits)
     return dict(zip(needs, n.tolist(), strict=True))
 

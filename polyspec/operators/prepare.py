@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 import warnings
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polyspec.operators import groups
 from polyspec.plans.scratch import materialize
 
+#: Rows of a range of digests, which a task ranks at once, rows that are numbered from one record, and kinds of a run.
+RANGE, CHUNK, KINDS = 1 << 20, 1 << 14, 1 << 16
+#: Leading hex digits of a digest that rows are ranked by before the rest.
+DIGITS = 15
+
 
 def as_double(c: str, kind: T.DataType) -> Column:
     col = F.col(f"`{c}`")
@@ -124,6 +132,29 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx", ranges:
     return numbered(materialize(dealt.withColumn("__m", F.monotonically_increasing_id()), "sorted"), name, [])
 
 
+def first_rows(kinds: DataFrame, order_by: list, times: str, name: str) -> DataFrame:
+    """``kinds``, each of which stands for so many (``times``) equal rows, with the number of its first row: that of
+    ``with_row_index`` of the rows themselves. Kinds are summed up in runs, which are shifted by the rows of earlier runs."""
+    at = with_row_index(kinds, order_by, "__at").withColumn("__run", F.floor(F.col("__at") / KINDS))
+    before, rows = 0, []
+    for r in sorted(at.groupBy("__run").agg(F.sum(times).cast("long").alias("n")).collect()):  # a row per run
+        rows.append((r["__run"], before))
+        before += r.n
+    shift = kinds.sparkSession.createDataFrame(rows, "__run long, __shift long")
+    earlier = Window.partitionBy("__run").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = at.withColumn("__inside", F.coalesce(F.sum(times).over(earlier), F.lit(0)).cast("long"))
+    out = inside.join(F.broadcast(shift), "__run").withColumn(name, F.col("__inside") + F.col("__shift"))
+    return materialize(out.drop("__at", "__run", "__inside", "__shift"), "kinds")
+
+
+def unfolded(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as ``times`` says."""
+    n = F.col(f"`{times}`").cast("long")
+    some = df.where(n > 0).select("*", n.alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(CHUNK).cast("long"))).alias("__lo"))
+    parts = some.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return parts.withColumn("__i", F.explode(F.sequence("__lo", F.least("__n", F.col("__lo") + CHUNK) - 1))).drop("__n", "__lo", "__i", times)
+
+
 def in_input_order(df: DataFrame, name: str) -> DataFrame:
     """Consecutive numbers from 0 in the order of the input: for a single source that is not shuffled, of its files by
     name and of the rows in a file; else of Spark's partitions. The rows are written once, unsorted."""
@@ -168,6 +199,50 @@ def stratified_folds(df: DataFrame, k: int, seed: int) -> DataFrame:
     return out.withColumn("fold", F.pmod(F.col("row_idx") - F.col("first"), F.lit(k)).cast("int")).drop("row_idx", "first", "__class", "__key")
 
 
+def stratified_kinds(kinds: DataFrame, k: int, seed: int) -> DataFrame:
+    """``stratified_folds`` of the rows that ``kinds`` (rid, __y, __times, one need) stand for, which are numbered from rid on:
+    a row per kind and fold, with the number of its rows there as __times. Rows are dealt once, by class and range of the
+    digest; their places within a range are shifted by the rows of the ranges before it, and none of them is written."""
+    spark = kinds.sparkSession
+    classes = {r["__y"]: int(r.n) for r in kinds.groupBy("__y").agg(F.sum("__times").alias("n")).collect()}  # two rows
+    if len(classes) < 2 or k > min(classes.values()):
+        raise ValueError("stratified folds need two classes of at least kfold rows each")
+    n, digits = sum(classes.values()), min(DIGITS, (62 - len(classes).bit_length()) // 4)
+    bits = min(4 * digits, ((n - 1) // RANGE).bit_length())
+    tasks = int(np.clip(n // RANGE, spark.sparkContext.defaultParallelism, 10_000))
+    kind = kinds.schema["__y"].dataType.simpleString()
+    place = spark.createDataFrame([(y, i) for i, y in enumerate(sorted(classes))], f"`__y` {kind}, __class long")
+    first, last = F.col("rid"), F.col("rid") + F.col("__times").cast("long") - 1
+    chunks = kinds.join(F.broadcast(place), "__y").select("__class", "rid", last.alias("last"), F.explode(F.sequence(first, last, F.lit(CHUNK).cast("long"))).alias("lo"))
+    rows = chunks.repartition(tasks).select("__class", "rid", F.explode(F.sequence("lo", F.least("last", F.col("lo") + CHUNK - 1))).alias("row"))
+    # Class and first digits of the digest as one number, whose first bits are the range.
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("row").cast("string")))
+    key = F.col("__class") * F.lit(16**digits) + F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+    rows = rows.select("rid", "row", key.alias("key")).withColumn("range", F.shiftright("key", 4 * digits - bits))
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, row = pdf["key"].to_numpy(), pdf["row"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        same = np.flatnonzero(np.diff(key[order]) == 0)
+        if len(same):  # rows whose first digits are equal, by all digits
+            at = np.union1d(same, same + 1)
+            order[at] = sorted(order[at], key=lambda i: (key[i], hashlib.md5(f"{seed}|{row[i]}".encode()).digest(), row[i]))
+        turn = np.empty(len(order), np.int64)
+        turn[order] = np.arange(len(order)) % k
+        cell, times = np.unique(pdf["rid"].to_numpy() * k + turn, return_counts=True)
+        return pd.DataFrame({"range": pdf["range"].iloc[0], "rid": cell // k, "turn": cell % k, "n": times})
+
+    ranked = materialize(rows.groupBy("range").applyInPandas(rank, "range long, rid long, turn long, n long"), "ranked")
+    shifts, before = [], [0] * len(classes)
+    for r in sorted(ranked.groupBy("range").agg(F.sum("n").alias("n")).collect()):  # a row per class and range
+        shifts.append((r.range, before[r.range >> bits] % k))
+        before[r.range >> bits] += r.n
+    shift = spark.createDataFrame(shifts, "range long, shift long")
+    fold = F.pmod(F.col("turn") + F.col("shift"), F.lit(k)).cast("int")
+    folds = ranked.join(F.broadcast(shift), "range").groupBy("rid", fold.alias("fold")).agg(F.sum("n").cast("double").alias("__times"))
+    return kinds.drop("__times").join(folds, "rid")
+
+
 def stratified_fold(df: DataFrame, y: str, k: int, seed: int, key: str) -> DataFrame:
     """``df`` with fold: rows of each class dealt in turn, in order of a seeded digest of ``key`` (a number of its own)."""
     folds = stratified_folds(df.select(F.col(key).alias("rid"), F.col(f"`{y}`").alias("__y"), F.lit(0).cast("long").alias("need")), k, seed)

@@ -462,8 +462,10 @@ def logit_sql() -> str:
 
 
 def logit_fit(spark, sf, controls, **kw):
-    rows = materialize(logit_data(spark, sf), "lines")
-    return estimators.LRobust(["y"], ["x"], rows).fit(controls=controls, **({"draws": 0, "kfold": 0, "seed": SEED, "shap": False} | kw)).get_results()
+    rows, given = logit_data(spark, sf).select("y", "x", *controls), {"draws": 0, "kfold": 0, "seed": SEED, "shap": False} | kw
+    if not given["draws"]:  # lines are alike in few ways, and only draws tell equal ones apart
+        rows, given["times"] = rows.groupBy(*rows.columns).agg(F.count("*").alias("times")), "times"
+    return estimators.LRobust(["y"], ["x"], materialize(rows, "lines")).fit(controls=controls, **given).get_results()
 
 
 @register("logit_full", logit_sql())

@@ -500,3 +500,65 @@ def test_fits_of_joined_lines_read_them_from_one_written_table(spark, monkeypatc
     assert read == [{"lines"}] and i["median"] is not None
     catalog.queries()["logit_rmse"](spark, sf)
     assert read == [{"lines"}] * 2
+
+
+@pytest.mark.parametrize("digits", [1, 15])
+def test_kinds_are_dealt_as_their_rows(spark, monkeypatch, digits):
+    """Numbers and folds of rows that are never written, in runs, chunks and ranges of a few; with one digit, most rows tie."""
+    for name, value in (("KINDS", 4), ("CHUNK", 7), ("RANGE", 64), ("DIGITS", digits)):
+        monkeypatch.setattr(prepare, name, value)
+    rng = np.random.default_rng(11)
+    d = pd.DataFrame({"y": rng.integers(0, 2, 900) * 1.0, "x": rng.integers(0, 9, 900) * 1.0})
+    d.loc[d["x"] == 3, "x"] = None
+    counts = d.groupby(["y", "x"], dropna=False).size().astype(float).rename("__times").reset_index()
+    counts["x"] = counts["x"].astype(object).where(counts["x"].notna(), None)
+    kinds = prepare.first_rows(spark.createDataFrame(counts, "y double, x double, __times double"), ["y", "x"], "__times", "rid")
+    d = d.sort_values(["y", "x"], na_position="first").reset_index(drop=True)
+    d["rid"] = np.arange(len(d))
+    first = d.groupby(["y", "x"], dropna=False)["rid"].transform("min")
+    assert sorted(r.rid for r in kinds.collect()) == sorted(set(first))
+    got = {(r.rid, r.fold): r["__times"] for r in prepare.stratified_kinds(kinds.where("x IS NOT NULL").withColumn("__y", F.col("y")), 4, 7).collect()}
+    d["first"], d["key"] = first, [hashlib.md5(f"7|{i}".encode()).hexdigest() for i in d["rid"]]
+    d = d.dropna()
+    d["fold"] = d.sort_values(["key", "rid"]).groupby("y").cumcount() % 4
+    assert got == d.groupby(["first", "fold"]).size().to_dict()
+    with pytest.raises(ValueError, match="two classes"):
+        prepare.stratified_kinds(kinds.where("y = 1").withColumn("__y", F.col("y")), 4, 7)
+
+
+@pytest.mark.parametrize("how", ["joined", "holes", "scaled", "group", "shap"])
+def test_a_row_that_stands_for_several_counts_as_often(spark, how):
+    rng = np.random.default_rng(12)
+    d = pd.DataFrame({"x": rng.integers(0, 3, 60) * 1.0, "z": rng.integers(0, 3, 60) * 1.0, "y": rng.integers(0, 2, 60) * 1.0, "n": rng.integers(0, 12, 60)})
+    d["g"] = np.arange(60) % 6
+    if how == "holes":
+        d.loc[d["z"] == 2, "z"] = np.nan
+    kw = {"controls": ["z"], "draws": 0, "kfold": 3, "seed": 7, "shap": how == "shap", "rescale_x": how == "scaled", "group": "g" if how == "group" else None}
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        short = LRobust(["y"], ["x"], spark.createDataFrame(d)).fit(times="n", **kw).get_results()
+        long = LRobust(["y"], ["x"], spark.createDataFrame(d.loc[d.index.repeat(d["n"])].drop(columns="n"))).fit(**kw).get_results()
+    table = lambda r: [(*s.b, *s.se, s.nobs) for s in r.full.orderBy("spec_id").collect()] + [(o.metric,) for o in r.oos.orderBy("spec_id", "fold").collect()]
+    assert all(np.allclose(a, b, atol=1e-8) for a, b in zip(table(short), table(long), strict=True))
+    with pytest.raises(ValueError, match="times"):
+        LRobust(["y"], ["x"], spark.createDataFrame(d)).fit(times="z", **kw)
+
+
+@pytest.mark.parametrize("name", ["logit_xent"])
+def test_logistic_folds_of_lines_sort_no_rows(spark, monkeypatch, name):
+    """Only kinds of lines are sorted, and the result is that of the SQL."""
+    import duckdb
+
+    from polyspec.plans import catalog
+
+    sf, sorted_ = "/root/testdata/sf0.001", []
+    with_row_index = prepare.with_row_index
+    monkeypatch.setattr(prepare, "with_row_index", lambda df, *a, **kw: (sorted_.append(df.count()), with_row_index(df, *a, **kw))[1])
+    got = {r.spec: r.metric for r in catalog.queries()[name](spark, sf).collect()}
+    lines, kinds = catalog.logit_data(spark, sf).count(), catalog.logit_data(spark, sf).select("y", "x", "z1").distinct().count()
+    assert kinds < lines and sorted_ == [kinds]
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = dict(con.execute(catalog.oracle_sql()[name]).fetchall())
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
