@@ -544,7 +544,7 @@ def test_a_row_that_stands_for_several_counts_as_often(spark, how):
         LRobust(["y"], ["x"], spark.createDataFrame(d)).fit(times="z", **kw)
 
 
-@pytest.mark.parametrize("name", ["logit_xent", "logit_pseudo_r2", "logit_rmse"])
+@pytest.mark.parametrize("name", ["logit_xent", "logit_pseudo_r2", "logit_rmse", "logit_mcfadden"])
 def test_logistic_folds_of_lines_sort_no_rows(spark, monkeypatch, name):
     """Only kinds of lines are sorted, and the result is that of the SQL."""
     import duckdb
